@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evalloom.llm import sharding
+from evalloom.llm import decontamination, sharding
 
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
@@ -55,4 +55,53 @@ OP5 = f"""
     FROM lines LEFT JOIN common c USING (key) GROUP BY doc_id, text"""
 
 
-ORACLES = {"op3_feistel_sharding": op3(), "op5_line_dedup": OP5}
+
+OP2 = r"""
+    WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, source AS host, coalesce(text, '') AS x FROM documents),
+    words AS (SELECT rid, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w FROM texts),
+    spots AS (SELECT rid, i, w[i:i+4] AS win FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5)),
+    twice AS (SELECT rid, win FROM spots GROUP BY rid, win HAVING count(*) >= 2),
+    covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM spots JOIN twice USING (rid, win), range(5) AS t(k) GROUP BY rid),
+    lines AS (SELECT rid, unnest(string_split(x, chr(10))) AS line FROM texts),
+    dups AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+    base AS (
+        SELECT rid, doc_id, host, len(w) AS n_words, length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+            length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dups.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
+        FROM texts JOIN words USING (rid) LEFT JOIN dups USING (rid) LEFT JOIN covered USING (rid)),
+    failed AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base),
+    rules AS (SELECT *, base_failed OR 10 * n_symbols > word_chars AS rule_failed FROM failed),
+    hosts AS (SELECT host, count(*) AS n, count(*) FILTER (WHERE rule_failed) AS f FROM rules WHERE host IS NOT NULL GROUP BY host),
+    moments AS (SELECT avg(f / n) AS m, var_pop(f / n) AS v FROM hosts),
+    prior AS (SELECT m, CASE WHEN v > 0 THEN greatest(1.0, m * (1 - m) / v - 1) ELSE 1e12 END AS k FROM moments),
+    verdicts AS (SELECT host, n AS host_docs, f AS host_failed, (f + m * k) / (n + k) > 0.5 AS host_rejected FROM hosts, prior)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(host_rejected, false) AS host_rejected,
+        NOT base_failed AND NOT coalesce(host_rejected, false) AS kept
+    FROM rules LEFT JOIN verdicts USING (host)"""
+
+
+def op1(masks=decontamination.MASKS, window=decontamination.WINDOW) -> str:
+    """The same search on the tokens themselves instead of their hashes."""
+    longest = max(map(len, masks))
+    tokens = r"string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', chr(1), 'g'), chr(1))"
+    seeds = " UNION ALL ".join(
+        f"SELECT $id, $key, i, {k} AS mask, concat_ws(chr(1), {', '.join(f't[i + {j}]' for j, c in enumerate(mask) if c == '1')}) AS seed "
+        f"FROM (SELECT *, unnest(range(1, len(t) - {len(mask)} + 2)) AS i FROM $from WHERE len(t) >= {longest})"
+        for k, mask in enumerate(masks)
+    )
+    of = lambda table, ident, key: seeds.replace("$id", ident).replace("$key", key).replace("$from", table)
+    return f"""
+    WITH docs AS (SELECT doc_id, coalesce(text, '') AS x, {tokens} AS t FROM documents GROUP BY ALL),
+    items AS (SELECT item_id, list_filter({tokens}, lambda w: w <> '') AS t FROM benchmark WHERE item_id IS NOT NULL),
+    dseeds AS ({of('docs', 'doc_id', 'x')}), iseeds AS ({of('items', 'item_id', '1 AS one')}),
+    hits AS (SELECT DISTINCT d.doc_id, d.x, b.item_id, d.i - b.i AS off FROM dseeds d JOIN iseeds b USING (mask, seed)),
+    lined AS (
+        SELECT h.doc_id, h.x, h.item_id, h.off, d.t AS dt, b.t AS bt, least(len(b.t), {window}) AS n_compared
+        FROM hits h JOIN docs d ON d.x = h.x AND d.doc_id IS NOT DISTINCT FROM h.doc_id JOIN items b USING (item_id)),
+    flags AS (SELECT *, list_transform(range(1, len(bt) + 1), lambda i: CASE WHEN off + i >= 1 AND dt[off + i] = bt[i] THEN 1 ELSE 0 END) AS eq FROM lined),
+    sums AS (SELECT *, list_max(list_transform(range(1, len(bt) - n_compared + 2), lambda s: list_sum(eq[s:s + n_compared - 1]))) AS n_equal FROM flags),
+    good AS (SELECT * FROM sums WHERE n_equal * 1000 >= n_compared * 800)
+    SELECT doc_id, item_id, off AS "at", n_compared, n_equal::INT AS n_equal
+    FROM good QUALIFY row_number() OVER (PARTITION BY doc_id, x, item_id ORDER BY n_equal DESC, off) = 1"""
+
+
+ORACLES = {"op1_decontamination": op1(), "op2_quality_rules": OP2, "op3_feistel_sharding": op3(), "op5_line_dedup": OP5}
