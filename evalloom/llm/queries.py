@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm import bradley_terry, decontamination, line_dedup, quality_rules, sharding
+from evalloom.llm import bradley_terry, decontamination, licenses, line_dedup, quality_rules, sharding
 from evalloom.llm.common import documents
 
 
@@ -29,9 +29,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(documents(spark, sf_dir), 10, 1).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.found(documents(spark, sf_dir))
+
+
 def op10_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return bradley_terry.scored(docs, bradley_terry.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_feistel_sharding, op5_line_dedup, op10_bradley_terry)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_feistel_sharding, op5_line_dedup, op8_license_scan, op10_bradley_terry)}
