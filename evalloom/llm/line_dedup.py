@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evalloom.llm.common import SPACES, ascii_lower, shuffle_partitions
+from evalloom.llm.common import SPACES, ascii_lower, checkpointed, shuffle_partitions
 
 
 def _identified(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm import bradley_terry, decontamination, licenses, line_dedup, quality_rules, sharding
+from evalloom.llm import bradley_terry, decontamination, licenses, line_dedup, pieces, quality_rules, sharding, token_files
 from evalloom.llm.common import documents
 
 
@@ -25,10 +25,21 @@ def op3_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pieces.encoded(documents(spark, sf_dir), pieces.model_path())
+    return rows.select("doc_id", pieces.n_tokens().alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(documents(spark, sf_dir), 10, 1).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.shared_path(spark, "token-files")
+    token_files.write(documents(spark, sf_dir), path, token_files.tokenizer_path(), end_id=1)
+    return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.found(documents(spark, sf_dir))
 
@@ -38,4 +49,4 @@ def op10_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bradley_terry.scored(docs, bradley_terry.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_feistel_sharding, op5_line_dedup, op8_license_scan, op10_bradley_terry)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_feistel_sharding, op4_sentencepiece, op5_line_dedup, op6_token_files, op8_license_scan, op10_bradley_terry)}
