@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm import bradley_terry, decontamination, licenses, line_dedup, pieces, quality_rules, sharding, token_files
+from evalloom.llm import bradley_terry, decontamination, licenses, line_dedup, near_dup, pieces, quality_rules, sharding, token_files
 from evalloom.llm.common import documents
 
 
@@ -44,9 +44,13 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.found(documents(spark, sf_dir))
 
 
+def op9_bottom_k_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(documents(spark, sf_dir), words=3, threshold=0.85)
+
+
 def op10_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return bradley_terry.scored(docs, bradley_terry.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_feistel_sharding, op4_sentencepiece, op5_line_dedup, op6_token_files, op8_license_scan, op10_bradley_terry)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_feistel_sharding, op4_sentencepiece, op5_line_dedup, op6_token_files, op8_license_scan, op9_bottom_k_near_dup, op10_bradley_terry)}
