@@ -340,13 +340,14 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
-def encoded(docs: DataFrame, model_file: str) -> DataFrame:
-    """doc_id, ids (little-endian 32-bit integers) and decoded of every row.
+def encoded(docs: DataFrame, model_file: str, with_text: bool = False) -> DataFrame:
+    """doc_id, ids (little-endian 32-bit integers) and decoded of every row, and the text if asked for.
 
     ``model_file`` is opened on the executors. A null text gives no ids and
     decodes to the empty text; rows are not merged or reordered.
     """
     python_ready(docs.sparkSession, 2048)
+    names = ["doc_id", "ids", "decoded"] + ["text"] * with_text
 
     def run(batches):
         tool = codec(model_file)
@@ -355,10 +356,11 @@ def encoded(docs: DataFrame, model_file: str) -> DataFrame:
             for k in range(0, batch.num_rows, rows):
                 part = batch.slice(k, rows)
                 ids = tool.encode(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(tool.decode(ids), pa.string())], names=["doc_id", "ids", "decoded"])
+                arrays = [part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(tool.decode(ids), pa.string())]
+                yield pa.RecordBatch.from_arrays(arrays + [part.column("text")] * with_text, names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, decoded string" + ", text string" * with_text)
 
 
 def n_tokens(ids="ids") -> F.Column:
