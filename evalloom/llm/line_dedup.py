@@ -39,6 +39,8 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Dat
         .filter(F.char_length("key") >= min_chars)
         .select("doc_id", "_row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
     )
+    # splitting and hashing every line once: it is read for the range bounds, for the counts and for the bitmaps
+    lines = checkpointed(lines)
     dealt = lines.repartitionByRange(shuffle_partitions(docs.sparkSession), "h1", "h2", "doc_id", "_row")
     first = F.row_number().over(Window.partitionBy("h1", "h2", "doc_id", "_row").orderBy("pos"))
     common = (
