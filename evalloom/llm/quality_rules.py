@@ -12,11 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.llm.common import python_ready
+from evalloom.llm.common import checkpointed, python_ready
 from evalloom.llm.profile import rule_counts
 
 #: A host is rejected if its shrunk failure rate is above this share.
 MAX_HOST_RATE = 0.5
+#: Host verdicts that are broadcast at most (some 50 bytes each); more are joined by a shuffle.
+BROADCAST_HOSTS = 1_000_000
 COUNTS = ("n_words", "n_spaces", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct")
 
 
@@ -73,8 +75,10 @@ def judged(docs: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RAT
     A document without host is judged by its own rules alone. Repeated rows are
     judged alike; an empty table gives no rows.
     """
-    rules = base_rules(docs, host)
-    verdicts = host_verdicts(rules, max_rate).select("host", "host_rejected")
+    rules = checkpointed(base_rules(docs, host))  # narrow rows; the texts are measured once
+    verdicts = checkpointed(host_verdicts(rules, max_rate).select("host", "host_rejected"))
+    if verdicts.count() <= BROADCAST_HOSTS:
+        verdicts = F.broadcast(verdicts)  # so that a host with a third of all rows meets no single task
     both = rules.join(verdicts, "host", "left")
     rejected = F.coalesce("host_rejected", F.lit(False))
     return both.withColumn("host_rejected", rejected).withColumn("kept", ~F.col("base_failed") & ~rejected)
