@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm import bradley_terry, decontamination, licenses, line_dedup, near_dup, pieces, quality_rules, sharding, token_files
+from evalloom.llm import bradley_terry, decontamination, licenses, line_dedup, near_dup, pieces, quality_rules, sharding, suffix_dedup, token_files
 from evalloom.llm.common import documents
 
 
@@ -40,6 +40,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.without_repeats(documents(spark, sf_dir), 400)
+    return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.found(documents(spark, sf_dir))
 
@@ -53,4 +58,4 @@ def op10_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bradley_terry.scored(docs, bradley_terry.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_feistel_sharding, op4_sentencepiece, op5_line_dedup, op6_token_files, op8_license_scan, op9_bottom_k_near_dup, op10_bradley_terry)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_feistel_sharding, op4_sentencepiece, op5_line_dedup, op6_token_files, op7_suffix_dedup, op8_license_scan, op9_bottom_k_near_dup, op10_bradley_terry)}
