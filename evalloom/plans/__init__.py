@@ -1 +1,6 @@
+"""Queries by the identifiers of the coverage list; importing this package registers them."""
 
+from evalloom.plans import analytics, metrics, relational, retrieval  # noqa: F401
+from evalloom.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
