@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pathlib
 import tempfile
-import zipfile
 
-import evalloom
+from evalloom.sources.session import python_ready as _ready
+from evalloom.sources.session import shuffle_partitions as shuffle_partitions
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,26 +36,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-_shipped: set[str] = set()
-
-
 def python_ready(spark: SparkSession, rows: int = 256) -> None:
-    """Before Python runs on executors: send them this package, and keep Arrow batches of very long texts small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    root = pathlib.Path(evalloom.__file__).parent
-    to = pathlib.Path(tempfile.mkdtemp(prefix="evalloom-ship-"), "evalloom.zip")
-    with zipfile.ZipFile(to, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    context.addPyFile(str(to))
-    _shipped.add(context.applicationId)
+    """The package on the executors, and Arrow batches of at most ``rows`` texts."""
+    _ready(spark, rows)
 
 
 def ascii_lower(text: Column) -> Column:

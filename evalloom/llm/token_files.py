@@ -16,6 +16,7 @@ the others. Offsets take about 2 + log2(n_ids / n_docs) bits instead of 64.
 from __future__ import annotations
 
 import functools
+import re
 import struct
 import uuid
 import zlib
@@ -33,6 +34,10 @@ HEAD = struct.Struct("<4sBBBBQQQQQ")
 #: Ids of a block, unless one document has more.
 BLOCK_IDS = 1 << 20
 CACHE_WORDS = 1_000_000
+#: Latin letters and then signs without apostrophe, digit and "<": two runs that are encoded apart.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=-@\\[-`{-~]*)")
+#: Totals of shards that are broadcast at most (16 bytes each); more are joined by a shuffle.
+BROADCAST_SHARDS = 1_000_000
 
 
 def pack(offsets: np.ndarray, ids: np.ndarray, width: int) -> bytes:
@@ -107,15 +112,33 @@ class WordEncoder:
         self.tool = Tokenizer.from_file(path)
         self.width = 2 if self.tool.get_vocab_size() <= 1 << 16 else 4
         self.cache: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in printable]
+        self.sign = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}  # the byte-level alphabet
+
+    def _run(self, text: str) -> bytes:
+        """Ids of one run of letters or of signs, which the tokenizer splits no further."""
+        got = self.runs.get(text)
+        if got is None:
+            signs = text if text.isascii() else "".join(self.sign[b] for b in text.encode())
+            got = self.runs[text] = np.array([t.id for t in self.tool.model.tokenize(signs)], f"<u{self.width}").tobytes()
+        return got
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         split = [(t or b"").split() for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        cache = self.cache
-        new = list({w for words in split for w in words if w not in cache})
-        for k in range(0, len(new), 1000):
-            part = new[k : k + 1000]
+            self.runs.clear()
+        cache, other = self.cache, []
+        for w in {w for words in split for w in words if w not in cache}:
+            text = w.decode()
+            if m := _PLAIN.fullmatch(text):
+                cache[w] = self._run(m[1].lower()) + (self._run(m[2]) if m[2] else b"")
+            else:
+                other.append(w)
+        for k in range(0, len(other), 1000):
+            part = other[k : k + 1000]
             for w, e in zip(part, self.tool.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
                 cache[w] = np.array(e.ids, f"<u{self.width}").tobytes()
         get = cache.__getitem__
@@ -198,6 +221,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("_n"))
     shards = shards.select(F.col("shard"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
 
+    if shards.count() <= BROADCAST_SHARDS:
+        shards = F.broadcast(shards)
+
     def run(batches):
         for batch in batches:
             for shard, start, docs, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "block_start", "doc_ids", "payload")), strict=True):
