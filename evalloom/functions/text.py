@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words that carry no meaning in a search.
 STOPWORDS = (
@@ -17,7 +18,7 @@ COMPOUND = r"[a-z0-9]+(?:[.\-/][a-z0-9]+)*"
 DOC_CODE = r"\b[A-Z]{2,5}-[A-Z]{2,5}-\d{2,4}\b"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
