@@ -32,15 +32,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder; the files go when the frame is no longer used, if the session cleans them."""
-    shared_folder(df.sparkSession)
+    spark = df.sparkSession
+    shared_folder(spark)
+    drop_shuffles(spark)
     return df.checkpoint(eager=True)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """From now on an action's shuffle files go when it ends; what is used again has been written to the shared folder."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def python_ready(spark: SparkSession, rows: int = 256) -> None:
     """The package on the executors, and Arrow batches of at most ``rows`` texts."""
     _ready(spark, rows)
 
 
+def public(df: DataFrame) -> DataFrame:
+    """Without columns that begin with an underscore: those names are the operators' own, and such columns are not kept."""
+    return df.drop(*[c for c in df.columns if c.startswith("_")])
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 

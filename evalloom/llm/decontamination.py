@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalloom.llm.common import public
+
 MASKS = ("1110101", "1101011", "10110011")
 WINDOW = 20
 MIN_SHARE = 0.8
@@ -91,7 +93,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
-    """The documents, all columns kept, that overlap with no benchmark item."""
+    """The documents that overlap with no benchmark item, with all columns that do not begin with an underscore."""
+    docs = public(docs)
     found = overlaps(docs, benchmark, **params).select(F.col("doc_id").alias("_id"), F.col("_row").alias("_r")).distinct()
     row = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     return docs.join(found, (row == F.col("_r")) & docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")

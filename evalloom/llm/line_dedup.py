@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evalloom.llm.common import SPACES, ascii_lower, checkpointed, shuffle_partitions
+from evalloom.llm.common import SPACES, ascii_lower, checkpointed, public, shuffle_partitions
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -63,10 +63,10 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Dat
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """The documents with n_lines, n_dropped, keep_runs and kept_text; a document without bitmap keeps all lines.
 
-    Columns of ``docs`` with these names are replaced.
+    Columns of ``docs`` with these names are replaced, and columns that begin with an underscore are not kept.
     """
     side = bitmaps.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_side"), F.col("keep_runs").alias("_runs"))
-    base = _identified(docs.drop("n_lines", "n_dropped", "keep_runs", "kept_text"))
+    base = _identified(public(docs).drop("n_lines", "n_dropped", "keep_runs", "kept_text"))
     both = base.join(side.hint("shuffle_hash"), (F.col("_row") == F.col("_side")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     text = F.coalesce(F.col("text"), F.lit(""))
     flags = F.flatten(F.transform("_runs", lambda n, i: F.array_repeat(i % 2 == 0, n)))

@@ -132,7 +132,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, k:
     need = required(F.least("n", F.lit(k)), threshold, k)
     weight = F.aggregate("all", F.lit(0).cast("long"), lambda s, x: s + x["df"])
     prefixes = shared.withColumn("_more", F.size("all") - need + 1).filter("_more > 0").select("node", "n", weight.alias("weight"), F.slice("all", F.lit(1), F.col("_more")).alias("rare"))
-    lists = checkpointed(prefixes.select("node", "n", "weight", F.explode("rare.value").alias("value")))
+    prefixes = checkpointed(prefixes.withColumn("rare", F.col("rare.value")))
+    lists = prefixes.select("node", "n", "weight", F.explode("rare").alias("value"))
 
     close = lambda a, b: (100 * F.col(a) >= share * F.col(b)) & (100 * F.col(b) >= share * F.col(a))
     links, label = None, None
@@ -157,10 +158,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, k:
             pairs = met.filter((F.col("a") != F.col("b")) & close("na", "nb"))
         else:
             sketches = classes.select(F.col("node").alias("_s"), "sketch")
-            side = open_lists.join(sketches, F.col("node") == F.col("_s")).select("value", "root", "node", "n", "sketch")
-            left = side.select("value", *[F.col(c).alias(f"{c}_a") for c in ("root", "node", "n", "sketch")])
-            right = side.select(F.col("value").alias("_v"), *[F.col(c).alias(f"{c}_b") for c in ("root", "node", "n", "sketch")])
-            enough = F.size(F.array_intersect("sketch_a", "sketch_b")) >= required(F.least("n_a", "n_b", F.lit(k)), threshold, k)
+            rare = prefixes.select(F.col("node").alias("_p"), "rare")
+            side = open_lists.join(sketches, F.col("node") == F.col("_s")).join(rare, F.col("node") == F.col("_p"))
+            fields = ("root", "node", "n", "sketch", "rare")
+            left = side.select("value", *[F.col(c).alias(f"{c}_a") for c in fields])
+            right = side.select(F.col("value").alias("_v"), *[F.col(c).alias(f"{c}_b") for c in fields])
+            # a pair is met once, in the list of the first value that both prefixes have
+            once = F.get(F.array_intersect("rare_a", "rare_b"), F.lit(0)) == F.col("value")
+            enough = once & (F.size(F.array_intersect("sketch_a", "sketch_b")) >= required(F.least("n_a", "n_b", F.lit(k)), threshold, k))
             on = (F.col("value") == F.col("_v")) & (F.col("root_a") != F.col("root_b")) & (F.col("node_a") < F.col("node_b")) & close("n_a", "n_b") & enough
             pairs = left.join(right, on).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evalloom.llm.common import python_ready, shuffle_partitions
+from evalloom.llm.common import drop_shuffles, python_ready, shuffle_partitions
 
 MAGIC, VERSION, SAMPLE = b"EFTK", 1, 64
 HEAD = struct.Struct("<4sBBBBQQQQQ")
@@ -201,6 +201,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, block_ids
     the cluster shares, and ``tokenizer`` readable on the executors.
     """
     python_ready(docs.sparkSession, 1024)
+    drop_shuffles(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     slim = docs.select("doc_id", F.col("text").cast("binary").alias("_bytes"))
     dealt = slim.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id", "_bytes").sortWithinPartitions("doc_id", "_bytes")
