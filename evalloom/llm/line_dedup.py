@@ -43,7 +43,8 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Dat
     lines = checkpointed(lines)
     dealt = lines.repartitionByRange(shuffle_partitions(docs.sparkSession), "h1", "h2", "doc_id", "_row")
     first = F.row_number().over(Window.partitionBy("h1", "h2", "doc_id", "_row").orderBy("pos"))
-    common = (
+    # written, so that the join below has a plain shuffle on both sides and a hot line's rows can be split
+    common = checkpointed(
         dealt.withColumn("_nth", first).filter("_nth = 1").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"))
         .filter(F.col("n_docs") >= min_docs).select("h1", "h2")
     )
