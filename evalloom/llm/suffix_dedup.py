@@ -385,7 +385,8 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     slim = docs.select(F.xxhash64("doc_id", "text", F.octet_length("text")).alias("_row"), F.col("text").cast("binary").alias("_bytes"))
     spots = slim.filter(F.octet_length("_bytes") >= length).mapInArrow(_anchor_rows(length), "right long, around long, _row long, spot long")
     spots = checkpointed(spots)
-    several = spots.groupBy("right").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("right")
+    # written before each join, so that both sides are plain shuffles and a hot context's rows can be split
+    several = checkpointed(spots.groupBy("right").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("right"))
     likely = checkpointed(spots.join(several, "right"))
     classes = likely.groupBy("right", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_row", "spot")).alias("rep"))
     classes = checkpointed(classes)
@@ -395,7 +396,7 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     end = at - F.shiftright("spot", 9).bitwiseAND(F.lit(511)) + length
     whole = likely.join(copied, "around", "left_semi").select("_row", begin.alias("lo"), end.alias("hi"))
 
-    mixed = classes.groupBy("right").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("right")
+    mixed = checkpointed(classes.groupBy("right").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("right"))
     reps = checkpointed(classes.join(mixed, "right", "left_semi").select("n", "rep._row", "rep.spot"))
     # borders from a bounded sample of suffixes
     sample = reps.orderBy(F.xxhash64("_row", "spot")).limit(SAMPLE)
