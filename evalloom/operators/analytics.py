@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ANSWERED = (F.col("operation") == "answer") & (F.col("status") == "ok")
+
+def answered() -> Column:
+    return (F.col("operation") == "answer") & (F.col("status") == "ok")
 
 
 def scoped(df: DataFrame, start=None, end=None, org_id=None, at: str = "created_at") -> DataFrame:
@@ -38,10 +40,10 @@ def usage_totals(usage: DataFrame) -> DataFrame:
         total("output_tokens").alias("output_tokens"),
         total("cost_usd").cast("double").alias("cost_usd"),
         F.count_if(F.col("status") != "ok").alias("errors"),
-        exact_percentile("latency_ms", 0.5, ANSWERED).alias("p50_ms"),
-        exact_percentile("latency_ms", 0.95, ANSWERED).alias("p95_ms"),
-        exact_percentile("ttft_ms", 0.5, ANSWERED).alias("p50_ttft_ms"),
-        exact_percentile("ttft_ms", 0.95, ANSWERED).alias("p95_ttft_ms"),
+        exact_percentile("latency_ms", 0.5, answered()).alias("p50_ms"),
+        exact_percentile("latency_ms", 0.95, answered()).alias("p95_ms"),
+        exact_percentile("ttft_ms", 0.5, answered()).alias("p50_ttft_ms"),
+        exact_percentile("ttft_ms", 0.95, answered()).alias("p95_ttft_ms"),
         cache_hit_percent().alias("cache_hit_pct"),
     )
 
@@ -73,7 +75,7 @@ def usage_series(usage: DataFrame, start: str, end: str, grain: str) -> DataFram
     rows = scoped(usage, start, end).filter(F.col("eval_run_id").isNull())
     grouped = rows.groupBy(F.date_trunc(grain, "created_at").cast("timestamp_ntz").alias("bucket")).agg(
         F.count(F.lit(1)).alias("_calls"), F.sum("cost_usd").alias("_cost"), F.sum("output_tokens").alias("_out"),
-        F.countDistinct("request_id").alias("_requests"), exact_percentile("latency_ms", 0.95, ANSWERED).alias("p95_ms"),
+        F.countDistinct("request_id").alias("_requests"), exact_percentile("latency_ms", 0.95, answered()).alias("p95_ms"),
     )
     zero = lambda c, n: F.coalesce(c, F.lit(0)).alias(n)
     return spine(usage, start, end, grain).join(grouped, "bucket", "left").select("bucket", zero("_calls", "calls"), zero("_requests", "requests"), zero("_out", "output_tokens"), F.coalesce(F.col("_cost").cast("double"), F.lit(0.0)).alias("cost_usd"), "p95_ms")
