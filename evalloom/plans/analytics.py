@@ -38,12 +38,12 @@ SELECT s.bucket::TIMESTAMP AS bucket, coalesce(calls, 0) AS calls, coalesce(requ
 FROM spine s LEFT JOIN g ON s.bucket::TIMESTAMP = g.bucket::TIMESTAMP"""
 
 
-@query("agg03_usage_series_day", _series_sql("day", "1 DAY"))
+@query("agg03_usage_series_day", _series_sql("day", "1 DAY"), ("p95_ms",))
 def series_day(spark, d):
     return A.usage_series(table(spark, d, "usage"), START, END, "day")
 
 
-@query("agg03_usage_series_week", _series_sql("week", "7 DAY"))
+@query("agg03_usage_series_week", _series_sql("week", "7 DAY"), ("p95_ms",))
 def series_week(spark, d):
     return A.usage_series(table(spark, d, "usage"), START, END, "week")
 
@@ -105,7 +105,7 @@ def overview(spark, d):
 SELECT user_id, count(*) FILTER (WHERE role = 'user') AS questions, count(*) FILTER (WHERE role = 'assistant') AS answers, count(*) FILTER (WHERE role = 'assistant' AND status = 'stopped') AS stopped,
 count(*) FILTER (WHERE role = 'assistant' AND status = 'failed') AS failed, count(*) FILTER (WHERE feedback = 1) AS up, count(*) FILTER (WHERE feedback = -1) AS down, count(bookmarked_at) AS bookmarks,
 quantile_cont(total_ms, 0.5) FILTER (WHERE role = 'assistant' AND status = 'complete') AS p50_ms, quantile_cont(total_ms, 0.95) FILTER (WHERE role = 'assistant' AND status = 'complete') AS p95_ms,
-avg(total_ms) FILTER (WHERE role = 'assistant' AND status = 'complete') AS avg_ms FROM messages WHERE NOT is_eval GROUP BY user_id""")
+avg(total_ms) FILTER (WHERE role = 'assistant' AND status = 'complete') AS avg_ms FROM messages WHERE NOT is_eval GROUP BY user_id""", ("p50_ms", "p95_ms", "avg_ms"))
 def personal(spark, d):
     return A.personal_totals(table(spark, d, "messages"))
 

@@ -75,7 +75,7 @@ def markdown(spark, d):
     return table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), E.markdown_rows(E.table_cleaned(t)).alias("md"))
 
 
-@query("sta13_noise_floor", duck("run_scores") + " SELECT a.flag, abs(avg(b.faithfulness - a.faithfulness)) AS floor, count(*) AS n FROM run_scores a JOIN run_scores b USING (case_key) WHERE a.run = 'A' AND b.run = 'B' GROUP BY a.flag")
+@query("sta13_noise_floor", duck("run_scores") + " SELECT a.flag, abs(avg(b.faithfulness - a.faithfulness)) AS floor, count(*) AS n FROM run_scores a JOIN run_scores b USING (case_key) WHERE a.run = 'A' AND b.run = 'B' GROUP BY a.flag", ("floor",))
 def noise(spark, d):
     s = table(spark, d, "run_scores")
     a, b = (s.filter(F.col("run") == r).select("case_key", F.col("faithfulness").alias(f"f{r}"), F.col("flag").alias(f"flag{r}")) for r in "AB")

@@ -27,7 +27,7 @@ def ranking(spark, d):
 
 @query("met06_ndcg", f"""WITH x AS ({_CTX}), w AS (SELECT o_orderkey AS c, unnest(['D-1', 'D-2', 'D-' || CAST(o_custkey % 7 AS STRING)]) AS doc FROM orders), u AS (SELECT DISTINCT c, doc FROM w),
 f AS (SELECT c, doc, min(rank) AS r FROM x JOIN u USING (c, doc) WHERE rank <= 8 GROUP BY 1, 2), n AS (SELECT c, count(*) AS n FROM u GROUP BY c), g AS (SELECT c, sum(1 / log2(r + 1)) AS dcg FROM f GROUP BY c)
-SELECT c, coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n, 8) + 1), lambda r: 1 / log2(r + 1))) AS ndcg FROM n LEFT JOIN g USING (c)""")
+SELECT c, coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n, 8) + 1), lambda r: 1 / log2(r + 1))) AS ndcg FROM n LEFT JOIN g USING (c)""", ("ndcg",))
 def ndcg(spark, d):
     wanted = table(spark, d, "orders").select(F.col("o_orderkey").alias("c"), F.explode(F.array(F.lit("D-1"), F.lit("D-2"), F.concat(F.lit("D-"), F.col("o_custkey") % 7))).alias("doc"))
     return M.ndcg(_contexts(spark, d), "c", "doc", wanted)
@@ -113,7 +113,7 @@ def gate(spark, d):
     return M.gate(hit.unionByName(faith), "case_key", ["hit", "faith"])
 
 
-@query("met21_sample_quality", "SELECT l_orderkey AS c, median((l_linenumber - 1) / 4) AS value, stddev_pop((l_linenumber - 1) / 4) AS spread, count(*) AS n_samples FROM lineitem GROUP BY 1")
+@query("met21_sample_quality", "SELECT l_orderkey AS c, median((l_linenumber - 1) / 4) AS value, stddev_pop((l_linenumber - 1) / 4) AS spread, count(*) AS n_samples FROM lineitem GROUP BY 1", ("value", "spread"))
 def quality(spark, d):
     return M.sample_quality(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("c"), F.col("l_linenumber").alias("score")), "c")
 

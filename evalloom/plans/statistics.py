@@ -122,7 +122,7 @@ def weighted_kappa(spark, d):
 
 
 @query("sta18_spearman", """WITH r AS (SELECT l_returnflag AS g, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2 AS x,
-rank() OVER (PARTITION BY l_returnflag ORDER BY l_discount) + (count(*) OVER (PARTITION BY l_returnflag, l_discount) - 1) / 2 AS y FROM lineitem) SELECT g, count(*) AS n, corr(x, y) AS rho FROM r GROUP BY g""")
+rank() OVER (PARTITION BY l_returnflag ORDER BY l_discount) + (count(*) OVER (PARTITION BY l_returnflag, l_discount) - 1) / 2 AS y FROM lineitem) SELECT g, count(*) AS n, corr(x, y) AS rho FROM r GROUP BY g""", ("rho",))
 def spearman(spark, d):
     return S.spearman(table(spark, d, "lineitem").withColumnRenamed("l_returnflag", "g"), "l_quantity", "l_discount", ["g"])
 
