@@ -27,6 +27,8 @@ from evalloom.llm.common import checkpointed, python_ready
 from evalloom.llm.components import components
 
 K = 64
+#: Retained values by which classes of one list that nothing has joined yet are compared; sets up to this size are compared whole.
+WIDE = 256
 CACHE_WORDS = 1_000_000
 #: Keys of documents to verify that are broadcast at most (16 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 4_000_000
@@ -78,14 +80,14 @@ def signatures(docs: DataFrame, words: int, k: int = K) -> DataFrame:
     return slim.mapInArrow(run, f"doc_id {kind}, _row long, n_shingles long, digest binary, sketch array<long>")
 
 
-def full_sets(docs: DataFrame, keys: DataFrame, words: int) -> DataFrame:
-    """node, digest, n and shingles of the documents that ``keys`` (_id, _key, node, digest) names."""
+def full_sets(docs: DataFrame, keys: DataFrame, words: int, most: int | None = None) -> DataFrame:
+    """node, digest, n and shingles (the ``most`` smallest, or all) of the documents that ``keys`` (_id, _key, node, digest) names."""
 
     def run(batches):
         for batch in batches:
             sets = shingle_sets(batch.column("_bytes").to_pylist(), words)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), batch.column("digest"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                [batch.column("node"), batch.column("digest"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s[:most].view(np.int64) for s in sets], pa.list_(pa.int64()))],
                 names=["node", "digest", "n", "shingles"],
             )
 
@@ -159,13 +161,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, k:
         else:
             sketches = classes.select(F.col("node").alias("_s"), "sketch")
             rare = prefixes.select(F.col("node").alias("_p"), "rare")
-            side = open_lists.join(sketches, F.col("node") == F.col("_s")).join(rare, F.col("node") == F.col("_p"))
-            fields = ("root", "node", "n", "sketch", "rare")
+            keys = classes.join(open_lists.select("node").distinct(), "node").select(F.col("rep.doc_id").alias("_id"), F.col("rep._row").alias("_key"), "node", "digest")
+            wide = full_sets(docs, checkpointed(keys), words, WIDE).dropDuplicates(["node"]).select(F.col("node").alias("_x"), F.col("shingles").alias("wide"))
+            side = open_lists.join(sketches, F.col("node") == F.col("_s")).join(rare, F.col("node") == F.col("_p")).join(wide, F.col("node") == F.col("_x"))
+            fields = ("root", "node", "n", "sketch", "rare", "wide")
             left = side.select("value", *[F.col(c).alias(f"{c}_a") for c in fields])
             right = side.select(F.col("value").alias("_v"), *[F.col(c).alias(f"{c}_b") for c in fields])
             # a pair is met once, in the list of the first value that both prefixes have
             once = F.get(F.array_intersect("rare_a", "rare_b"), F.lit(0)) == F.col("value")
-            enough = once & (F.size(F.array_intersect("sketch_a", "sketch_b")) >= required(F.least("n_a", "n_b", F.lit(k)), threshold, k))
+            same = F.size(F.array_intersect("wide_a", "wide_b"))
+            # sets that are known whole are measured exactly, others by their wider sketches
+            whole = (F.col("n_a") <= WIDE) & (F.col("n_b") <= WIDE)
+            likely = F.when(whole, 100 * same >= share * (F.col("n_a") + F.col("n_b") - same)).otherwise(same >= required(F.least("n_a", "n_b", F.lit(WIDE)), threshold, WIDE))
+            enough = once & (F.size(F.array_intersect("sketch_a", "sketch_b")) >= required(F.least("n_a", "n_b", F.lit(k)), threshold, k)) & likely
             on = (F.col("value") == F.col("_v")) & (F.col("root_a") != F.col("root_b")) & (F.col("node_a") < F.col("node_b")) & close("n_a", "n_b") & enough
             pairs = left.join(right, on).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
