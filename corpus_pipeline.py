@@ -27,10 +27,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that stand in ten documents or more; a document without lines left goes."""
+    """Texts without the lines that stand in ten documents or more; a document that would lose all its lines stays whole.
+
+    Such documents are copies or made of common lines only. They are left to the
+    next stage, which keeps one of each group.
+    """
     out = line_dedup.dedup_lines(docs, min_docs=10, min_chars=1)
-    out = out.filter((F.col("n_dropped") == 0) | (F.btrim("kept_text", F.lit(" \t\n\x0b\x0c\r")) != ""))
-    return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.char_length("kept_text").cast("long").alias("n_chars"))
+    whole = (F.col("n_dropped") > 0) & (F.btrim("kept_text", F.lit(" \t\n\x0b\x0c\r")) == "")
+    text = F.when(whole, F.col("text")).otherwise(F.col("kept_text"))
+    return out.select("doc_id", text.alias("text"), "lang", "source", F.char_length(text).cast("long").alias("n_chars"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
