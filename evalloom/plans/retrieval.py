@@ -83,10 +83,13 @@ def cosine(spark, d):
     return R.cosine_top_k(queries, e, "q", "qv", "vec_id", "embedding").select("q", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-def _lists(spark, d):
-    """Two ranked lists for each of some queries over the vectors: by cosine, and by a label-and-id order in place of the lexical one."""
+def _lists(spark, d, every=50):
+    """Two ranked lists for each ``every``-th vector: by cosine, and by a label-and-id order in place of the lexical one.
+
+    The SQL of the queries below names every 50th vector; their ``_all`` forms take each of the stated set, every 20th.
+    """
     e = table(spark, d, "embeddings")
-    queries = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"), F.col("label").alias("ql"))
+    queries = e.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"), F.col("label").alias("ql"))
     dense = R.cosine_top_k(queries.select("q", "qv"), e, "q", "qv", "vec_id", "embedding").select("q", "vec_id", "rank", F.lit("vector").alias("method"))
     same = queries.select("q", "ql").join(e.select("vec_id", "label"), F.col("ql") == F.col("label")).select("q", "vec_id", ((F.col("vec_id") * 7919) % 1009).alias("score"))
     sparse = R.ranked(same, "q", F.desc("score"), "vec_id", 30).select("q", "vec_id", "rank", F.lit("bm25").alias("method"))
@@ -100,32 +103,52 @@ fused AS (SELECT q, vec_id, sum(CASE method WHEN 'bm25' THEN 0.6 ELSE 1.0 END::D
 
 
 @query("ret05_rrf_fusion", _LISTS.replace("q.vec_id % 20 = 0", "q.vec_id % 50 = 0") + " SELECT q, vec_id, round(score, 9) AS score, CAST(bm25_rank AS INT) AS bm25_rank, CAST(vector_rank AS INT) AS vector_rank FROM fused")
-def fusion(spark, d):
-    return R.rrf(_lists(spark, d), "q", "vec_id").select("q", "vec_id", F.round("score", 9).alias("score"), "bm25_rank", "vector_rank")
+def fusion(spark, d, every=50):
+    return R.rrf(_lists(spark, d, every), "q", "vec_id").select("q", "vec_id", F.round("score", 9).alias("score"), "bm25_rank", "vector_rank")
+
+
+@query("ret05_rrf_fusion_all")
+def fusion_all(spark, d):
+    return fusion(spark, d, 20)
 
 
 @query("ret06_jurisdiction_boost", _LISTS.replace("q.vec_id % 20 = 0", "q.vec_id % 50 = 0") + """
 , j AS (SELECT f.q, f.vec_id, f.score * CASE WHEN f.q % 100 = 0 THEN CASE WHEN f.vec_id % 6 = 0 THEN 0.9 ELSE 1.0 END WHEN lang = 'en' THEN 1.0 WHEN lang = 'de' THEN 1.25 ELSE 0.8 END::DOUBLE AS score FROM fused f JOIN documents d ON d.doc_id = f.vec_id)
 SELECT q, vec_id, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY q ORDER BY round(score, 12) DESC, vec_id) AS INT) AS rank FROM j""")
-def boost(spark, d):
+def boost(spark, d, every=50):
     docs = table(spark, d, "docs").select(F.col("doc_id").alias("vec_id"), F.when(F.col("jurisdiction") == "en", "GLOBAL").otherwise(F.upper("jurisdiction")).alias("j"), "doc_type")
-    fused = R.rrf(_lists(spark, d), "q", "vec_id").join(docs, "vec_id")
+    fused = R.rrf(_lists(spark, d, every), "q", "vec_id").join(docs, "vec_id")
     target = F.when(F.col("q") % 100 != 0, "DE")
     rows = fused.withColumn("score", F.col("score") * R.jurisdiction_factor(target, F.col("j"), F.col("doc_type")))
     return R.ranked(rows, "q", F.desc(F.round("score", 12)), "vec_id", 1000).select("q", "vec_id", F.round("score", 9).alias("score"), "rank")
 
 
+@query("ret06_jurisdiction_boost_all")
+def boost_all(spark, d):
+    return boost(spark, d, 20)
+
+
 @query("ret04_sparse_fallback", _LISTS.replace("q.vec_id % 20 = 0", "q.vec_id % 50 = 0") + """
 , f AS (SELECT q, vec_id FROM dense WHERE vec_id % 7 = 0), few AS (SELECT q FROM (SELECT DISTINCT q FROM dense) LEFT JOIN (SELECT q, count(*) AS n FROM f GROUP BY q) USING (q) WHERE coalesce(n, 0) < 3)
 SELECT q, vec_id, false AS fallback FROM f UNION ALL SELECT q, vec_id, true FROM dense WHERE q IN (SELECT q FROM few)""")
-def fallback(spark, d):
-    dense = _lists(spark, d).filter("method = 'vector'").select("q", "vec_id")
+def fallback(spark, d, every=50):
+    dense = _lists(spark, d, every).filter("method = 'vector'").select("q", "vec_id")
     return R.with_fallback(dense.filter("vec_id % 7 = 0"), dense, "q")
 
 
+@query("ret04_sparse_fallback_all")
+def fallback_all(spark, d):
+    return fallback(spark, d, 20)
+
+
 @query("ret16_mode_switch", _LISTS.replace("q.vec_id % 20 = 0", "q.vec_id % 50 = 0") + " SELECT method, q, count(*) AS n, min(rank) AS best FROM lists GROUP BY 1, 2")
-def modes(spark, d):
-    return _lists(spark, d).groupBy("method", "q").agg(F.count(F.lit(1)).alias("n"), F.min("rank").cast("long").alias("best"))
+def modes(spark, d, every=50):
+    return _lists(spark, d, every).groupBy("method", "q").agg(F.count(F.lit(1)).alias("n"), F.min("rank").cast("long").alias("best"))
+
+
+@query("ret16_mode_switch_all")
+def modes_all(spark, d):
+    return modes(spark, d, 20)
 
 
 @query("ret10_source_limits", "SELECT * FROM (VALUES (1, 8, 6000), (2, 8, 6000), (6, 12, 9000), (10, 16, 12000)) t(parts, top_k, budget)")

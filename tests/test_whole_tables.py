@@ -50,3 +50,33 @@ def test_every_question_is_ranked(spark, name, allowed):
 def test_every_question_has_sources(spark, name):
     got = {r["item_id"] for r in QUERIES[name](spark, SF).select("item_id").distinct().collect()}
     assert got == set(brute_bm25())
+
+
+def brute_lists(every=20):
+    vectors = rows("SELECT vec_id, embedding, label FROM {embeddings} ORDER BY 1")
+    unit = {i: [x / math.sqrt(sum(y * y for y in v)) for x in v] for i, v, _ in vectors}
+    label = {i: n for i, _, n in vectors}
+    out = {}
+    for q in (i for i in unit if i % every == 0):
+        out["vector", q] = sorted(unit, key=lambda i: (-round(sum(a * b for a, b in zip(unit[q], unit[i], strict=True)), 12), i))[:30]
+        out["bm25", q] = sorted((i for i in unit if label[i] == label[q]), key=lambda i: (-(i * 7919 % 1009), i))[:30]
+    return out
+
+
+def test_every_stated_vector_has_lists(spark):
+    lists = brute_lists()
+    fused = {}
+    for (method, q), ids in lists.items():
+        for n, i in enumerate(ids, 1):
+            fused[q, i] = fused.get((q, i), 0) + {"bm25": 0.6, "vector": 1.0}[method] / (60 + n)
+    got = {(r["q"], r["vec_id"]): r["score"] for r in QUERIES["ret05_rrf_fusion_all"](spark, SF).collect()}
+    assert set(got) == set(fused) and all(got[k] == pytest.approx(fused[k], abs=2e-9) for k in got)
+    modes = {(r["method"], r["q"]): (r["n"], r["best"]) for r in QUERIES["ret16_mode_switch_all"](spark, SF).collect()}
+    assert modes == {k: (len(v), 1) for k, v in lists.items()}
+    dense = {q: ids for (method, q), ids in lists.items() if method == "vector"}
+    hits = {(q, i, False) for q, ids in dense.items() for i in ids if i % 7 == 0}
+    few = {(q, i, True) for q, ids in dense.items() for i in ids if sum(j % 7 == 0 for j in ids) < 3}
+    assert {tuple(r) for r in QUERIES["ret04_sparse_fallback_all"](spark, SF).select("q", "vec_id", "fallback").collect()} == hits | few
+    docs = {i for (i,) in rows("SELECT doc_id FROM {documents}")}
+    boosted = {(r["q"], r["vec_id"]) for r in QUERIES["ret06_jurisdiction_boost_all"](spark, SF).collect()}
+    assert boosted == {(q, i) for q, i in fused if i in docs}
