@@ -80,3 +80,11 @@ def test_every_stated_vector_has_lists(spark):
     docs = {i for (i,) in rows("SELECT doc_id FROM {documents}")}
     boosted = {(r["q"], r["vec_id"]) for r in QUERIES["ret06_jurisdiction_boost_all"](spark, SF).collect()}
     assert boosted == {(q, i) for q, i in fused if i in docs}
+
+
+def test_copy_overlap_reads_long_documents(spark):
+    tri = lambda t: (lambda w: {tuple(w[i : i + 3]) for i in range(len(w) - 2)})([x for x in re.split("[^a-z0-9]+", (t or "").lower()) if x])
+    docs = [tri(t) for (t,) in rows("SELECT text FROM {documents}")]
+    want = {i: max(len(q & c) for c in docs) / len(q) for i, t in rows("SELECT item_id, text FROM {benchmark}") if (q := tri(t))}
+    got = {r["item_id"]: r["overlap"] for r in QUERIES["sta29_copy_overlap_all"](spark, SF).collect()}
+    assert got == pytest.approx({i: x for i, x in want.items() if x}, abs=6e-5)
