@@ -7,6 +7,7 @@ aggregates over values sorted by key first.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -80,13 +81,14 @@ def bootstrap_by(df: DataFrame, groups: list[str], key: str, value: str, salt: s
 
 
 def mcnemar(a_only: Column, b_only: Column) -> Column:
-    """Exact two-sided McNemar p from the discordant counts (up to 1000 pairs in double precision)."""
-    m, k = a_only + b_only, F.least(a_only, b_only)
-    # sum over i <= k of C(m, i) / 2^m with each term from the one before
-    start = F.struct(F.pow(F.lit(0.5), m).alias("term"), F.lit(0.0).alias("sum"))
-    step = lambda s, i: F.struct((s["term"] * (m - i) / (i + 1)).alias("term"), (s["sum"] + s["term"]).alias("sum"))
-    tail = F.aggregate(F.sequence(F.lit(0), k.cast("int")), start, step, lambda s: s["sum"])
-    return F.when(m == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
+    """Exact two-sided McNemar p from the discordant counts, however many; 0 only where p is below the smallest double."""
+    m, k = a_only + b_only, F.least(a_only, b_only).cast("int")
+    # sum over i <= k of C(m, i) / 2^m: the logarithm of the largest term, i = k, and the others as parts of it
+    log = F.when(k > 0, F.aggregate(F.sequence(F.lit(1), k), F.lit(0.0), lambda s, i: s + F.log((m - i + 1) / (2.0 * i)))).otherwise(0.0) - (m - k) * math.log(2)
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("sum"))
+    step = lambda s, i: F.struct((s["term"] * i / (m - i + 1)).alias("term"), (s["sum"] + s["term"]).alias("sum"))
+    parts = F.aggregate(F.sequence(k, F.lit(0)), start, step, lambda s: s["sum"])
+    return F.when(m == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.exp(log) * parts))
 
 
 def agresti_min(a_only: Column, b_only: Column, n: Column) -> tuple[Column, Column]:

@@ -55,6 +55,12 @@ def mcnemar_counts(spark, d):
     return S.paired_binary(_pairs(spark, d), "hit_a", "hit_b", ["flag"]).select("flag", "n", "a_only", "b_only")
 
 
+@query("sta07_mcnemar_p")
+def mcnemar_p(spark, d):
+    """The counts with their p; tests hold p against exact integers."""
+    return S.paired_binary(_pairs(spark, d), "hit_a", "hit_b", ["flag"]).select("flag", "n", "a_only", "b_only", "p")
+
+
 @query("sta07_mcnemar_exact", """WITH t AS (SELECT * FROM (VALUES (2, 10), (1, 8), (0, 6), (5, 5), (0, 0), (3, 1)) v(a, b)),
 e AS (SELECT a, b, unnest(range(0, least(a, b) + 1)) AS i FROM t)
 SELECT a, b, CASE WHEN a + b = 0 THEN 1.0 ELSE least(1.0, 2 * sum(factorial(a + b) / (factorial(i::INT) * factorial((a + b - i)::INT)) / pow(2, a + b))) END AS p FROM e GROUP BY a, b""")

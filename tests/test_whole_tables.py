@@ -88,3 +88,25 @@ def test_copy_overlap_reads_long_documents(spark):
     want = {i: max(len(q & c) for c in docs) / len(q) for i, t in rows("SELECT item_id, text FROM {benchmark}") if (q := tri(t))}
     got = {r["item_id"]: r["overlap"] for r in QUERIES["sta29_copy_overlap_all"](spark, SF).collect()}
     assert got == pytest.approx({i: x for i, x in want.items() if x}, abs=6e-5)
+
+
+def exact(a, b):
+    from fractions import Fraction
+
+    m = a + b
+    return min(1.0, float(Fraction(2 * sum(math.comb(m, i) for i in range(min(a, b) + 1)), 2**m)))
+
+
+@pytest.mark.parametrize("a, b", [(0, 0), (1, 0), (540, 540), (600, 540), (1010, 968), (3103, 3103), (3000, 3206), (3206, 3000), (2900, 3306)])
+def test_mcnemar_over_many_pairs(spark, a, b):
+    from pyspark.sql import functions as F
+
+    from evalloom.operators import statistics as S
+
+    got = spark.createDataFrame([(a, b)], "a long, b long").select(S.mcnemar(F.col("a"), F.col("b"))).first()[0]
+    assert got == pytest.approx(exact(a, b), rel=1e-8)
+
+
+def test_mcnemar_of_the_real_pairs(spark):
+    got = QUERIES["sta07_mcnemar_p"](spark, SF).collect()
+    assert got and all(r["p"] == pytest.approx(exact(r["a_only"], r["b_only"]), rel=1e-8) for r in got)
