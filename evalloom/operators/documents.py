@@ -20,7 +20,8 @@ TARGET, MOST, OVERLAP, LEAST = 600, 800, 90, 40
 
 
 def token_count(text: Column) -> Column:
-    return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(\w+|[^\w\s])"), F.lit(1)))
+    """Like :func:`count_tokens`: letters and digits of any script, and Python's white space."""
+    return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?U)([\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x1c-\x1f])"), F.lit(1)))
 
 
 def count_tokens(text: str) -> int:

@@ -185,6 +185,22 @@ def title_match(spark, d):
     return both.withColumn("r", rank).filter("r = 1").select("k", "other", "jaccard")
 
 
+@query("join22_title_match_all")
+def title_match_all(spark, d):
+    """Parts of a department with equal words are one class; classes are matched, then their members paired."""
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("p_name"), "[^a-z0-9]+"), lambda w: w != "")))
+    s = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("dept"), words.alias("x"))
+    classes = s.groupBy("dept", "x").agg(F.count(F.lit(1)).alias("n"))
+    a = classes.select("dept", "x", "n", F.explode("x").alias("w"))
+    b = classes.select("dept", F.col("x").alias("y"), F.explode("x").alias("w"))
+    both = a.join(b, ["dept", "w"]).filter((F.col("x") != F.col("y")) | (F.col("n") > 1)).select("dept", "x", "y").distinct()
+    both = both.select("dept", "x", "y", (F.size(F.array_intersect("x", "y")) / F.least(F.size("x"), F.size("y"))).alias("contained"), T.jaccard(F.col("x"), F.col("y")).alias("jaccard")).filter("contained >= 0.5")
+    rank = F.rank().over(Window.partitionBy("dept", "x").orderBy(F.desc("contained"), F.desc("jaccard")))
+    best = both.withColumn("r", rank).filter("r = 1").select("dept", "x", "y", "jaccard")
+    others = s.select("dept", F.col("k").alias("other"), F.col("x").alias("y"))
+    return s.join(best, ["dept", "x"]).join(others, ["dept", "y"]).filter("k <> other").select("k", "other", "jaccard")
+
+
 @query("sta15_rotating_suffix", "SELECT o_orderkey, ['a', 'b', 'c'][1 + (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) % 3] AS suffix FROM orders")
 def rotating(spark, d):
     nth = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1

@@ -51,6 +51,11 @@ def json_flag(spark, d):
     return e.select("event_id", F.when(F.col("props").like("{%}"), F.get_json_object("props", "$.k")).alias("k"))
 
 
+@query("flt08_json_flag_all")
+def json_flag_all(spark, d):
+    return table(spark, d, "events").select("event_id", F.when(F.col("props").like("{%}"), F.get_json_object("props", "$.k")).alias("k"))
+
+
 @query("flt09_chunk_eligibility", duck("docs") + " SELECT doc_id FROM docs WHERE status = 'ready' AND n_chars >= 320 AND doc_type NOT IN ('manual')")
 def eligible(spark, d):
     return table(spark, d, "docs").filter((F.col("status") == "ready") & (F.col("n_chars") >= 320) & ~F.col("doc_type").isin("manual")).select("doc_id")
@@ -208,9 +213,19 @@ def markers(spark, d):
 SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY r, part) AS nth FROM (
 SELECT vec_id % 60 AS vec_id, vec_id % 4 AS part, row_number() OVER (PARTITION BY vec_id % 4 ORDER BY vec_id) AS r FROM embeddings WHERE vec_id < 200)) WHERE nth = 1""")
 def interleave(spark, d):
+    """The vectors that the SQL names; win11_interleave_all has every one."""
+    return _interleave(table(spark, d, "embeddings").filter("vec_id < 200"))
+
+
+@query("win11_interleave_all")
+def interleave_all(spark, d):
+    return _interleave(table(spark, d, "embeddings"))
+
+
+def _interleave(vectors):
     from evalloom.operators.retrieval import interleaved
 
-    e = table(spark, d, "embeddings").filter("vec_id < 200").select((F.col("vec_id") % 60).alias("chunk"), (F.col("vec_id") % 4).alias("part"), F.row_number().over(Window.partitionBy(F.col("vec_id") % 4).orderBy("vec_id")).alias("rank"), F.lit(0).alias("q"))
+    e = vectors.select((F.col("vec_id") % 60).alias("chunk"), (F.col("vec_id") % 4).alias("part"), F.row_number().over(Window.partitionBy(F.col("vec_id") % 4).orderBy("vec_id")).alias("rank"), F.lit(0).alias("q"))
     return interleaved(e, "q").select(F.col("chunk").alias("vec_id"), "part", "pos")
 
 

@@ -138,7 +138,7 @@ def longest(spark, d):
 @query("map02_config_diff")
 def config_diff(spark, d):
     python_ready(spark)
-    e = table(spark, d, "events").filter("event_id < 500").selectExpr("event_id", "concat('{\"a\": {\"k\": ', get_json_object(props, '$.k'), ', \"m\": ', event_id % 3, '}, \"v\": [1, 2]}') AS cfg")
+    e = table(spark, d, "events").selectExpr("event_id", "concat('{\"a\": {\"k\": ', get_json_object(props, '$.k'), ', \"m\": ', event_id % 3, '}, \"v\": [1, 2]}') AS cfg")
     pairs = e.alias("x").join(e.alias("y"), F.col("y.event_id") == F.col("x.event_id") + 1)
     return pairs.select(F.col("x.event_id").alias("event_id"), F.array_join(config.differing(config.flat_config("x.cfg"), config.flat_config("y.cfg")), ",").alias("changed"))
 
@@ -174,6 +174,11 @@ def token_counts(spark, d):
     return docs.select("doc_id", D.token_count(F.col("text")).cast("long").alias("n"))
 
 
+@query("doc12_token_counts_all")
+def token_counts_all(spark, d):
+    return table(spark, d, "documents").select("doc_id", D.token_count(F.col("text")).cast("long").alias("n"))
+
+
 @query("doc17_duplicate_uploads", "SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source, sha256(text) ORDER BY doc_id) > 1")
 def uploads(spark, d):
     from pyspark.sql.window import Window

@@ -110,3 +110,49 @@ def test_mcnemar_over_many_pairs(spark, a, b):
 def test_mcnemar_of_the_real_pairs(spark):
     got = QUERIES["sta07_mcnemar_p"](spark, SF).collect()
     assert got and all(r["p"] == pytest.approx(exact(r["a_only"], r["b_only"]), rel=1e-8) for r in got)
+
+
+def test_every_part_is_matched(spark):
+    parts = [(k, b, frozenset(x for x in re.split("[^a-z0-9]+", n.lower()) if x)) for k, b, n in rows("SELECT p_partkey, p_brand, p_name FROM {part}")]
+    parts += [(900, "alone", frozenset(["odd", "ring"])), (901, "alone", frozenset(["odd", "bolt"])), (902, "alone", frozenset(["odd", "old", "bolt"]))]
+    table = spark.createDataFrame([(k, b, " ".join(sorted(t))) for k, b, t in parts], "p_partkey long, p_brand string, p_name string")
+    want = set()
+    for k, b, x in parts:
+        near = [(len(x & y) / min(len(x), len(y)), len(x & y) / len(x | y), o) for o, c, y in parts if c == b and o != k]
+        near = [n for n in near if n[0] >= 0.5]
+        want |= {(k, n[2], round(n[1], 9)) for n in near if n[:2] == max(near)[:2]}
+    from unittest.mock import patch
+
+    with patch("evalloom.plans.feeds.table", lambda *_: table):
+        assert {(r["k"], r["other"], round(r["jaccard"], 9)) for r in QUERIES["join22_title_match_all"](spark, SF).collect()} == want
+
+
+def test_every_vector_is_dealt(spark):
+    vectors = sorted(i for (i,) in rows("SELECT vec_id FROM {embeddings}"))
+    nth, seen, want = Counter(), set(), {}
+    for rank, part, chunk in sorted((nth.update([i % 4]) or nth[i % 4], i % 4, i % 60) for i in vectors):
+        if chunk not in seen:
+            seen.add(chunk)
+            want[chunk] = (part, len(want) + 1)
+    got = QUERIES["win11_interleave_all"](spark, SF).collect()
+    assert {r["vec_id"]: (r["part"], r["pos"]) for r in got} == want and len(got) == len(want)
+
+
+def test_every_event_has_its_flag_and_changes(spark):
+    import json
+
+    value = {i: json.loads(p)["k"] for i, p in rows("SELECT event_id, props FROM {events}")}
+    assert {r["event_id"]: r["k"] for r in QUERIES["flt08_json_flag_all"](spark, SF).collect()} == {i: str(k) for i, k in value.items()}
+    want = {i: ",".join([*(["a.k"] if k != value[i + 1] else []), "a.m"]) for i, k in value.items() if i + 1 in value}
+    assert {r["event_id"]: r["changed"] for r in QUERIES["map02_config_diff"](spark, SF).collect()} == want
+
+
+def test_tokens_of_every_document(spark):
+    from pyspark.sql import functions as F
+
+    from evalloom.operators.documents import count_tokens, token_count
+
+    want = {i: count_tokens(t or "") for i, t in rows("SELECT doc_id, text FROM {documents}")}
+    assert {r["doc_id"]: r["n"] for r in QUERIES["doc12_token_counts_all"](spark, SF).collect()} == want
+    odd = "Größe élan naïve_x 東京 ½ ٣٤ a b\x1cc – “q”"
+    assert spark.createDataFrame([(odd,)], "t string").select(token_count(F.col("t"))).first()[0] == count_tokens(odd)
