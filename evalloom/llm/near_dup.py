@@ -29,34 +29,76 @@ from evalloom.llm.components import components
 K = 64
 #: Retained values by which classes of one list that nothing has joined yet are compared; sets up to this size are compared whole.
 WIDE = 256
-CACHE_WORDS = 1_000_000
 #: Keys of documents to verify that are broadcast at most (16 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 4_000_000
-_cache: dict[bytes, int] = {}
+#: Bytes whose words are hashed at once.
+BLOCK = 1 << 19
+
+_SPACE = np.zeros(256, bool)
+_SPACE[list(b" \t\n\x0b\x0c\r")] = True
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_VALUE = np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+_VALUE = (_VALUE ^ (_VALUE >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+_VALUE[65:91] = _VALUE[97:123]
+
+
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes and starts of the words in bytes that end in white space, A-Z lower-cased; a block of bytes at a time."""
+    hashes, starts, at = [], [], 0
+    while at < len(data):
+        end = min(len(data), at + BLOCK)
+        space = _SPACE[data[at:end]]
+        while not space.any():  # a word longer than a block
+            end = min(len(data), at + 2 * (end - at))
+            space = _SPACE[data[at:end]]
+        space = space[: len(space) - int(space[::-1].argmax())]
+        here = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+        if not space[0]:
+            here = np.concatenate([[0], here])
+        if len(here):
+            ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
+            sizes = ends - here
+            # each byte's value by its place in its word; words lie side by side
+            place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            powers = _BASE ** np.arange(int(sizes.max()), dtype=np.uint64)
+            values = _VALUE[data[at : at + len(space)][~space]] * powers[place]
+            h = np.add.reduceat(values, np.cumsum(sizes) - sizes)
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            hashes.append(h ^ (h >> np.uint64(32)))
+            starts.append(here + at)
+        at += len(space)
+    none = np.empty(0, np.int64)
+    return np.concatenate(hashes) if hashes else none.astype(np.uint64), np.concatenate(starts) if starts else none
 
 
 def shingle_sets(texts: list[bytes | None], words: int) -> list[np.ndarray]:
-    """Sorted distinct 64-bit hashes of the ``words``-word shingles of each text, A-Z lower-cased.
+    """Sorted distinct 63-bit hashes of the ``words``-word shingles of each text, A-Z lower-cased.
 
     A shorter text has its whole sequence of words as its one shingle, a text
-    without words none.
+    without words none. Nothing is kept from one call to the next.
     """
-    split = [(t or b"").lower().split() for t in texts]
-    if len(_cache) > CACHE_WORDS:
-        _cache.clear()
-    for w in {w for ws in split for w in ws if w not in _cache}:
-        _cache[w] = xxhash.xxh3_64_intdigest(w)
-    get, out = _cache.__getitem__, []
-    for ws in split:
-        h = np.fromiter(map(get, ws), np.uint64, len(ws))
-        size = min(words, len(h))
-        n = len(h) - size + 1 if size else 0
+    if not texts:
+        return []
+    data = np.frombuffer(b" ".join(t or b"" for t in texts) + b" ", np.uint8)
+    h, starts = word_hashes(data)
+    begins = np.cumsum([0, *(len(t or b"") + 1 for t in texts)])
+    cuts = np.searchsorted(starts, begins).tolist()
+
+    def mixed(size: int, h: np.ndarray) -> np.ndarray:
+        n = len(h) - size + 1
         x = np.full(n, size, np.uint64)
         for j in range(size):
             x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[j : j + n]
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
-        out.append(np.unique((x ^ (x >> np.uint64(31))) >> np.uint64(1)))  # 63 bits: not negative as a long
-    return out
+        return (x ^ (x >> np.uint64(31))) >> np.uint64(1)  # 63 bits: not negative as a long
+
+    every = mixed(words, h) if len(h) >= words else h[:0]
+    sets = []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        x = every[a : b - words + 1].copy() if b - a >= words else mixed(b - a, h[a:b]) if b > a else h[:0]
+        x.sort()
+        sets.append(x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) > 1 else x)
+    return sets
 
 
 def signatures(docs: DataFrame, words: int, k: int = K) -> DataFrame:
@@ -110,13 +152,14 @@ def required(size: Column, threshold: float, k: int) -> Column:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, k: int = K) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row.
+    """doc_id, _row (hash of the text), n_shingles, component_id and kept of every row.
 
     component_id is the smallest doc_id of the component of links with Jaccard
     similarity of at least ``threshold`` (in hundredths); kept marks the row
     with that id. Texts without words link with nothing. Rows with a null id
     belong to components but never name one; where no row of a component has an
-    id its rows are kept. Rows equal in id are kept or dropped together.
+    id its rows are kept. Rows equal in id and text are kept or dropped together,
+    and ``_row`` tells rows apart that are equal in id only.
     """
     share = round(threshold * 100)
     sigs = checkpointed(signatures(docs, words, k))
@@ -187,7 +230,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, k:
     named = tied.join(ids, "root").select(F.col("digest").alias("_digest"), "component_id")
     out = sigs.join(named, sigs["digest"] == named["_digest"], "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    return out.select("doc_id", "_row", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, share: int, threshold: float, k: int) -> DataFrame:

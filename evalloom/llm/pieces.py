@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from evalloom.llm.common import python_ready
 
 SPACE = "▁"
-#: Words that a Python worker remembers; then it begins anew.
-CACHE_WORDS = 1_000_000
+#: Memory for the words that a Python worker remembers; then it begins anew.
+CACHE_BYTES = 32_000_000
+#: Memory that an entry takes beside its word and its ids.
+ENTRY_BYTES = 180
 #: Text that is encoded at once; batches beyond are cut.
 BATCH_BYTES = 16_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -100,6 +102,7 @@ class Codec:
         self.likely = np.zeros(1 << 20, bool)  # by the first bits of a key
         self.likely[(self.keys >> np.uint64(44)).astype(np.int64)] = True
         self.cache: dict[str, bytes] = {}
+        self.held = 0
 
     @staticmethod
     def _key(piece: str) -> int:
@@ -280,14 +283,15 @@ class Codec:
         for w in words:
             by_length.setdefault(len(w), []).append(w)
         for length, same in by_length.items():
-            step = max(1, 400_000 // (length + 1))
+            step = max(1, 100_000 // (length + 1))
             for k in range(0, len(same), step):
                 part = same[k : k + step]
                 full = [lead + w for w in part]
                 if not length and not lead:
                     continue
                 for w, f, ids in zip(part, full, self._encode_equal(full), strict=True):
-                    self.cache[w] = self._finish(f, ids)
+                    self.cache[w] = got = self._finish(f, ids)
+                    self.held += ENTRY_BYTES + 4 * len(w) + len(got)
 
     def _words(self, text: str) -> list[str]:
         if not text:
@@ -302,8 +306,9 @@ class Codec:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers; null and empty texts have none."""
         split = [self._words(t or "") for t in texts]
-        if len(self.cache) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             self.cache.clear()
+            self.held = 0
         cache = self.cache
         new = {w for words in split for w in words if w not in cache}
         if new:

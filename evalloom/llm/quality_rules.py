@@ -9,7 +9,7 @@ documents through a join of the small verdict table.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalloom.llm.common import checkpointed, python_ready
@@ -26,26 +26,33 @@ def _measure(batches):
     for batch in batches:
         rows = [rule_counts(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column("_bytes")]
         columns = list(zip(*rows, strict=True)) if rows else [()] * len(COUNTS)
-        arrays = [batch.column("doc_id"), batch.column("host"), batch.column("_chars"), *(pa.array(c, pa.int64()) for c in columns)]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "host", "_chars", *COUNTS])
+        arrays = [*(batch.column(c) for c in ("doc_id", "_row", "host", "_chars")), *(pa.array(c, pa.int64()) for c in columns)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "_row", "host", "_chars", *COUNTS])
+
+
+def row_key(host: str = "source") -> Column:
+    """A hash of all that a verdict depends on; rows with one id and one key have one verdict."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return F.xxhash64(text, F.octet_length(text), F.coalesce(F.col(host).cast("string"), F.lit("")), F.col(host).isNull())
 
 
 def base_rules(docs: DataFrame, host: str = "source") -> DataFrame:
-    """doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rule_failed.
+    """doc_id, _row, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rule_failed.
 
     Needs doc_id, text and the host's column. A null text has no words and
     fails. rule_failed also holds a softer rule that counts against the host only:
-    symbols over a tenth of the characters in words.
+    symbols over a tenth of the characters in words. ``_row`` is
+    :func:`row_key`, by which a verdict finds its row where an id repeats.
     """
     python_ready(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    slim = docs.select("doc_id", F.col(host).cast("string").alias("host"), F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("_chars"), F.col("text").cast("binary").alias("_bytes"))
-    schema = f"doc_id {kind}, host string, _chars long, " + ", ".join(f"{c} long" for c in COUNTS)
+    slim = docs.select("doc_id", row_key(host).alias("_row"), F.col(host).cast("string").alias("host"), F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("_chars"), F.col("text").cast("binary").alias("_bytes"))
+    schema = f"doc_id {kind}, _row long, host string, _chars long, " + ", ".join(f"{c} long" for c in COUNTS)
     rows = slim.mapInArrow(_measure, schema).withColumn("word_chars", F.col("_chars") - F.col("n_spaces"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     soft = 10 * F.col("n_symbols") > F.col("word_chars")
     return rows.select(
-        "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "_row", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (failed | soft).alias("rule_failed"),
     )
 

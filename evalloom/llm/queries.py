@@ -50,7 +50,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bottom_k_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(documents(spark, sf_dir), words=3, threshold=0.85)
+    return near_dup.near_duplicates(documents(spark, sf_dir), words=3, threshold=0.85).drop("_row")
 
 
 def op10_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,8 @@ MAGIC, VERSION, SAMPLE = b"EFTK", 1, 64
 HEAD = struct.Struct("<4sBBBBQQQQQ")
 #: Ids of a block, unless one document has more.
 BLOCK_IDS = 1 << 20
-CACHE_WORDS = 1_000_000
+#: Memory for the words that a Python worker remembers, and what an entry takes beside its word and its ids.
+CACHE_BYTES, ENTRY_BYTES = 32_000_000, 180
 #: Latin letters and then signs without apostrophe, digit and "<": two runs that are encoded apart.
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=-@\\[-`{-~]*)")
 #: Totals of shards that are broadcast at most (16 bytes each); more are joined by a shuffle.
@@ -113,6 +114,7 @@ class WordEncoder:
         self.width = 2 if self.tool.get_vocab_size() <= 1 << 16 else 4
         self.cache: dict[bytes, bytes] = {}
         self.runs: dict[str, bytes] = {}
+        self.held = 0
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
         self.sign = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}  # the byte-level alphabet
@@ -123,24 +125,28 @@ class WordEncoder:
         if got is None:
             signs = text if text.isascii() else "".join(self.sign[b] for b in text.encode())
             got = self.runs[text] = np.array([t.id for t in self.tool.model.tokenize(signs)], f"<u{self.width}").tobytes()
+            self.held += ENTRY_BYTES + 4 * len(text) + len(got)
         return got
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         split = [(t or b"").split() for t in texts]
-        if len(self.cache) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             self.cache.clear()
             self.runs.clear()
+            self.held = 0
         cache, other = self.cache, []
         for w in {w for words in split for w in words if w not in cache}:
             text = w.decode()
             if m := _PLAIN.fullmatch(text):
                 cache[w] = self._run(m[1].lower()) + (self._run(m[2]) if m[2] else b"")
+                self.held += ENTRY_BYTES + len(w) + len(cache[w])
             else:
                 other.append(w)
         for k in range(0, len(other), 1000):
             part = other[k : k + 1000]
             for w, e in zip(part, self.tool.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
                 cache[w] = np.array(e.ids, f"<u{self.width}").tobytes()
+                self.held += ENTRY_BYTES + len(w) + len(cache[w])
         get = cache.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
