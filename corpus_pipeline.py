@@ -15,15 +15,15 @@ from evalloom.llm.token_files import shared_path
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose id is in ids, nulls included."""
-    side = ids.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(side, docs["doc_id"].eqNullSafe(side["_id"]), "left_semi").select(*COLUMNS)
+def _keep(docs: DataFrame, verdicts: DataFrame, row) -> DataFrame:
+    """The rows of docs that ``verdicts`` (doc_id, _row) names: by id, nulls included, and by ``row``, so that an id that repeats is judged by row."""
+    side = verdicts.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_r")).distinct()
+    return docs.join(side, (row == F.col("_r")) & docs["doc_id"].eqNullSafe(side["_id"]), "left_semi").select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that their own rules and their host pass."""
-    return _keep(docs, quality_rules.judged(docs).filter("kept"))
+    """Documents that their own rules and their host pass; equal rows are judged alike, an empty table stays empty."""
+    return _keep(docs, quality_rules.judged(docs).filter("kept"), quality_rules.row_key())
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +39,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8)."""
-    return _keep(docs, near_dup.near_duplicates(docs, words=5, threshold=0.8).filter("kept"))
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the one with the smallest id.
+
+    Texts without words stay, and so do groups without any id; rows that repeat
+    an id and its text are one document, of which any one row stays.
+    """
+    rows = _keep(docs, near_dup.near_duplicates(docs, words=5, threshold=0.8).filter("kept"), F.xxhash64("text"))
+    return rows.withColumn("_row", F.xxhash64("text")).dropDuplicates(["doc_id", "_row"]).drop("_row")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
