@@ -311,18 +311,17 @@ def _merged(length: int):
         out["at"].append(at[twice])
         out["window"].append(np.full(int(twice.sum()), -1, np.int64))
 
+    def decoded(r):
+        """The run's suffixes as they are asked for: of each run only one stands decoded."""
+        cuts = [0, *r["ends"]]
+        rests = (r["rests"][a:b] for a, b in zip(cuts, cuts[1:], strict=False))
+        for (s, n), left, row, spot in zip(decode_run(r["lens"], rests), r["lefts"], r["rows"], r["spots"], strict=True):
+            yield s, n, (left, row, spot)
+
     def merge(runs):
         out = {"row": [], "at": [], "window": []}
         group, outer = [], True
-        sources = []
-        for r in runs:
-            view, at, rests = r["rests"], 0, []
-            for n in r["ends"]:
-                rests.append(view[at:n])
-                at = n
-            decoded = decode_run(r["lens"], rests)
-            sources.append([(s, n, item) for (s, n), item in zip(decoded, zip(r["lefts"], r["rows"], r["spots"], strict=True), strict=True)])
-        for suffix, n, (left, row, spot) in LoserTree(sources):
+        for suffix, n, (left, row, spot) in LoserTree([decoded(r) for r in runs]):
             if group and n < shared:
                 if outer or len(group) > 1:
                     settle(group, outer, out)
@@ -390,11 +389,11 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     likely = checkpointed(spots.join(several, "right"))
     classes = likely.groupBy("right", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_row", "spot")).alias("rep"))
     classes = checkpointed(classes)
-    copied = classes.filter("n > 1").select("around")
+    copied = classes.filter("n > 1").select("right", "around")
     at = F.shiftright("spot", 18)
     begin = at - F.col("spot").bitwiseAND(F.lit(511))
     end = at - F.shiftright("spot", 9).bitwiseAND(F.lit(511)) + length
-    whole = likely.join(copied, "around", "left_semi").select("_row", begin.alias("lo"), end.alias("hi"))
+    whole = likely.join(copied, ["right", "around"], "left_semi").select("_row", begin.alias("lo"), end.alias("hi"))
 
     mixed = checkpointed(classes.groupBy("right").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("right"))
     reps = checkpointed(classes.join(mixed, "right", "left_semi").select("n", "rep._row", "rep.spot"))
