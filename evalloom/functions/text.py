@@ -2,20 +2,38 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
-
-# Words that carry no meaning in a search.
-STOPWORDS = (
-    "a an and are as at be but by for from has have how i if in into is it its my no not of on or our so "
-    "that the their then there these they this to was we were what when where which who will with you your"
-).split()
+from pyspark.sql.types import ArrayType, StringType
+
+from evalloom.functions import stemmer
+
+# The words that a search leaves out, and the formats of codes and marks.
+STOPWORD_TEXT = """
+a about above after again against all am an and any are aren't as at be because been before being below between both
+but by can cannot could couldn't did didn't do does doesn't doing don't down during each few for from further had hadn't
+has hasn't have haven't having he her here hers herself him himself his how i if in into is isn't it its itself just let
+me more most must my myself no nor not now of off on once only or other ought our ours ourselves out over own same shall
+she should shouldn't so some such than that the their theirs them themselves then there these they this those through to
+too under until up upon very was wasn't we were weren't what when where which while who whom why will with won't would
+wouldn't you your yours yourself yourselves s t d ll m re ve also may might per via
+"""
+STOPWORDS = STOPWORD_TEXT.replace("'", "").split()  # texts lose their apostrophes first
+_STOP = frozenset(STOPWORDS)
 COMPOUND = r"[a-z0-9]+(?:[.\-/][a-z0-9]+)*"
+APOSTROPHES = "['’‘`]"
 DOC_CODE = r"\b[A-Z]{2,5}-[A-Z]{2,5}-\d{2,4}\b"
+CODE_RANGE = r"\b([A-Z]{2,5}-[A-Z]{2,5}-)(\d{2,4})\s*(?:to|–|—|-)\s*\1(\d{2,4})\b"
+SENTENCE = r"(?<=[.!?;])\s+(?=[A-Z0-9(\"“])"
+MONTH_DATE = r"\b(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},\s+\d{4}\b"
+LIST_MARKER = r"^(?:[•●▪◦‣∙–\-*∗]\s+|\d{1,2}[.)]\s+|\((?:[a-z]|[ivx]{1,4}|\d{1,2})\)\s+)"
+FOOTER, RULE = r"(?i)^(?:Page \d+ of \d+|End of document\b.*)$", r"^[\s\-_=—–·.•*]+$"
+SECTION_REFS = (r"\((\d+\.\d+)\)", r"(?i)(?:section|§)\s*(\d+\.\d+)")
 
 
 @F.pandas_udf(StringType())
@@ -29,7 +47,27 @@ def simple_tokens(text: Column) -> Column:
 
 
 def kept(token: Column) -> Column:
-    return ~token.isin(STOPWORDS) & ((F.length(token) > 1) | token.rlike("[0-9]"))
+    return ~token.isin(STOPWORDS) & ((F.length(token) > 1) | token.rlike("^[0-9]$"))
+
+
+_stem = functools.lru_cache(maxsize=50_000)(stemmer.stem)
+
+
+def normal_tokens(text: str | None) -> list[str]:
+    """What :func:`search_tokens` gives for one text."""
+    out: list[str] = []
+    for word in re.findall(COMPOUND, re.sub(APOSTROPHES, "", unicodedata.normalize("NFKC", text or "").lower())):
+        parts = re.split(r"[.\-/]", word)
+        if len(parts) > 1:
+            out.append(word)
+        out += [_stem(p) if p.isalpha() else p for p in parts if p not in _STOP and (len(p) > 1 or p.isdigit())]
+    return out
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def search_tokens(text: pd.Series) -> pd.Series:
+    """The tokens of an index: normalised, without stopwords, compounds whole and in parts, alphabetic parts stemmed; null has none."""
+    return text.map(normal_tokens)
 
 
 def compound_tokens(text: Column, stem=None) -> Column:
@@ -39,7 +77,7 @@ def compound_tokens(text: Column, stem=None) -> Column:
     stopword or one letter; of several parts the whole is always kept. ``stem``
     maps purely alphabetic tokens.
     """
-    flat = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "['’‘`]", "")
+    flat = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), APOSTROPHES, "")
     words = F.regexp_extract_all(flat, F.lit(f"({COMPOUND})"), F.lit(1))
     cut = (lambda w: F.when(w.rlike("^[a-z]+$"), stem(w)).otherwise(w)) if stem else (lambda w: w)
 
@@ -52,20 +90,27 @@ def compound_tokens(text: Column, stem=None) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.split(text, r"(?<=[.!?])\s+")
+    """Cut after . ! ? ; and white space, where a capital, a digit, a bracket or a quote begins what follows."""
+    return F.split(text, SENTENCE)
+
+
+def doc_codes(text: Column, most: int = 20) -> Column:
+    """Distinct document codes: those of ranges "X-101 to X-105" of at most ``most`` steps, then all others in order of first use."""
+    group = lambda k: F.regexp_extract_all(text, F.lit(CODE_RANGE), F.lit(k))
+    ranges = F.filter(F.arrays_zip(group(1).alias("p"), group(2).alias("a"), group(3).alias("b")), lambda r: (r["b"].cast("int") - r["a"].cast("int")).between(1, most))
+    spread = F.flatten(F.transform(ranges, lambda r: F.transform(F.sequence(r["a"].cast("int"), r["b"].cast("int")), lambda n: F.concat(r["p"], _padded(n, F.length(r["a"]))))))
+    return F.array_distinct(F.concat(spread, F.regexp_extract_all(text, F.lit(f"({DOC_CODE})"), F.lit(1))))
 
 
-def doc_codes(text: Column) -> Column:
-    """Distinct document codes in order of first use."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"({DOC_CODE})"), F.lit(1)))
+def _padded(n: Column, width: Column) -> Column:
+    return F.lpad(n.cast("string"), F.greatest(width, F.length(n.cast("string"))), F.lit("0"))
 
 
 def code_range(prefix: Column, first: Column, last: Column, most: int = 20) -> Column:
     """The codes of a range, zero-padded like its first number; a range that is longer or backwards gives its ends."""
     n = F.sequence(first.cast("int"), last.cast("int"))
     span = last.cast("int") - first.cast("int")
-    pad = lambda x: F.concat(prefix, F.lpad(x.cast("string"), F.length(first), F.lit("0")))
-    return F.when(span.between(0, most), F.transform(n, pad)).otherwise(F.array(F.concat(prefix, first), F.concat(prefix, last)))
+    return F.when(span.between(0, most), F.transform(n, lambda x: F.concat(prefix, _padded(x, F.length(first))))).otherwise(F.array(F.concat(prefix, first), F.concat(prefix, last)))
 
 
 def month_date(text: Column) -> Column:
@@ -74,8 +119,8 @@ def month_date(text: Column) -> Column:
 
 
 def cell(text: Column) -> Column:
-    """A table cell: hyphenated line breaks joined, white space collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(\w)-\n(\w)", "$1$2"), r"\s+", " "))
+    """A table cell: a line break after a hyphen goes and the hyphen stays, white space collapsed; null is empty."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=\w-)\s*\n\s*", ""), r"\s+", " "))
 
 
 def markers(text: Column) -> Column:
@@ -107,10 +152,11 @@ def jurisdiction(text: Column) -> Column:
     return F.when(up == "UK", "GB").when(up.isin("GLOBAL", "WORLDWIDE"), "GLOBAL").when(up.rlike("^[A-Z]{2}$"), up)
 
 
-def route_template(path: Column) -> Column:
-    """A path whose numbers and UUIDs are placeholders."""
-    part = lambda p: F.when(p.rlike(r"^\d+$"), "{id}").when(p.rlike(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"), "{uuid}").otherwise(p)
-    return F.array_join(F.transform(F.split(path, "/"), part), "/")
+def route_template(path: Column, params: Column) -> Column:
+    """The path with each segment that is a parameter's value replaced by "{name}"; ``params`` maps names to values, and of equal values the last name counts."""
+    pairs = F.reverse(F.map_entries(params))
+    name = lambda p: F.get(F.filter(pairs, lambda e: e["value"] == p), F.lit(0))["key"]
+    return F.array_join(F.transform(F.split(path, "/"), lambda p: F.coalesce(F.concat(F.lit("{"), name(p), F.lit("}")), p)), "/")
 
 
 def contains_phrase(text: Column, phrase: Column) -> Column:
@@ -126,9 +172,10 @@ def names_country(text: Column, name: str) -> Column:
 def trigrams(text: Column) -> Column:
     """Distinct word trigrams."""
     w = F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda x: x != "")
-    n = F.size(w) - 2
-    every = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat_ws(" ", F.slice(w, i, F.lit(3))))
-    return F.when(n > 0, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+    n = F.greatest(F.size(w) - 2, F.lit(0))
+    # side by side, not by position: a position would cut the text anew for every trigram
+    two = F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+    return F.array_distinct(F.zip_with(two, F.slice(w, F.lit(3), n), lambda a, b: F.concat_ws(" ", a, b)))
 
 
 def share_of(a: Column, b: Column) -> Column:

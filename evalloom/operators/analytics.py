@@ -29,17 +29,18 @@ def total(column: str) -> Column:
     return F.coalesce(F.sum(column), F.lit(0))
 
 
-def usage_totals(usage: DataFrame) -> DataFrame:
-    """Calls, tokens, cost and errors; percentiles over answered calls without error only. Evaluation traffic is left out."""
-    own = usage.filter(F.col("eval_run_id").isNull())
+def usage_totals(usage: DataFrame, start=None, end=None, org_id=None) -> DataFrame:
+    """Calls, tokens, cost and errors of a range and an organisation; percentiles over answered calls that went well only. Evaluation traffic is left out."""
+    own = scoped(usage, start, end, org_id).filter(F.col("eval_run_id").isNull())
     return own.agg(
         F.count(F.lit(1)).alias("calls"),
         F.count_if(F.col("operation") == "answer").alias("answers"),
         total("input_tokens").alias("input_tokens"),
         total("cached_tokens").alias("cached_tokens"),
         total("output_tokens").alias("output_tokens"),
+        total("reasoning_tokens").alias("reasoning_tokens"),
         total("cost_usd").cast("double").alias("cost_usd"),
-        F.count_if(F.col("status") != "ok").alias("errors"),
+        F.count_if(F.col("status") == "error").alias("errors"),
         exact_percentile("latency_ms", 0.5, answered()).alias("p50_ms"),
         exact_percentile("latency_ms", 0.95, answered()).alias("p95_ms"),
         exact_percentile("ttft_ms", 0.5, answered()).alias("p50_ttft_ms"),

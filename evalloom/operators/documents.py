@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from evalloom.functions.text import SENTENCE
 from evalloom.sources.session import python_ready
 
 TARGET, MOST, OVERLAP, LEAST = 600, 800, 90, 40
@@ -80,7 +81,7 @@ def split_piece(text: str, most: int = MOST) -> list[str]:
         return [text]
     out: list[str] = []
     held, size = "", 0
-    for s in re.split(r"(?<=[.!?])\s+", text):
+    for s in re.split(SENTENCE, text):
         n = count_tokens(s)
         if n > most:
             words = s.split()
@@ -99,7 +100,7 @@ def split_piece(text: str, most: int = MOST) -> list[str]:
 def overlap_tail(text: str, tokens: int = OVERLAP) -> str:
     """The last whole sentences of at most so many tokens, or the last words of one long sentence."""
     out, size = "", 0
-    for s in reversed(re.split(r"(?<=[.!?])\s+", text)):
+    for s in reversed(re.split(SENTENCE, text)):
         n = count_tokens(s)
         if size + n > tokens:
             break
@@ -153,29 +154,41 @@ def chunks(blocks: DataFrame, key: str) -> DataFrame:
             name = " › ".join(x for x in (r.part, r.section) if isinstance(x, str))
             here = (name, r.kind == "table")
             if here != group:
-                sections.append((name, r.kind == "table", []))
+                sections.append((name, r.kind == "table", [], {}))
                 group = here
             if r.kind != "heading":
                 sections[-1][2].append(r.text)
-        for name, is_table, texts in sections:
+                sections[-1][3][r.kind] = sections[-1][3].get(r.kind, 0) + count_tokens(r.text)
+        for name, is_table, texts, sizes in sections:
             if is_table:
                 parts = table_chunks(texts)
             else:
                 parts = ["\n\n".join(p) for p in pack([q for t in texts for q in split_piece(t)])]
                 parts = merge_remnants(parts)
                 parts = [p if i == 0 else f"…{overlap_tail(parts[i - 1])}\n\n{p}" for i, p in enumerate(parts)]
-            rows += [(at, name, "table" if is_table else "prose", count_tokens(p), p) for p in parts if p]
-        out = pd.DataFrame(rows, columns=[key, "section", "content_type", "tokens", "text"])
+            rows += [(at, name, sizes.get("table", 0), sizes.get("list", 0), sum(sizes.values()), count_tokens(p), p) for p in parts if p]
+        out = pd.DataFrame(rows, columns=[key, "section", "_tables", "_lists", "_total", "tokens", "text"])
         out.insert(1, "chunk_index", range(len(out)))
-        return out.astype({"chunk_index": "int32", "tokens": "int64"})
+        return out.astype({"chunk_index": "int32", "tokens": "int64", "_tables": "int64", "_lists": "int64", "_total": "int64"})
 
-    return blocks.groupBy(key).applyInPandas(build, f"{key} {kind}, chunk_index int, section string, content_type string, tokens long, text string")
+    rows = blocks.groupBy(key).applyInPandas(build, f"{key} {kind}, chunk_index int, section string, _tables long, _lists long, _total long, tokens long, text string")
+    what = content_type(F.col("_tables"), F.col("_lists"), F.col("_total"), F.col("section"))
+    return rows.select(key, "chunk_index", "section", what.alias("content_type"), "tokens", "text")
 
 
-def content_type(tables: Column, lists: Column, total: Column, title: Column) -> Column:
-    """The kind of a section by its title and by what over half of its blocks are."""
-    low = F.lower(F.coalesce(title, F.lit("")))
-    return F.when(low.contains("revision"), "revision").when(low.contains("glossary"), "glossary").when(tables * 2 > total, "table").when(lists * 2 > total, "list").when(low.startswith("appendix"), "appendix").otherwise("prose")
+# Titles that tell what a section is.
+GLOSSARY = r"(?i)\b(?:glossary|definitions|defined terms|abbreviations)\b"
+REVISION = r"(?i)\b(?:revision|version|document|change) (?:history|log)\b|\bchangelog\b"
+APPENDIX = r"(?i)\bappendi(?:x|ces)\b"
+
+
+def content_type(tables: Column, lists: Column, total: Column, path: Column) -> Column:
+    """The kind of a section: by its titles, else by what has over half of its tokens, else appendix or prose."""
+    name = F.coalesce(path, F.lit(""))
+    return (
+        F.when(name.rlike(REVISION), "revision_history").when(name.rlike(GLOSSARY), "glossary").when(2 * tables > F.greatest(total, F.lit(1)), "table")
+        .when(2 * lists > F.greatest(total, F.lit(1)), "list").when(name.rlike(APPENDIX), "appendix").otherwise("prose")
+    )
 
 
 def hashing_embedder(df: DataFrame, key: str, text: str, size: int = 64) -> DataFrame:

@@ -41,17 +41,31 @@ def chunk_header(code: Column, title: Column, version: Column, jurisdiction: Col
 
 
 def cross_references(text: Column, own: Column) -> Column:
-    """Codes other than the own one, and sections "(n.n)" and "section n.n", once each."""
-    codes = F.array_remove(T.doc_codes(text), own) if isinstance(own, str) else F.filter(T.doc_codes(text), lambda c: c != own)
-    sections = F.concat(F.regexp_extract_all(text, F.lit(r"\((\d+\.\d+)\)"), F.lit(1)), F.regexp_extract_all(text, F.lit(r"(?i)section (\d+\.\d+)"), F.lit(1)))
-    return F.array_distinct(F.concat(codes, F.transform(sections, lambda s: F.concat(F.lit("§"), s))))
+    """Codes other than the own one, then section numbers of "(n.n)" and of "section n.n" or "§ n.n", once each."""
+    codes = F.filter(T.doc_codes(text), lambda c: ~c.eqNullSafe(own))
+    return F.array_distinct(F.concat(codes, *[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in T.SECTION_REFS]))
+
+
+# The shapes of numbered headings (kind, pattern, group of the number, group of the title).
+HEADINGS = (
+    ("part", r"(?i)^Part\s+(\d+|[IVX]+)\b\s*[–—:.-]?\s*(.*)$", 1, 2),
+    ("appendix", r"^(Appendix|Annex|Schedule)\s+([A-Z0-9]{1,3})\b\s*[–—:.-]?\s*(.*)$", 2, 3),
+    ("numbered", r"^(\d{1,3}(?:\.\d{1,3})*)\.?\s+(\S.*)$", 1, 2),
+    ("lettered", r"^([A-Z])\.\s+(\S.*)$", 1, 2),
+)
 
 
 def heading_parts(line: Column) -> Column:
-    """Struct (kind, number, title) of part, appendix, numbered and lettered headings; kind is null for other lines."""
-    of = lambda kind, pattern: F.when(line.rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.regexp_extract(line, pattern, 1).alias("number"), F.regexp_extract(line, pattern, 2).alias("title")))
-    none = F.struct(F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("number"), line.alias("title"))
-    return F.coalesce(of("part", r"^Part ([IVX]+|\d+)[.: ]+(.*)$"), of("appendix", r"^Appendix ([A-Z])[.: ]+(.*)$"), of("numbered", r"^(\d+(?:\.\d+)*)\.?\s+(.*)$"), of("lettered", r"^([A-Z])\.\s+(.*)$"), none)
+    """Struct (kind, number, title) of a heading: "Part N" for parts, the letter of appendices; kind and number are null for other lines.
+
+    A part or appendix without a title of its own has the whole line as its title.
+    """
+    out = F.struct(F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("number"), line.alias("title"))
+    for kind, pattern, number, title in reversed(HEADINGS):
+        n, t = F.regexp_extract(line, pattern, number), F.trim(F.regexp_extract(line, pattern, title))
+        n = F.concat(F.lit("Part "), n) if kind == "part" else n
+        out = F.when(line.rlike(pattern), F.struct(F.lit(kind).alias("kind"), n.alias("number"), F.when(t == "", line).otherwise(t).alias("title"))).otherwise(out)
+    return out
 
 
 def redacted(headers: Column, secret: tuple[str, ...] = ("authorization", "cookie", "set-cookie", "x-api-key")) -> Column:
@@ -70,10 +84,12 @@ def topic_words(title: Column, generic: tuple[str, ...] = ("policy", "procedure"
 
 
 def table_cleaned(table: Column) -> Column:
-    """Rows without any text dropped, and every row padded to the widest with empty cells."""
-    filled = F.filter(F.transform(table, lambda r: F.transform(r, lambda c: F.trim(F.coalesce(c, F.lit(""))))), lambda r: F.exists(r, lambda c: c != ""))
-    width = F.array_max(F.transform(filled, F.size))
-    return F.transform(filled, lambda r: F.concat(r, F.array_repeat(F.lit(""), (width - F.size(r)).cast("int"))))
+    """Cells cleaned, rows without any text dropped, every row padded to the widest, and columns without any text dropped."""
+    filled = F.filter(F.transform(table, lambda r: F.transform(r, T.cell)), lambda r: F.exists(r, lambda c: c != ""))
+    width = F.coalesce(F.array_max(F.transform(filled, F.size)), F.lit(0))
+    padded = F.transform(filled, lambda r: F.concat(r, F.array_repeat(F.lit(""), (width - F.size(r)).cast("int"))))
+    used = lambda i: F.exists(padded, lambda r: F.get(r, i) != "")
+    return F.transform(padded, lambda r: F.filter(r, lambda c, i: used(i)))
 
 
 def markdown_rows(table: Column) -> Column:
@@ -104,3 +120,38 @@ def case_pass_rows(cases: DataFrame, by: str) -> DataFrame:
 def run_cost_estimate(cases: int, judge_checks: float, app_per_case: float = 0.0012, judge_per_check: float = 0.003) -> float:
     """Dollars that a run of so many cases will cost."""
     return round(cases * app_per_case + cases * judge_checks * judge_per_check, 6)
+
+
+def cost_of(cases: Column, judge_checks: Column, app_per_case: float = 0.0012, judge_per_check: float = 0.003) -> Column:
+    """:func:`run_cost_estimate` of columns."""
+    return F.round(cases * app_per_case + cases * judge_checks * judge_per_check, 6)
+
+
+def chunk_counts(documents: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
+    """(key, chunks) of every document, 0 without chunks; counted before the join."""
+    counts = chunks.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return documents.select(key).join(counts, key, "left").select(key, F.coalesce("_n", F.lit(0)).alias("chunks"))
+
+
+def synced(chunks: DataFrame, documents: DataFrame, edits: DataFrame, key: str, columns: list[str], reindex: list[str]) -> DataFrame:
+    """Chunks with the columns of their documents after edits (null changes nothing), and whether a column that forces a new index changed."""
+    new = edits.select(key, *[F.col(c).alias(f"_{c}") for c in columns])
+    now = documents.select(key, *columns).join(new, key, "left")
+    changed = F.lit(False)
+    for c in reindex:
+        changed = changed | (F.col(f"_{c}").isNotNull() & ~F.col(f"_{c}").eqNullSafe(F.col(c)))
+    now = now.select(key, *[F.coalesce(f"_{c}", c).alias(c) for c in columns], changed.alias("reindex"))
+    return chunks.join(now, key)
+
+
+def committed(candidates: DataFrame, existing: DataFrame, key: str, order: str) -> DataFrame:
+    """Candidates that become cases: approved, not committed before, whose key no case has; of several with one key the first."""
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    rows = candidates.filter((F.col("status") == "approved") & ~F.col("committed")).join(existing.select(key).distinct(), key, "left_anti")
+    return rows.withColumn("_nth", nth).filter("_nth = 1").drop("_nth")
+
+
+def summaries(scores: DataFrame, by: str, value: str, passed: Column) -> DataFrame:
+    """n, mean, p50 and p95 of a measure and the share that passed."""
+    p = lambda q: F.percentile(value, F.lit(q))
+    return scores.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), p(0.5).alias("p50"), p(0.95).alias("p95"), F.avg(passed.cast("int")).alias("pass_rate"))

@@ -1,6 +1,6 @@
 """Queries by the identifiers of the coverage list; importing this package registers them."""
 
-from evalloom.plans import analytics, evaluation, feeds, metrics, relational, retrieval, statistics, texts  # noqa: F401
+from evalloom.plans import analytics, cases, datasets, evaluation, feeds, ingestion, metrics, relational, retrieval, statistics, texts  # noqa: F401
 from evalloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

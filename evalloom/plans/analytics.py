@@ -14,13 +14,13 @@ _OK = "operation = 'answer' AND status = 'ok'"
 
 @query("agg01_usage_totals", duck("usage") + f"""
 SELECT count(*) AS calls, count(*) FILTER (WHERE operation = 'answer') AS answers, CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum(cached_tokens), 0) AS BIGINT) AS cached_tokens,
-CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS output_tokens, CAST(coalesce(sum(cost_usd), 0) AS DOUBLE) AS cost_usd, count(*) FILTER (WHERE status <> 'ok') AS errors,
+CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS output_tokens, CAST(coalesce(sum(reasoning_tokens), 0) AS BIGINT) AS reasoning_tokens, CAST(coalesce(sum(cost_usd), 0) AS DOUBLE) AS cost_usd, count(*) FILTER (WHERE status = 'error') AS errors,
 quantile_cont(latency_ms, 0.5) FILTER (WHERE {_OK}) AS p50_ms, quantile_cont(latency_ms, 0.95) FILTER (WHERE {_OK}) AS p95_ms,
 quantile_cont(ttft_ms, 0.5) FILTER (WHERE {_OK}) AS p50_ttft_ms, quantile_cont(ttft_ms, 0.95) FILTER (WHERE {_OK}) AS p95_ttft_ms,
 CASE WHEN sum(input_tokens) > 0 THEN round(100 * sum(cached_tokens)::DOUBLE / sum(input_tokens), 2) ELSE 0.0 END AS cache_hit_pct
-FROM usage WHERE eval_run_id IS NULL""")
+FROM usage WHERE eval_run_id IS NULL AND created_at >= TIMESTAMP '{START}' AND created_at < TIMESTAMP '{END}' AND org_id = 1""")
 def usage_totals(spark, d):
-    return A.usage_totals(table(spark, d, "usage"))
+    return A.usage_totals(table(spark, d, "usage"), START, END, 1)
 
 
 @query("agg02_message_feedback", duck("messages") + """

@@ -45,16 +45,20 @@ def headers(spark, d):
     return table(spark, d, "part").select("p_partkey", E.chunk_header(F.col("p_brand"), F.col("p_name"), F.col("p_size").cast("string"), F.lit("GB"), F.lit(None).cast("string"), path).alias("header"))
 
 
-@query("str10_cross_references", "SELECT n_nationkey AS k, array_to_string(list_concat(CASE WHEN n_nationkey % 2 = 0 THEN ['SIM-IT-101'] ELSE [] END, ['§3.1', '§2.4']), ',') AS refs FROM nation")
+@query("str10_cross_references", "SELECT n_nationkey AS k, array_to_string(list_concat(CASE WHEN n_nationkey % 2 = 0 THEN ['SIM-IT-101'] ELSE [] END, ['3.1', '2.4', '7.2']), ',') AS refs FROM nation")
 def cross(spark, d):
-    t = F.concat(F.when(F.col("n_nationkey") % 2 == 0, "SIM-IT-101 and ").otherwise(""), F.lit("SIM-HR-001 (3.1) see Section 2.4, (3.1)"))
+    t = F.concat(F.when(F.col("n_nationkey") % 2 == 0, "SIM-IT-101 and ").otherwise(""), F.lit("SIM-HR-001 (3.1) see Section 2.4, (3.1), §7.2"))
     return table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.array_join(E.cross_references(t, F.lit("SIM-HR-001")), ",").alias("refs"))
 
 
-@query("str08_headings", """SELECT k, kind, number, title FROM (VALUES (0, 'part', 'II', 'Leave'), (1, 'appendix', 'B', 'Forms'), (2, 'numbered', '3.1.2', 'Pay'), (3, 'lettered', 'C', 'Rules'), (4, NULL, NULL, 'Plain text')) t(k, kind, number, title)""")
+@query("str08_headings", r"""SELECT o_orderkey AS k, CASE o_orderkey % 7 WHEN 0 THEN 'part' WHEN 1 THEN 'appendix' WHEN 2 THEN 'appendix' WHEN 3 THEN 'numbered' WHEN 4 THEN 'lettered' WHEN 5 THEN 'part' END AS kind,
+CASE o_orderkey % 7 WHEN 0 THEN 'Part ' || CAST(o_orderkey AS VARCHAR) WHEN 1 THEN 'B' WHEN 2 THEN '12' WHEN 3 THEN CAST(o_orderkey % 100 AS VARCHAR) || '.1' WHEN 4 THEN 'C' WHEN 5 THEN 'Part IV' END AS number,
+CASE o_orderkey % 7 WHEN 0 THEN o_orderpriority WHEN 1 THEN o_orderpriority WHEN 2 THEN 'Schedule 12' WHEN 3 THEN o_orderpriority WHEN 4 THEN o_orderpriority WHEN 5 THEN 'PART IV' ELSE 'Plain ' || o_orderpriority END AS title FROM orders""")
 def headings(spark, d):
-    rows = spark.createDataFrame([(0, "Part II: Leave"), (1, "Appendix B. Forms"), (2, "3.1.2 Pay"), (3, "C. Rules"), (4, "Plain text")], "k int, line string")
-    return rows.select("k", E.heading_parts(F.col("line")).alias("h")).select("k", "h.kind", "h.number", "h.title")
+    k, p = F.col("o_orderkey"), F.col("o_orderpriority")
+    of = [F.concat(F.lit("part "), k, F.lit(" – "), p), F.concat(F.lit("Annex B. "), p), F.lit("Schedule 12"), F.concat(k % 100, F.lit(".1. "), p), F.concat(F.lit("C.  "), p), F.lit("PART IV"), F.concat(F.lit("Plain "), p)]
+    line = F.element_at(F.array(*of), (k % 7).cast("int") + 1)
+    return table(spark, d, "orders").select(k.alias("k"), E.heading_parts(line).alias("h")).select("k", "h.kind", "h.number", "h.title")
 
 
 @query("str19_redaction", "SELECT event_id, '***' AS auth, event_type AS kind, substr(props, 1, 5) AS body, length(props) > 5 AS cut FROM events")
@@ -181,12 +185,6 @@ def percentiles(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.percentile("value", 0.5).alias("p50"), F.percentile("value", 0.95).alias("p95"))
 
 
-@query("doc15_metadata_merge", "SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN 'header' END, CASE WHEN doc_id % 3 = 1 THEN 'title' END, source) AS department FROM documents")
-def metadata(spark, d):
-    pick = F.coalesce(F.when(F.col("doc_id") % 3 == 0, "header"), F.when(F.col("doc_id") % 3 == 1, "title"), F.col("source"))
-    return table(spark, d, "documents").select("doc_id", pick.alias("department"))
-
-
 @query("doc16_synced_columns", "SELECT l_orderkey, l_linenumber, l_partkey, o_orderpriority FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
 def synced(spark, d):
     li, o = table(spark, d, "lineitem"), table(spark, d, "orders")

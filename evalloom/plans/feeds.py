@@ -169,20 +169,11 @@ def score_call(spark, d):
     return table(spark, d, "lineitem").filter("l_suppkey % 3 <> 0").groupBy("l_orderkey").agg(F.min_by("l_suppkey", F.struct("l_linenumber", "l_partkey", "l_suppkey")).alias("call"))
 
 
-@query("join22_title_match", r"""WITH s AS (SELECT p_partkey AS k, p_brand AS dept, list_distinct(list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda w: w <> '')) AS t FROM part WHERE p_partkey <= 400)
+@query("join22_title_match", r"""WITH s AS (SELECT p_partkey AS k, p_brand AS dept, list_distinct(list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda w: w <> '')) AS t FROM part)
 SELECT k, other, jaccard FROM (SELECT a.k, b.k AS other, len(list_intersect(a.t, b.t)) / least(len(a.t), len(b.t)) AS contained, len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) AS jaccard FROM s a JOIN s b ON a.dept = b.dept AND a.k <> b.k)
 WHERE contained >= 0.5 QUALIFY rank() OVER (PARTITION BY k ORDER BY contained DESC, jaccard DESC) = 1""")
 def title_match(spark, d):
-    """Candidates share a word of their titles within a department."""
-    words = F.array_distinct(F.filter(F.split(F.lower("p_name"), "[^a-z0-9]+"), lambda w: w != ""))
-    s = table(spark, d, "part").filter("p_partkey <= 400").select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("dept"), words.alias("t"))
-    a = s.select("k", "dept", F.col("t").alias("x"), F.explode("t").alias("w"))
-    b = s.select(F.col("k").alias("other"), F.col("dept").alias("d2"), F.col("t").alias("y"), F.explode("t").alias("w2"))
-    both = a.join(b, (F.col("dept") == F.col("d2")) & (F.col("w") == F.col("w2")) & (F.col("k") != F.col("other"))).select("k", "other", "x", "y").distinct()
-    shared = F.size(F.array_intersect("x", "y"))
-    both = both.select("k", "other", (shared / F.least(F.size("x"), F.size("y"))).alias("contained"), T.jaccard(F.col("x"), F.col("y")).alias("jaccard")).filter("contained >= 0.5")
-    rank = F.rank().over(Window.partitionBy("k").orderBy(F.desc("contained"), F.desc("jaccard")))
-    return both.withColumn("r", rank).filter("r = 1").select("k", "other", "jaccard")
+    return title_match_all(spark, d)
 
 
 @query("join22_title_match_all")

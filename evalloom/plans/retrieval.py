@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from evalloom.functions import text as T
 from evalloom.operators import retrieval as R
 from evalloom.plans.registry import query
 from evalloom.sources.standins import table
@@ -14,7 +15,7 @@ _BM25 = f"""
 tok AS (SELECT doc_id, source, {_TOK} AS t FROM documents),
 each AS (SELECT doc_id, source, unnest(t) AS term FROM tok),
 stats AS (SELECT count(*) AS n, avg(len(t)) AS al FROM tok),
-terms AS (SELECT DISTINCT item_id, unnest({_TOK}) AS term FROM benchmark WHERE item_id < 20),
+terms AS (SELECT DISTINCT item_id, unnest({_TOK}) AS term FROM benchmark),
 tf AS (SELECT doc_id, source, term, count(*) AS tf FROM each GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 scored AS (SELECT item_id, tf.doc_id, tf.source, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t) / al))) AS score
@@ -26,11 +27,11 @@ def _questions(spark, d):
 
 
 def _terms(questions):
-    return R.query_terms(questions, "item_id", "text")
+    return R.query_terms(questions, "item_id", "text", T.simple_tokens)
 
 
 def _bm25(questions, docs, allowed=None):
-    rows = R.bm25(_terms(questions), docs, "item_id", "doc_id", "text", k=30, allowed=allowed)
+    rows = R.bm25(_terms(questions), docs, "item_id", "doc_id", "text", k=30, allowed=allowed, tokens=T.simple_tokens)
     return rows.select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -40,8 +41,7 @@ def _src3(docs):
 
 @query("ret01_bm25_top_k", f"WITH {_BM25} SELECT item_id, doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored) WHERE rank <= 30")
 def bm25(spark, d):
-    """The questions that the SQL names; ret01_bm25_top_k_all has every one."""
-    return _bm25(_questions(spark, d).filter("item_id < 20"), table(spark, d, "documents"))
+    return _bm25(_questions(spark, d), table(spark, d, "documents"))
 
 
 @query("ret01_bm25_top_k_all")
@@ -51,9 +51,8 @@ def bm25_all(spark, d):
 
 @query("ret01_bm25_filtered", f"WITH {_BM25} SELECT item_id, doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored WHERE source = 'src3') WHERE rank <= 30")
 def bm25_filtered(spark, d):
-    """The questions that the SQL names; ret01_bm25_filtered_all has every one."""
     docs = table(spark, d, "documents")
-    return _bm25(_questions(spark, d).filter("item_id < 20"), docs, _src3(docs))
+    return _bm25(_questions(spark, d), docs, _src3(docs))
 
 
 @query("ret01_bm25_filtered_all")
@@ -64,12 +63,12 @@ def bm25_filtered_all(spark, d):
 
 @query("agg18_corpus_stats", f"SELECT count(*) AS n, round(coalesce(avg(len({_TOK})), 0), 6) AS avg_length FROM documents")
 def stats(spark, d):
-    return R.corpus_stats(table(spark, d, "documents"), "doc_id", "text").select("n", F.round("avg_length", 6).alias("avg_length"))
+    return R.corpus_stats(table(spark, d, "documents"), "doc_id", "text", T.simple_tokens).select("n", F.round("avg_length", 6).alias("avg_length"))
 
 
 @query("agg21_term_frequencies", f"SELECT doc_id, term, count(*) AS tf, max(l) AS length FROM (SELECT doc_id, unnest(t) AS term, len(t) AS l FROM (SELECT doc_id, {_TOK} AS t FROM documents)) GROUP BY doc_id, term")
 def term_frequencies(spark, d):
-    return R.postings(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "term", "tf", "length")
+    return R.postings(table(spark, d, "documents"), "doc_id", "text", T.simple_tokens).select("doc_id", "term", "tf", "length")
 
 
 _COS = """cos AS (SELECT q.vec_id AS q, v.vec_id, v.label, list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[]))) AS score
@@ -83,27 +82,27 @@ def cosine(spark, d):
     return R.cosine_top_k(queries, e, "q", "qv", "vec_id", "embedding").select("q", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-def _lists(spark, d, every=50):
+def _lists(spark, d, every=20):
     """Two ranked lists for each ``every``-th vector: by cosine, and by a label-and-id order in place of the lexical one.
 
-    The SQL of the queries below names every 50th vector; their ``_all`` forms take each of the stated set, every 20th.
+    Queries are every ``every``-th vector. Within a label the order is the same for every query, so it is ranked once.
     """
     e = table(spark, d, "embeddings")
     queries = e.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"), F.col("label").alias("ql"))
     dense = R.cosine_top_k(queries.select("q", "qv"), e, "q", "qv", "vec_id", "embedding").select("q", "vec_id", "rank", F.lit("vector").alias("method"))
-    same = queries.select("q", "ql").join(e.select("vec_id", "label"), F.col("ql") == F.col("label")).select("q", "vec_id", ((F.col("vec_id") * 7919) % 1009).alias("score"))
-    sparse = R.ranked(same, "q", F.desc("score"), "vec_id", 30).select("q", "vec_id", "rank", F.lit("bm25").alias("method"))
+    best = R.ranked(e.select("label", "vec_id", ((F.col("vec_id") * 7919) % 1009).alias("score")), "label", F.desc("score"), "vec_id", 30)
+    sparse = queries.select("q", "ql").join(best, F.col("ql") == F.col("label")).select("q", "vec_id", "rank", F.lit("bm25").alias("method"))
     return dense.unionByName(sparse)
 
 
-_LISTS = f"""WITH {_COS}, dense AS (SELECT q, vec_id, rank, 'vector' AS method FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rank FROM cos WHERE q % 50 = 0) WHERE rank <= 30),
-lex AS (SELECT q, vec_id, rank, 'bm25' AS method FROM (SELECT a.vec_id AS q, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY (b.vec_id * 7919) % 1009 DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 50 = 0) WHERE rank <= 30),
+_LISTS = f"""WITH {_COS}, dense AS (SELECT q, vec_id, rank, 'vector' AS method FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rank FROM cos) WHERE rank <= 30),
+lex AS (SELECT q, vec_id, rank, 'bm25' AS method FROM (SELECT a.vec_id AS q, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY (b.vec_id * 7919) % 1009 DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 20 = 0) WHERE rank <= 30),
 lists AS (SELECT * FROM dense UNION ALL SELECT * FROM lex),
 fused AS (SELECT q, vec_id, sum(CASE method WHEN 'bm25' THEN 0.6 ELSE 1.0 END::DOUBLE / (60 + rank)) AS score, min(CASE WHEN method = 'bm25' THEN rank END) AS bm25_rank, min(CASE WHEN method = 'vector' THEN rank END) AS vector_rank FROM lists GROUP BY 1, 2)"""
 
 
-@query("ret05_rrf_fusion", _LISTS.replace("q.vec_id % 20 = 0", "q.vec_id % 50 = 0") + " SELECT q, vec_id, round(score, 9) AS score, CAST(bm25_rank AS INT) AS bm25_rank, CAST(vector_rank AS INT) AS vector_rank FROM fused")
-def fusion(spark, d, every=50):
+@query("ret05_rrf_fusion", _LISTS + " SELECT q, vec_id, round(score, 9) AS score, CAST(bm25_rank AS INT) AS bm25_rank, CAST(vector_rank AS INT) AS vector_rank FROM fused")
+def fusion(spark, d, every=20):
     return R.rrf(_lists(spark, d, every), "q", "vec_id").select("q", "vec_id", F.round("score", 9).alias("score"), "bm25_rank", "vector_rank")
 
 
@@ -112,10 +111,10 @@ def fusion_all(spark, d):
     return fusion(spark, d, 20)
 
 
-@query("ret06_jurisdiction_boost", _LISTS.replace("q.vec_id % 20 = 0", "q.vec_id % 50 = 0") + """
+@query("ret06_jurisdiction_boost", _LISTS + """
 , j AS (SELECT f.q, f.vec_id, f.score * CASE WHEN f.q % 100 = 0 THEN CASE WHEN f.vec_id % 6 = 0 THEN 0.9 ELSE 1.0 END WHEN lang = 'en' THEN 1.0 WHEN lang = 'de' THEN 1.25 ELSE 0.8 END::DOUBLE AS score FROM fused f JOIN documents d ON d.doc_id = f.vec_id)
 SELECT q, vec_id, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY q ORDER BY round(score, 12) DESC, vec_id) AS INT) AS rank FROM j""")
-def boost(spark, d, every=50):
+def boost(spark, d, every=20):
     docs = table(spark, d, "docs").select(F.col("doc_id").alias("vec_id"), F.when(F.col("jurisdiction") == "en", "GLOBAL").otherwise(F.upper("jurisdiction")).alias("j"), "doc_type")
     fused = R.rrf(_lists(spark, d, every), "q", "vec_id").join(docs, "vec_id")
     target = F.when(F.col("q") % 100 != 0, "DE")
@@ -128,10 +127,10 @@ def boost_all(spark, d):
     return boost(spark, d, 20)
 
 
-@query("ret04_sparse_fallback", _LISTS.replace("q.vec_id % 20 = 0", "q.vec_id % 50 = 0") + """
+@query("ret04_sparse_fallback", _LISTS + """
 , f AS (SELECT q, vec_id FROM dense WHERE vec_id % 7 = 0), few AS (SELECT q FROM (SELECT DISTINCT q FROM dense) LEFT JOIN (SELECT q, count(*) AS n FROM f GROUP BY q) USING (q) WHERE coalesce(n, 0) < 3)
 SELECT q, vec_id, false AS fallback FROM f UNION ALL SELECT q, vec_id, true FROM dense WHERE q IN (SELECT q FROM few)""")
-def fallback(spark, d, every=50):
+def fallback(spark, d, every=20):
     dense = _lists(spark, d, every).filter("method = 'vector'").select("q", "vec_id")
     return R.with_fallback(dense.filter("vec_id % 7 = 0"), dense, "q")
 
@@ -141,8 +140,8 @@ def fallback_all(spark, d):
     return fallback(spark, d, 20)
 
 
-@query("ret16_mode_switch", _LISTS.replace("q.vec_id % 20 = 0", "q.vec_id % 50 = 0") + " SELECT method, q, count(*) AS n, min(rank) AS best FROM lists GROUP BY 1, 2")
-def modes(spark, d, every=50):
+@query("ret16_mode_switch", _LISTS + " SELECT method, q, count(*) AS n, min(rank) AS best FROM lists GROUP BY 1, 2")
+def modes(spark, d, every=20):
     return _lists(spark, d, every).groupBy("method", "q").agg(F.count(F.lit(1)).alias("n"), F.min("rank").cast("long").alias("best"))
 
 
@@ -161,7 +160,7 @@ def limits(spark, d):
 def select_sources(spark, d):
     """The greedy walk over the BM25 lists; tests hold it against plain Python."""
     docs = table(spark, d, "documents")
-    hits = R.bm25(_terms(_questions(spark, d)), docs, "item_id", "doc_id", "text", k=30)
+    hits = R.bm25(R.query_terms(_questions(spark, d), "item_id", "text"), docs, "item_id", "doc_id", "text", k=30)
     chunks = docs.select("doc_id", "text", F.ceil(F.col("n_chars") / 4).alias("tokens"))
     rows = hits.join(chunks, "doc_id").select("item_id", "rank", F.col("doc_id").alias("chunk"), (F.col("doc_id") / 10).cast("long").alias("document"), (F.col("doc_id") % 10).alias("chunk_index"), "text", "tokens", F.lit("prose").alias("content_type"), F.lit("").alias("section"))
     return R.select_sources(rows, "item_id")

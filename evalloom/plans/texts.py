@@ -35,11 +35,12 @@ def nfkc(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.nfkc(F.col("text"))).alias("h"))
 
 
-@query("str05_doc_codes", r"""WITH x AS (SELECT n_nationkey AS k, 'See ' || upper(substr(n_name, 1, 3)) || '-HR-' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') || ' and SIM-IT-101, SIM-IT-101' AS t FROM nation)
-SELECT k, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '\b[A-Z]{2,5}-[A-Z]{2,5}-[0-9]{2,4}\b'))), ',') AS codes FROM x""")
+@query("str05_doc_codes", r"""SELECT n_nationkey AS k, array_to_string(list_concat(
+CASE WHEN n_nationkey % 30 BETWEEN 1 AND 20 THEN list_transform(range(98, 98 + n_nationkey % 30 + 1), lambda i: 'SIM-IT-' || lpad(CAST(i AS VARCHAR), greatest(2, length(CAST(i AS VARCHAR)))::INT, '0')) ELSE ['SIM-IT-98', 'SIM-IT-' || CAST(98 + n_nationkey % 30 AS VARCHAR)][1:CASE WHEN n_nationkey % 30 = 0 THEN 1 ELSE 2 END] END,
+[upper(substr(n_name, 1, 3)) || '-HR-' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0')]), ',') AS codes FROM nation""")
 def codes(spark, d):
-    t = table(spark, d, "nation").selectExpr("n_nationkey AS k", "concat('See ', upper(substr(n_name, 1, 3)), '-HR-', lpad(n_nationkey, 3, '0'), ' and SIM-IT-101, SIM-IT-101') AS t")
-    return t.select("k", F.array_join(F.array_sort(T.doc_codes(F.col("t"))), ",").alias("codes"))
+    t = table(spark, d, "nation").selectExpr("n_nationkey AS k", "concat('From SIM-IT-98 to SIM-IT-', 98 + n_nationkey % 30, ' and ', upper(substr(n_name, 1, 3)), '-HR-', lpad(n_nationkey, 3, '0'), ', SIM-IT-98') AS t")
+    return t.select("k", F.array_join(T.doc_codes(F.col("t")), ",").alias("codes"))
 
 
 @query("str05_code_range", "SELECT n_nationkey AS k, array_to_string(list_transform(range(101, 101 + n_nationkey % 5 + 1), lambda i: 'X-' || lpad(CAST(i AS VARCHAR), 3, '0')), ',') AS codes FROM nation")
@@ -54,7 +55,7 @@ def month_date(spark, d):
     return o.select("o_orderkey", T.month_date(F.col("t")).alias("d"))
 
 
-@query("str09_sentences", r"SELECT doc_id, len(regexp_extract_all(text, '[.!?]\s+')) + 1 AS n FROM documents")
+@query("str09_sentences", r"""SELECT doc_id, len(regexp_extract_all(text, '[.!?;]\s+[A-Z0-9("“]')) + 1 AS n FROM documents""")
 def sentences(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("n"))
 
@@ -84,10 +85,11 @@ def jurisdiction(spark, d):
     return table(spark, d, "documents").select("doc_id", T.jurisdiction(raw).alias("j"))
 
 
-@query("str18_route_template", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '/v1/orgs/{id}/chat' ELSE '/v1/docs/{uuid}' END AS route FROM events")
+@query("str18_route_template", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '/v1/orgs/{org_id}/chat/' || CAST(user_id + 1 AS VARCHAR) ELSE '/v1/docs/{doc_id}/' || CAST(event_id AS VARCHAR) END AS route FROM events")
 def route(spark, d):
-    path = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("/v1/orgs/"), F.col("user_id"), F.lit("/chat"))).otherwise(F.lit("/v1/docs/123e4567-e89b-12d3-a456-426614174000"))
-    return table(spark, d, "events").select("event_id", T.route_template(path).alias("route"))
+    path = F.when(F.col("event_id") % 2 == 0, F.concat_ws("/", F.lit("/v1/orgs"), "user_id", F.lit("chat"), F.col("user_id") + 1)).otherwise(F.concat(F.lit("/v1/docs/d-7/"), F.col("event_id")))
+    params = F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("org_id"), F.col("user_id").cast("string"))).otherwise(F.create_map(F.lit("doc_id"), F.lit("d-7")))
+    return table(spark, d, "events").select("event_id", T.route_template(path, params).alias("route"))
 
 
 @query("str20_condensed_events", """WITH g AS (SELECT user_id, event_type, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS island FROM events)
@@ -168,10 +170,9 @@ def chunks(spark, d):
     return D.chunks(D.outline(D.text_blocks(table(spark, d, "documents"), "doc_id", "text"), "doc_id"), "doc_id")
 
 
-@query("doc12_token_counts", r"SELECT doc_id, len(regexp_extract_all(text, '\w+|[^\w\s]')) AS n FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\x00-\x7F]')")
+@query("doc12_token_counts", r"SELECT doc_id, coalesce(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x0b\x1c-\x1f\x85\p{Z}]')), 0) AS n FROM documents")
 def token_counts(spark, d):
-    docs = table(spark, d, "documents").filter("lang = 'en'").filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return docs.select("doc_id", D.token_count(F.col("text")).cast("long").alias("n"))
+    return token_counts_all(spark, d)
 
 
 @query("doc12_token_counts_all")

@@ -67,8 +67,11 @@ def retained(df: DataFrame, at: str, now: str, days: int) -> DataFrame:
     return df.filter(F.col(at) >= F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(F.lit(days)))
 
 
-def markdown_table(rows: DataFrame, columns: list[str], title: str) -> str:
-    """A small result as a report; meant for a handful of rows."""
+def markdown_table(rows: DataFrame, columns: list[str], title: str, most: int = 1000) -> str:
+    """A small result as a report; more than ``most`` rows are refused, not cut."""
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|")
-    body = ["| " + " | ".join(cell(r[c]) for c in columns) + " |" for r in rows.select(*columns).limit(1000).collect()]
+    found = rows.select(*columns).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a report has at most {most} rows")
+    body = ["| " + " | ".join(cell(r[c]) for c in columns) + " |" for r in found]
     return "\n".join([f"# {title}", "", "| " + " | ".join(columns) + " |", "|" + "---|" * len(columns), *body])

@@ -18,9 +18,9 @@ _VIEWS = {
         "events",
         """SELECT event_id AS id, CAST(floor(event_id / 3) AS BIGINT) AS request_id, ts AS created_at, user_id, user_id % 4 AS org_id,
         CASE event_type WHEN 'click' THEN 'route' WHEN 'view' THEN 'embed' WHEN 'signup' THEN 'title' ELSE 'answer' END AS operation,
-        CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END AS status, concat('model-', CAST(event_id % 3 AS STRING)) AS model,
+        CASE WHEN event_type = 'error' THEN 'error' WHEN event_id % 19 = 0 THEN 'stopped' ELSE 'ok' END AS status, concat('model-', CAST(event_id % 3 AS STRING)) AS model,
         CASE event_id % 4 WHEN 0 THEN 'flex' WHEN 1 THEN 'standard' END AS tier_actual, CASE event_id % 5 WHEN 0 THEN 'flex' ELSE 'standard' END AS tier_requested,
-        $K AS input_tokens, CAST(floor($K / 3) AS BIGINT) AS cached_tokens, (event_id * 7) % 97 AS output_tokens, value AS latency_ms,
+        $K AS input_tokens, CAST(floor($K / 3) AS BIGINT) AS cached_tokens, (event_id * 7) % 97 AS output_tokens, CASE WHEN event_id % 3 = 0 THEN (event_id * 5) % 61 END AS reasoning_tokens, value AS latency_ms,
         CASE WHEN event_id % 2 = 0 THEN value / 4 END AS ttft_ms, CAST(CAST(event_id % 1000 AS DOUBLE) / 8000 AS DECIMAL(14,8)) AS cost_usd,
         CASE WHEN event_id % 7 = 0 THEN concat('run-', CAST(event_id % 5 AS STRING)) END AS eval_run_id, CASE WHEN event_id % 14 = 0 THEN concat('case-', CAST(event_id % 20 AS STRING)) END AS eval_case_id,
         event_id % 500 AS message_id FROM {events}""",
@@ -38,6 +38,11 @@ _VIEWS = {
         """SELECT doc_id, text, lang AS jurisdiction, source AS department, n_chars, doc_id % 5 AS org_id, CASE doc_id % 6 WHEN 0 THEN 'country_supplement' WHEN 1 THEN 'manual' ELSE 'policy' END AS doc_type,
         CASE doc_id % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'failed' ELSE 'ready' END AS status, CASE WHEN doc_id % 4 <> 0 THEN doc_id END AS indexed_at FROM {documents}""",
     ),
+    "outputs": (
+        "orders",
+        """SELECT o_orderkey AS case_key, CASE o_custkey % 4 WHEN 0 THEN 'DE' WHEN 1 THEN 'UK' WHEN 2 THEN 'GLOBAL' END AS expected, CASE o_orderkey % 5 WHEN 0 THEN 'DE' WHEN 1 THEN 'UK' WHEN 2 THEN 'GLOBAL' END AS routed, o_orderkey % 11 = 0 AS bypassed,
+        concat('An answer of ', CASE o_orderkey % 6 WHEN 0 THEN 'Germany' WHEN 1 THEN 'germanic  tribes' WHEN 2 THEN 'London' ELSE 'nobody' END, '. ', CASE WHEN o_orderkey % 9 = 0 THEN 'CANARY  seven' ELSE 'x' END) AS answer FROM {orders}""",
+    ),
     "run_scores": (
         "lineitem",
         """SELECT l_orderkey AS case_key, CASE l_linenumber WHEN 1 THEN 'A' ELSE 'B' END AS run, max(l_discount) AS faithfulness, max(CASE WHEN l_returnflag = 'R' THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END) AS hit, max(l_extendedprice) AS latency_ms,

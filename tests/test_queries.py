@@ -14,9 +14,10 @@ def test_against_sql(spark, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_runs(spark, name):
+def test_has_rows(spark, name):
+    """Their values are held to plain Python in test_whole_tables, test_values and test_catalogue."""
     df = QUERIES[name](spark, SF)
-    assert df.columns and df.count() >= 0
+    assert df.columns and df.count() > 0
 
 
 def test_entry(spark):
