@@ -14,21 +14,29 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Large-star and small-star steps in turn: every node's larger neighbours,
     then its smaller ones, are linked with the smallest node it knows. Both are
     an aggregate with map-side combination and a join, and the number of rounds
-    grows with the logarithm of a component. Null, repeated and self links are
-    ignored.
+    grows with the logarithm of a component; links that are stars already need
+    none. Null, repeated and self links are ignored.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u is not null and v is not null and u <> v").distinct()
     edges = checkpointed(edges)
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    while not _stars(edges):
+        # both directions by an explode: a union of a checkpoint with itself loses track of the checkpoint's constraints
+        both = _each(edges, ("u", "v"), ("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        near = large.join(least, "u")
-        small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v")))
+        small = _each(large.join(least, "u"), ("v", "m"), ("u", "m"))
         edges = checkpointed(small.filter("u <> v").distinct())
-        now = tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def _each(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """(u, v) for each pair of columns of each row."""
+    return df.select(F.explode(F.array(*[F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in pairs])).alias("_e")).select("_e.u", "_e.v")
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every u has one v only and no v is a u."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")), F.struct(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")))).alias("e"))
+    sums = ends.groupBy("e.node").agg(F.sum("e.out").alias("out"), F.max("e.in").alias("in"))
+    return sums.filter((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("in") > 0))).isEmpty()

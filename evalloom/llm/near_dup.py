@@ -29,6 +29,8 @@ from evalloom.llm.components import components
 K = 64
 #: Retained values by which classes of one list that nothing has joined yet are compared; sets up to this size are compared whole.
 WIDE = 256
+#: Classes of a residual list that one task compares with the list's others.
+BLOCK_CLASSES = 256
 #: Keys of documents to verify that are broadcast at most (16 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 4_000_000
 #: Bytes whose words are hashed at once.
@@ -181,13 +183,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, k:
     lists = prefixes.select("node", "n", "weight", F.explode("rare").alias("value"))
 
     close = lambda a, b: (100 * F.col(a) >= share * F.col(b)) & (100 * F.col(b) >= share * F.col(a))
-    links, label = None, None
+    label = None
     for turn in range(3):
         open_lists = lists
         if turn:
-            # only lists whose classes are in several components still matter
+            # only lists whose classes are in several components still matter; a long one is dealt in blocks
             named = lists.join(label, lists["node"] == label["_node"], "left").select("node", "n", "weight", "value", F.coalesce("_root", "node").alias("root"))
-            several = named.groupBy("value").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi").select("value")
+            several = named.groupBy("value").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES).cast("int").alias("blocks")).filter("_lo <> _hi").select("value", "blocks")
             open_lists = checkpointed(named.join(several, "value"))
             if open_lists.isEmpty():
                 break
@@ -202,27 +204,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, k:
             met = open_lists.join(heads.select("value", F.col("c.node").alias("b"), F.col("c.n").alias("nb")), "value").withColumnsRenamed({"node": "a", "n": "na"})
             pairs = met.filter((F.col("a") != F.col("b")) & close("na", "nb"))
         else:
-            sketches = classes.select(F.col("node").alias("_s"), "sketch")
             rare = prefixes.select(F.col("node").alias("_p"), "rare")
             keys = classes.join(open_lists.select("node").distinct(), "node").select(F.col("rep.doc_id").alias("_id"), F.col("rep._row").alias("_key"), "node", "digest")
             wide = full_sets(docs, checkpointed(keys), words, WIDE).dropDuplicates(["node"]).select(F.col("node").alias("_x"), F.col("shingles").alias("wide"))
-            side = open_lists.join(sketches, F.col("node") == F.col("_s")).join(rare, F.col("node") == F.col("_p")).join(wide, F.col("node") == F.col("_x"))
-            fields = ("root", "node", "n", "sketch", "rare", "wide")
-            left = side.select("value", *[F.col(c).alias(f"{c}_a") for c in fields])
-            right = side.select(F.col("value").alias("_v"), *[F.col(c).alias(f"{c}_b") for c in fields])
+            side = open_lists.join(rare, F.col("node") == F.col("_p")).join(wide, F.col("node") == F.col("_x"))
+            fields = ("root", "node", "n", "rare", "wide")
+            left = side.select("value", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), *[F.col(c).alias(f"{c}_a") for c in fields])
+            right = side.select(F.col("value").alias("_v"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_b"), *[F.col(c).alias(f"{c}_b") for c in fields])
             # a pair is met once, in the list of the first value that both prefixes have
             once = F.get(F.array_intersect("rare_a", "rare_b"), F.lit(0)) == F.col("value")
+            # the smallest of the wider sketch are the sketch
+            few = F.size(F.array_intersect(F.slice("wide_a", 1, k), F.slice("wide_b", 1, k))) >= required(F.least("n_a", "n_b", F.lit(k)), threshold, k)
             same = F.size(F.array_intersect("wide_a", "wide_b"))
             # sets that are known whole are measured exactly, others by their wider sketches
             whole = (F.col("n_a") <= WIDE) & (F.col("n_b") <= WIDE)
             likely = F.when(whole, 100 * same >= share * (F.col("n_a") + F.col("n_b") - same)).otherwise(same >= required(F.least("n_a", "n_b", F.lit(WIDE)), threshold, WIDE))
-            enough = once & (F.size(F.array_intersect("sketch_a", "sketch_b")) >= required(F.least("n_a", "n_b", F.lit(k)), threshold, k)) & likely
-            on = (F.col("value") == F.col("_v")) & (F.col("root_a") != F.col("root_b")) & (F.col("node_a") < F.col("node_b")) & close("n_a", "n_b") & enough
+            on = (F.col("value") == F.col("_v")) & (F.col("block") == F.col("_b")) & (F.col("root_a") != F.col("root_b")) & (F.col("node_a") < F.col("node_b")) & close("n_a", "n_b") & once & few & likely
             pairs = left.join(right, on).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         fresh = verified(docs, classes, checkpointed(pairs), words, share, threshold, k)
-        links = fresh if links is None else checkpointed(links.unionByName(fresh))
-        roots = components(links)
+        # what is linked already comes in as the stars that it makes
+        roots = components(fresh if label is None else fresh.unionByName(label.select(F.col("_node").alias("a"), F.col("_root").alias("b"))))
         label = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
 
     tied = classes.join(label, classes["node"] == label["_node"], "left").select("digest", "least", F.coalesce("_root", "node").alias("root"))
