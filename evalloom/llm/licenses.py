@@ -1,11 +1,13 @@
 """Licence notices found by a trained paragraph classifier.
 
-Paragraphs (lines) with an evidence word are scored by a softmax regression
-over sparse word uni- and bigrams. It is trained on the notices below, their
-rule-made variants and ordinary sentences that use the same words. A softmax
-temperature and the least probability of a family are calibrated on variants
-that the fit does not see; below it, or where no template of the family agrees,
-the verdict is "unknown".
+A paragraph is a line with the lines that it wraps onto. Paragraphs are scored
+by a softmax regression over sparse word uni- and bigrams, trained on the
+notices below, their rule-made variants and ordinary sentences that use the same
+words. Which paragraphs are worth scoring follows from the trained weights: the
+words that speak most for some family, as many as it takes for every notice and
+every variant to have one. A softmax temperature and the least probability of a
+family are calibrated on variants that the fit does not see; below it, or where
+no template of the family agrees, the verdict is "unknown".
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.llm.common import from_rows
+from evalloom.llm.common import checkpointed, from_rows
 
 # The usual notices of licence families, and ordinary sentences.
 NOTICES = {
@@ -106,15 +108,19 @@ ORDINARY = [
     "Copies of the book were sold in every version of the shop.",
     "The software company opened an office in a mild climate.",
     "Creative people in common rooms wrote the plays of that time.",
+    "Der Mann ging mit dem Hund und mit der Frau durch die Stadt.",
+    "Wir fahren mit einem Rad, mit dir und mit ihm zu den Bergen.",
     "You may obtain a ticket at the gate in compliance with the rules.",
     "The notice was distributed to all workers without restriction of time.",
 ]
 
-#: A paragraph without any of these words says nothing about a licence and is not scored.
-EVIDENCE = r"(?i)licen[cs]|copyright|spdx|public domain|warrant|redistribut|permission|rights reserved|creative commons|\bgnu\b|mozilla\.org|\bmpl\b|proprietary|\bcc[ -]?(by|0)"
+#: Words that say nothing by themselves: what is left of a notice without its other words is ordinary text to the fit.
+FUNCTION_WORDS = frozenset("a all an and any are as at be been by can for form free from has have if in into is it may mit more no not of on one only or other part provided see should subject that the these they this to under use used v was which will with without work you".split())
 TOKEN = r"[a-z0-9]+(?:\.[0-9]+)*"
 NONE = "none"
 TEMPLATE_SHARE = 0.6
+#: A line wraps onto the next if it does not end a sentence and the next begins in lower case.
+WRAP = r"(?<=[^\s.!?:;])[ \t]*\r?\n[ \t]*(?=[a-z])"
 
 
 def grams(text: str) -> list[str]:
@@ -123,24 +129,30 @@ def grams(text: str) -> list[str]:
     return list(dict.fromkeys(words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]))
 
 
-def _variants(text: str) -> list[str]:
-    """The text whole, cut, inside other words, and with words left out."""
+def _variants(text: str) -> tuple[list[str], list[str]]:
+    """What the fit sees of a text and what calibrates it: whole, inside other words, cut, and with words left out.
+
+    The second kind always lacks or adds words, so that its n-grams are not those of the first.
+    """
     words = text.split()
-    out = [text, f"Copyright 2019 A. Author. {text}", f"{text} See the file for details.", f"// {text.upper()}"]
+    seen, held = [text, f"Copyright 2019 A. Author. {text}", f"{text} See the file for details."], [f"This part of the work: {text} (see above)"]
+    if len(words) > 3:
+        held.append(" ".join(words[:-1]))
     if len(words) > 7:
-        out += [" ".join(words[: 3 * len(words) // 4]), " ".join(words[len(words) // 4 :])]
-        out += [" ".join(w for i, w in enumerate(words) if i % 7 != k) for k in (2, 4, 6)]
-    return out
+        seen += [" ".join(w for i, w in enumerate(words) if i % 7 != k) for k in (2, 5)] + [" ".join(words[: 4 * len(words) // 5])]
+        held += [" ".join(words[: 3 * len(words) // 4]), " ".join(words[len(words) // 4 :])] + [" ".join(w for i, w in enumerate(words) if i % 7 != k) for k in (1, 4, 6)]
+    return seen, held
 
 
 @functools.cache
 def model() -> tuple[list[str], dict[str, list[float]], list[float], float, float]:
     """Classes, weights by n-gram, biases, temperature and least probability; the same on every machine."""
     classes = [NONE, *NOTICES]
-    rows = [(grams(v), classes.index(c), i) for c, texts in NOTICES.items() for t in texts for i, v in enumerate(_variants(t))]
-    rows += [(grams(v), 0, i) for t in ORDINARY for i, v in enumerate(_variants(t)) if "Copyright 2019" not in v]
-    fit_rows, held = [r for r in rows if r[2] % 4 != 3], [r for r in rows if r[2] % 4 == 3]
-    weights: dict[str, list[float]] = {g: [0.0] * len(classes) for gs, _, _ in fit_rows for g in gs}
+    texts = [(t, classes.index(c)) for c, of in NOTICES.items() for t in of] + [(t, 0) for t in ORDINARY]
+    fit_rows, held = ([(grams(v), label) for t, label in texts for v in _variants(t)[k] if label or "Copyright 2019" not in v] for k in (0, 1))
+    fit_rows += [(gs, 0) for t, label in texts if label for gs in [grams(" ".join(w for w in re.findall(TOKEN, t.lower()) if w in FUNCTION_WORDS))] if gs]
+    fit_rows += [([w], 0) for w in sorted(FUNCTION_WORDS)]
+    weights: dict[str, list[float]] = {g: [0.0] * len(classes) for gs, _ in fit_rows for g in gs}
     bias = [0.0] * len(classes)
     bias[0] = 1.0  # a paragraph of unseen words is no licence
 
@@ -153,7 +165,7 @@ def model() -> tuple[list[str], dict[str, list[float]], list[float], float, floa
 
     for step in range(60):
         rate = 2.0 / (1 + step / 20)
-        for gs, label, _ in fit_rows:
+        for gs, label in fit_rows:
             norm = math.sqrt(len(gs))
             for c, p in enumerate(scores(gs)):
                 delta = rate * ((c == label) - p) / norm
@@ -161,8 +173,8 @@ def model() -> tuple[list[str], dict[str, list[float]], list[float], float, floa
                     for g in gs:
                         weights[g][c] += delta - 1e-4 * weights[g][c]
     heats = [0.5, 0.7, 1.0, 1.4, 2.0, 2.8]
-    heat = min(heats, key=lambda h: -sum(math.log(max(1e-12, scores(gs, h)[label])) for gs, label, _ in held))
-    right = sorted(scores(gs, heat)[label] for gs, label, _ in held if label)
+    heat = min(heats, key=lambda h: -sum(math.log(max(1e-12, scores(gs, h)[label])) for gs, label in held))
+    right = sorted(scores(gs, heat)[label] for gs, label in held if label)
     return classes, weights, bias, heat, min(0.5, right[len(right) // 50])
 
 
@@ -173,8 +185,28 @@ def _tables(spark):
     return known, shapes
 
 
+@functools.cache
+def anchors() -> list[str]:
+    """The words with the largest margins of a family over ordinary text, so many that all notices and their variants have at least one."""
+    _, weights, _, _, _ = model()
+    margin = {g: max(w[1:]) - w[0] for g, w in weights.items() if " " not in g and not g.isdigit() and len(g) > 1}
+    texts = [v for of in NOTICES.values() for t in of for some in _variants(t) for v in some]
+    least = min(max(margin.get(w, -math.inf) for w in re.findall(TOKEN, v.lower())) for v in texts)
+    return sorted(w for w, m in margin.items() if m >= least)
+
+
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """doc_id, _row, paragraph and _g (distinct n-grams) of the paragraphs that have an anchor word."""
+    has = r"(?i)(?<![a-z0-9])(?:" + "|".join(map(re.escape, anchors())) + r")(?![a-z0-9])"
+    texts = docs.filter(F.col("text").rlike(has)).select("doc_id", F.xxhash64("text").alias("_row"), F.posexplode(F.split(F.regexp_replace("text", WRAP, " "), "\n", -1)).alias("paragraph", "_line"))
+    lines = texts.filter(F.col("_line").rlike(has)).select("doc_id", "_row", "paragraph", F.regexp_extract_all(F.lower("_line"), F.lit(f"({TOKEN})"), F.lit(1)).alias("_w"))
+    lines = lines.filter(F.arrays_overlap("_w", F.array(*map(F.lit, anchors()))))
+    pairs = F.zip_with(F.slice("_w", F.lit(1), F.size("_w") - 1), F.slice("_w", F.lit(2), F.size("_w") - 1), lambda a, b: F.concat_ws(" ", a, b))
+    return lines.select("doc_id", "_row", "paragraph", F.array_distinct(F.concat("_w", pairs)).alias("_g"))
+
+
 def found(docs: DataFrame) -> DataFrame:
-    """One row for each paragraph with licence text: doc_id, paragraph (line number from 0), family, verdict, probability, template_share.
+    """One row for each paragraph with licence text: doc_id, paragraph (number from 0, wrapped lines counted as one), family, verdict, probability, template_share.
 
     verdict is the family where the probability is high enough and a template
     agrees (the share of the shorter side's n-grams that both have is at least
@@ -185,12 +217,8 @@ def found(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     classes, weights, bias, heat, least = model()
     known, shapes = _tables(spark)
-    row = F.xxhash64("text")
-    lines = docs.filter(F.col("text").rlike(EVIDENCE)).select("doc_id", row.alias("_row"), F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "_line"))
-    words = F.regexp_extract_all(F.lower("_line"), F.lit(f"({TOKEN})"), F.lit(1))
-    lines = lines.filter(F.col("_line").rlike(EVIDENCE)).withColumn("_w", words)
-    pairs = F.zip_with(F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0))), F.slice("_w", 2, F.greatest(F.size("_w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    lines = lines.select("doc_id", "_row", "paragraph", F.array_distinct(F.concat("_w", pairs)).alias("_g")).distinct()
+    # written once: full scores and templates read the same few paragraphs
+    lines = checkpointed(paragraphs(docs).distinct())
     hits = lines.select("doc_id", "_row", "paragraph", F.size("_g").alias("_n"), F.explode("_g").alias("gram")).join(F.broadcast(known), "gram")
     key = ["doc_id", "_row", "paragraph"]
     sums = hits.groupBy(*key, "_n").agg(*[F.sum(F.get("w", F.lit(c))).alias(f"s{c}") for c in range(len(classes))])
