@@ -99,11 +99,16 @@ def held_out(doc_id) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Ranker:
-    """Fit on at most ``max_rows`` labelled rows that are not held out; rows without label or id are left out."""
+    """Fit on at most ``max_rows`` labelled documents that are not held out; rows without label or id are left out.
+
+    Of rows that repeat an id the one with the smallest features counts, so what
+    is collected is bounded by ``max_rows``.
+    """
     marked = labels.filter(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("_label"))
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # bounded, so it can be broadcast
     chosen = docs.join(F.broadcast(marked), "doc_id").select("doc_id", "text", "_label")
-    rows = featured(chosen.select("doc_id", "text")).join(F.broadcast(marked), "doc_id").orderBy("doc_id").collect()
+    once = featured(chosen.select("doc_id", "text")).groupBy("doc_id").agg(F.min("x").alias("x"))
+    rows = once.join(F.broadcast(marked), "doc_id").orderBy("doc_id").collect()
     x = np.array([r["x"] for r in rows], float).reshape(-1, len(FEATURES))
     return fit(x, np.array([r["_label"] for r in rows], int))
 
