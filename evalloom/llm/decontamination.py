@@ -30,15 +30,13 @@ def tokens(text: Column) -> Column:
 
 def _seed_rows(df: DataFrame, keep: list[str], masks: tuple[str, ...]) -> DataFrame:
     """One row for each mask and position: the columns ``keep``, pos and seed; ``df`` has the token hashes in ``_t``."""
-    def of(k: int, spots: list[int]):
-        return lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(k), *[F.get("_t", i + j) for j in spots]).alias("seed"))
+    def of(mask: str, spots: list[int]):
+        return lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(mask), *[F.get("_t", i + j) for j in spots]).alias("seed"))
 
-    every = [
-        F.transform(F.sequence(F.lit(0), F.size("_t") - len(mask)), of(k, [j for j, c in enumerate(mask) if c == "1"]))
-        for k, mask in enumerate(masks)
-    ]
-    longest = max(map(len, masks))
-    return df.filter(F.size("_t") >= longest).select(*keep, F.inline(F.concat(*every)))
+    # a mask longer than the text has no position
+    spots = lambda mask: F.slice(F.sequence(F.lit(0), F.size("_t")), F.lit(1), F.greatest(F.size("_t") - len(mask) + 1, F.lit(0)))
+    every = [F.transform(spots(mask), of(mask, [j for j, c in enumerate(mask) if c == "1"])) for mask in masks]
+    return df.filter(F.size("_t") >= min(map(len, masks))).select(*keep, F.inline(F.concat(*every)))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = WINDOW, min_share: float = MIN_SHARE) -> DataFrame:
@@ -47,24 +45,30 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
     Returns doc_id, _row (a hash of the text, which tells rows with one id
     apart), item_id, at (token position in the document where the item would
     begin, may be negative), n_compared (tokens of the window) and n_equal (the
-    most equal tokens of any window). Null texts and texts or items shorter than
-    the longest mask have no overlap; equal items are searched once and all
-    reported; a repeated row is reported once.
+    most equal tokens of any window). Items shorter than the longest mask are
+    searched by the hash of all their tokens, so they are found where they stand
+    whole. Null texts and items without tokens have no overlap; equal items are
+    searched once and all reported; a repeated row is reported once.
     """
     longest = max(map(len, masks))
     items = benchmark.filter(F.col("item_id").isNotNull()).select("item_id", tokens(F.col("text")).alias("_t"))
     # a text that ends in a separator has an empty last token, which no other text need have
     items = items.withColumn("_t", F.filter("_t", lambda w: w != F.xxhash64(F.lit(""))))
     items = items.groupBy("_t").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-    items = items.withColumn("_item", F.get("item_ids", F.lit(0))).filter(F.size("_t") >= longest)
-    seeds = _seed_rows(items, ["_item"], masks).withColumnRenamed("pos", "_ipos").distinct()
+    items = items.withColumn("_item", F.get("item_ids", F.lit(0))).filter(F.size("_t") > 0)
+    seeds = _seed_rows(items.filter(F.size("_t") >= longest), ["_item"], masks)
+    # at most as many lengths as the longest mask has places; none if no item is so short
+    short = tuple("1" * r["n"] for r in items.filter(F.size("_t") < longest).select(F.size("_t").alias("n")).distinct().orderBy("n").collect())
+    for mask in short:
+        seeds = seeds.unionByName(_seed_rows(items.filter(F.size("_t") == len(mask)), ["_item"], (mask,)))
+    seeds = seeds.withColumnRenamed("pos", "_ipos").distinct()
     if seeds.count() <= BROADCAST_SEEDS:
         seeds = F.broadcast(seeds)
 
     base = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_row"), "text")
     hashed = base.select("doc_id", "_row", tokens(F.col("text")).alias("_t"))
     hits = (
-        _seed_rows(hashed, ["doc_id", "_row"], masks).join(seeds, "seed")
+        _seed_rows(hashed, ["doc_id", "_row"], (*masks, *short)).join(seeds, "seed")
         .select("doc_id", "_row", "_item", (F.col("pos") - F.col("_ipos")).alias("at")).distinct()
     )
     by_doc = hits.groupBy("doc_id", "_row").agg(F.collect_list(F.struct("_item", "at")).alias("_hits"))

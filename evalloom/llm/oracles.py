@@ -85,13 +85,15 @@ def op1(masks=decontamination.MASKS, window=decontamination.WINDOW) -> str:
     tokens = r"string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', chr(1), 'g'), chr(1))"
     seeds = " UNION ALL ".join(
         f"SELECT $id, $key, i, {k} AS mask, concat_ws(chr(1), {', '.join(f't[i + {j}]' for j, c in enumerate(mask) if c == '1')}) AS seed "
-        f"FROM (SELECT *, unnest(range(1, len(t) - {len(mask)} + 2)) AS i FROM $from WHERE len(t) >= {longest})"
+        f"FROM (SELECT *, unnest(range(1, len(t) - {len(mask)} + 2)) AS i FROM $from WHERE len(t) >= $least)"
         for k, mask in enumerate(masks)
     )
-    of = lambda table, ident, key: seeds.replace("$id", ident).replace("$key", key).replace("$from", table)
+    # items shorter than the longest mask: all their tokens are one seed
+    seeds += f" UNION ALL SELECT $id, $key, i, -n AS mask, list_aggregate(t[i:i + n - 1], 'string_agg', chr(1)) AS seed FROM (SELECT *, unnest(range(1, len(t) - n + 2)) AS i FROM $from, (SELECT DISTINCT len(t) AS n FROM items WHERE len(t) < {longest} AND len(t) > 0) WHERE len(t) >= n AND $short)"
+    of = lambda table, ident, key: seeds.replace("$least", "1" if table == "docs" else str(longest)).replace("$short", "true" if table == "docs" else "len(t) = n").replace("$id", ident).replace("$key", key).replace("$from", table)
     return f"""
-    WITH docs AS (SELECT doc_id, coalesce(text, '') AS x, {tokens} AS t FROM documents GROUP BY ALL),
-    items AS (SELECT item_id, list_filter({tokens}, lambda w: w <> '') AS t FROM benchmark WHERE item_id IS NOT NULL),
+    WITH items AS (SELECT item_id, list_filter({tokens}, lambda w: w <> '') AS t FROM benchmark WHERE item_id IS NOT NULL),
+    docs AS (SELECT doc_id, coalesce(text, '') AS x, {tokens} AS t FROM documents GROUP BY ALL),
     dseeds AS ({of('docs', 'doc_id', 'x')}), iseeds AS ({of('items', 'item_id', '1 AS one')}),
     hits AS (SELECT DISTINCT d.doc_id, d.x, b.item_id, d.i - b.i AS off FROM dseeds d JOIN iseeds b USING (mask, seed)),
     lined AS (
