@@ -213,7 +213,7 @@ def seeded(seed: int | str, *columns: str) -> Column:
 def stratified_sample(df: DataFrame, strata: list[str], key: str, n: int, seed: int = 0) -> DataFrame:
     """Round-robin over the strata, each in seeded order: the k-th of every stratum before any k + 1-th."""
     nth = F.row_number().over(Window.partitionBy(*strata).orderBy(seeded(seed, key)))
-    return df.withColumn("_nth", nth).orderBy("_nth", *strata).limit(n).drop("_nth")
+    return df.withColumn("_nth", nth).filter(F.col("_nth") <= n).orderBy("_nth", *strata).limit(n).drop("_nth")
 
 
 def random_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:

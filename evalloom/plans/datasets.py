@@ -150,6 +150,20 @@ def run_lists(spark, d):
     return R.run_lists(parts, chunks)
 
 
+@query("ret12_numbered_sources")
+def numbered_sources(spark, d):
+    """The whole way of a question: lists by parts, filters and methods, fused, boosted, and chosen greedily within its limits as numbered sources."""
+    docs = table(spark, d, "docs")
+    fused = R.rrf(run_lists(spark, d), "query", "key").withColumnRenamed("key", "doc_id").join(docs.select("doc_id", "jurisdiction", "doc_type", "n_chars", "text"), "doc_id")
+    factor = R.jurisdiction_factor(F.lit(None).cast("string"), F.upper("jurisdiction"), F.col("doc_type"))
+    best = R.ranked(fused.withColumn("score", F.col("score") * factor), "query", F.desc(F.round("score", 12)), "doc_id", 30)
+    rows = best.select(
+        "query", "rank", F.col("doc_id").alias("chunk"), F.floor(F.col("doc_id") / 10).alias("document"), (F.col("doc_id") % 10).alias("chunk_index"), F.coalesce("text", F.lit("")).alias("text"), F.ceil(F.coalesce("n_chars", F.lit(0)) / 4).alias("tokens"),
+        F.when(F.col("doc_id") % 7 == 0, "table").otherwise("prose").alias("content_type"), F.lit("").alias("section"),
+    )
+    return R.select_sources(rows, "query", *R.source_limits(1))
+
+
 @query("ret01_bm25_search_tokens")
 def search_tokens(spark, d):
     """BM25 over the index's own tokens: normalised, stemmed, compounds in parts; tests hold it to plain Python."""

@@ -94,7 +94,7 @@ CASE WHEN event_id % 101 = 0 THEN 'not JSON' WHEN row_number() OVER (PARTITION B
 def jsonl(spark, d):
     e = table(spark, d, "events")
     text = F.when(F.col("event_id") % 101 == 0, "{broken").otherwise(F.to_json(F.struct((F.col("event_id") % 3000).alias("key"), F.col("event_type").alias("kind"))))
-    lines = e.select(F.row_number().over(Window.orderBy("event_id")).cast("long").alias("line_no"), text.alias("value"))
+    lines = files.line_numbers(e.select("event_id", text.alias("value")), "event_id")
     return files.cases(lines, {"case_key": "key", "type": "kind"}, {"type": "answer"}).select("line_no", "case_key", "type", "error")
 
 

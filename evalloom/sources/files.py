@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from evalloom.sources.session import shared_place
+
 
 def cases(lines: DataFrame, mapping: dict[str, str], defaults: dict[str, str], key: str = "case_key", lists: tuple[str, ...] = (), most: int = 2000) -> DataFrame:
     """JSON lines (line_no, value) as cases: fields renamed, defaults filled in, "a|b" split, an error for each bad line.
@@ -25,6 +27,22 @@ def cases(lines: DataFrame, mapping: dict[str, str], defaults: dict[str, str], k
     return rows
 
 
+def line_numbers(df: DataFrame, order: str, into: str = "line_no") -> DataFrame:
+    """Rows with dense numbers from 1 in the order of a column that has no ties.
+
+    One range shuffle sorts the rows into written partitions; only one count for
+    each partition is summed up in one task.
+    """
+    local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    path = shared_place(df.sparkSession)
+    df.repartitionByRange(order).sortWithinPartitions(order).withColumns({"_part": F.spark_partition_id(), "_local": local}).write.parquet(path)
+    dealt = df.sparkSession.read.parquet(path)
+    counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_part", before.alias("_start"))
+    return dealt.join(starts, "_part").withColumn(into, F.col("_start") + F.col("_local") + 1).drop("_part", "_local", "_start")
+
+
 def front_matter(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """Front matter as a map, and the body, of "---" headed files; a file without has an empty map."""
     has = F.col(text).rlike(r"^---\n(?s:.*?)\n---\n")

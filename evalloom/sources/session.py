@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import pathlib
+import re
 import tempfile
+import uuid
 import zipfile
 
 import evalloom
@@ -30,3 +32,13 @@ def python_ready(spark: SparkSession, rows: int | None = None) -> None:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def shared_place(spark: SparkSession) -> str:
+    """A new path in the folder that the cluster shares; a temporary one stands in for it in local mode alone."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the cluster shares")
+        base = tempfile.mkdtemp(prefix="evalloom-")
+    return f"{base}/table-{uuid.uuid4().hex}"

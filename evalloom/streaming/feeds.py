@@ -6,15 +6,12 @@ watermark needs an instant.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from evalloom.sources.session import python_ready
+from evalloom.sources.session import python_ready, shared_place
 
 
 def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet", files: int = 1) -> DataFrame:
@@ -24,12 +21,6 @@ def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet",
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def shared_place(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster shares; a temporary one only where none is named."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evalloom-stream-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
-
-
 def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Run a stream over what is there now and return its result table.
 

@@ -138,6 +138,18 @@ def test_run_lists(spark):
     assert all(sorted(got[k]) == sorted(want[k]) or len(want[k]) == 30 for k in want) and any(k[3] for k in want)
 
 
+def test_numbered_sources(spark):
+    """Numbers without gaps within the limits, and no source that fitted was left for a worse one."""
+    got = defaultdict(list)
+    for r in QUERIES["ret12_numbered_sources"](spark, SF).orderBy("query", "n").collect():
+        got[r["query"]].append(r)
+    top_k, budget = R.source_limits(1)
+    for found in got.values():
+        assert [r["n"] for r in found] == list(range(1, len(found) + 1)) and len({r["chunk"] for r in found}) == len(found)
+        assert sum(r["tokens"] for r in found) <= budget and sum(r["chunk"] % 7 != 0 for r in found) <= top_k
+    assert len(got) == rows("SELECT count(*) FROM {benchmark}")[0][0]
+
+
 def test_cosine_in_blocks(spark, monkeypatch):
     e = spark.read.parquet(f"{SF}/embeddings.parquet")
     q = e.filter("vec_id % 7 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
