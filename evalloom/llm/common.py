@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from evalloom.sources.session import python_ready as _ready
@@ -21,12 +22,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``, for checkpoints and written tables.
 
-    Only where neither the context nor the session names one (tests on one
-    machine) a temporary folder stands in for it.
+    Only where neither the context nor the session names one and the master is
+    local (tests on one machine) a temporary folder stands in for it.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evalloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the cluster shares")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="evalloom-"))
     return context.getCheckpointDir()
 
 

@@ -4,7 +4,7 @@ A block is one byte string:
 
     magic "EFTK" | version u8 | id width u8 | low bits u8 | 0 u8
     n_docs u64 | n_ids u64 | n_samples u64 | upper bytes u64 | lower bytes u64
-    select samples u64[n_samples] | upper bits | lower bits | ids
+    select samples u32[n_samples] | upper bits | lower bits | ids
 
 Boundaries are the n_docs + 1 ascending offsets 0 .. n_ids of the documents in
 the concatenated id array. Each offset's low bits are packed; its high part is
@@ -29,12 +29,14 @@ from pyspark.sql.window import Window
 
 from evalloom.llm.common import drop_shuffles, python_ready, shuffle_partitions
 
-MAGIC, VERSION, SAMPLE = b"EFTK", 1, 64
+MAGIC, VERSION, SAMPLE = b"EFTK", 2, 64
+#: Documents that are read from a block at once.
+READ_DOCS = 16 * SAMPLE
 HEAD = struct.Struct("<4sBBBBQQQQQ")
 #: Ids of a block, unless one document has more.
 BLOCK_IDS = 1 << 20
-#: Memory for the words that a Python worker remembers, and what an entry takes beside its word and its ids.
-CACHE_BYTES, ENTRY_BYTES = 32_000_000, 180
+#: Memory for the words that a Python worker has met since it last began anew (those of the time before are kept as long), and what an entry takes beside its word and its ids.
+CACHE_BYTES, ENTRY_BYTES = 128_000_000, 180
 #: Latin letters and then signs without apostrophe, digit and "<": two runs that are encoded apart.
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=-@\\[-`{-~]*)")
 #: Totals of shards that are broadcast at most (16 bytes each); more are joined by a shuffle.
@@ -51,7 +53,9 @@ def pack(offsets: np.ndarray, ids: np.ndarray, width: int) -> bytes:
     upper[spots] = 1
     bits = (offsets[:, None] >> np.arange(low)) & 1
     upper_bytes, lower_bytes = np.packbits(upper, bitorder="little").tobytes(), np.packbits(bits.astype(np.uint8).reshape(-1), bitorder="little").tobytes()
-    samples = spots[::SAMPLE].astype("<u8")
+    if spots[-1] >= 1 << 32:
+        raise ValueError("a block has at most some 2^31 documents")
+    samples = spots[::SAMPLE].astype("<u4")
     head = HEAD.pack(MAGIC, VERSION, width, low, 0, n, total, len(samples), len(upper_bytes), len(lower_bytes))
     return b"".join((head, samples.tobytes(), upper_bytes, lower_bytes, ids.astype(f"<u{width}").tobytes()))
 
@@ -64,8 +68,8 @@ class Block:
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a token block")
         at = HEAD.size
-        self.samples = np.frombuffer(data, "<u8", n_samples, at)
-        at += 8 * n_samples
+        self.samples = np.frombuffer(data, "<u4", n_samples, at)
+        at += 4 * n_samples
         self.upper = np.frombuffer(data, np.uint8, upper, at)
         self.lower = np.frombuffer(data, np.uint8, lower, at + upper)
         self.ids = np.frombuffer(data, f"<u{self.width}", self.n_ids, at + upper + lower)
@@ -89,9 +93,15 @@ class Block:
         spot = 8 * byte + (first & -first).bit_length() - 1
         return (spot - i << self.low) | int(self._low(i, i + 1)[0])
 
-    def offsets(self) -> np.ndarray:
-        spots = np.flatnonzero(np.unpackbits(self.upper, bitorder="little"))[: self.n_docs + 1]
-        return (spots - np.arange(self.n_docs + 1) << self.low) | self._low(0, self.n_docs + 1)
+    def offsets(self, first: int = 0, last: int | None = None) -> np.ndarray:
+        """Offsets first to last (the end of the block's last document, if none is given): only the upper bits between two samples are unpacked."""
+        last = self.n_docs if last is None else last
+        start = int(self.samples[first // SAMPLE])
+        after = last // SAMPLE + 1
+        stop = int(self.samples[after]) if after < len(self.samples) else 8 * len(self.upper)
+        bits = np.unpackbits(self.upper[start // 8 : (stop + 7) // 8], bitorder="little")[start % 8 :]
+        spots = start + np.flatnonzero(bits)[first % SAMPLE : first % SAMPLE + last - first + 1]
+        return (spots - np.arange(first, last + 1) << self.low) | self._low(first, last + 1)
 
     def document(self, i: int) -> np.ndarray:
         return self.ids[self.offset(i) : self.offset(i + 1)]
@@ -100,10 +110,14 @@ class Block:
 class WordEncoder:
     """Encodes whole texts with the tokenizers library, remembering the ids of words.
 
-    The tokenizer drops white space and never joins what stands on its two
-    sides, so that a text's ids are those of its words in turn.
+    The tokenizer has to drop white space, never to join what stands on its two
+    sides, and to lower-case and cut letters and signs apart, so that a text's
+    ids are those of its words in turn. Files of which that does not hold for
+    ``PROBES`` are refused.
     """
 
+    PROBES = ("Hello,  World! (again)\tand\n a-b_c ", "don't it's WE'LL 3x 42nd x7 é À ÑÖ ½ 日本", " \"q\" a.b/c:d;e <s> </s> <|end|> #tag @me $5 100% ~x^y` {z}[w]|v\\u=+*", "Über-naïve Ångström æØ\r\nlast")
+
     def __init__(self, path: str):
         import os
 
@@ -113,11 +127,15 @@ class WordEncoder:
         self.tool = Tokenizer.from_file(path)
         self.width = 2 if self.tool.get_vocab_size() <= 1 << 16 else 4
         self.cache: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         self.runs: dict[str, bytes] = {}
         self.held = 0
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
         self.sign = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}  # the byte-level alphabet
+        whole = [e.ids for e in self.tool.encode_batch(list(self.PROBES), add_special_tokens=False)]
+        if [np.frombuffer(x, f"<u{self.width}").tolist() for x in self.encode([t.encode() for t in self.PROBES])] != whole:
+            raise ValueError(f"{path}: the ids of a text are not those of its lower-cased words in turn")
 
     def _run(self, text: str) -> bytes:
         """Ids of one run of letters or of signs, which the tokenizer splits no further."""
@@ -131,11 +149,14 @@ class WordEncoder:
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         split = [(t or b"").split() for t in texts]
         if self.held > CACHE_BYTES:
-            self.cache.clear()
+            self.before, self.cache, self.held = self.cache, {}, 0
             self.runs.clear()
-            self.held = 0
-        cache, other = self.cache, []
+        cache, before, other = self.cache, self.before, []
         for w in {w for words in split for w in words if w not in cache}:
+            if w in before:
+                cache[w] = before[w]
+                self.held += ENTRY_BYTES + len(w) + len(cache[w])
+                continue
             text = w.decode()
             if m := _PLAIN.fullmatch(text):
                 cache[w] = self._run(m[1].lower()) + (self._run(m[2]) if m[2] else b"")
@@ -220,8 +241,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, block_ids
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids (little-endian 32-bit integers) of every document in the files.
 
-    Starts come from the boundaries in the blocks, the blocks' places in their
-    shards and one total for each shard, which are summed up in one task.
+    A block is read in runs of ``READ_DOCS`` documents, whose boundaries the
+    select samples give without the others. Starts come from them, the blocks'
+    places in their shards and one total for each shard, which are summed up in
+    one task.
     """
     python_ready(spark, 64)
     blocks = spark.read.parquet(path)
@@ -237,14 +260,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for shard, start, docs, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "block_start", "doc_ids", "payload")), strict=True):
                 block = Block(data)
-                offsets = block.offsets()
-                ids = block.ids.astype("<u4")
-                n = len(docs)
-                arrays = [
-                    pa.array([shard] * n, pa.int64()), pa.array(docs, batch.schema.field("doc_ids").type.value_type), pa.array(offsets[:-1] + start),
-                    pa.array(np.diff(offsets)), pa.array([ids[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(arrays, names=["shard", "doc_id", "_local", "n_tokens", "ids"])
+                for first in range(0, len(docs), READ_DOCS):
+                    offsets = block.offsets(first, min(len(docs), first + READ_DOCS))
+                    n, at = len(offsets) - 1, int(offsets[0])
+                    ids = block.ids[at : int(offsets[-1])].astype("<u4")
+                    cuts = (offsets - at).tolist()
+                    arrays = [
+                        pa.array([shard] * n, pa.int64()), pa.array(docs[first : first + n], batch.schema.field("doc_ids").type.value_type), pa.array(offsets[:-1] + start),
+                        pa.array(np.diff(offsets)), pa.array([ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["shard", "doc_id", "_local", "n_tokens", "ids"])
 
     rows = blocks.select("shard", "block_start", "doc_ids", "payload").mapInArrow(run, f"shard long, doc_id {kind}, _local long, n_tokens long, ids binary")
     return rows.join(shards, "shard").select("doc_id", (F.col("_base") + F.col("_local")).alias("start"), "n_tokens", "ids")
