@@ -84,11 +84,13 @@ def tokens(text):
 
 
 def leaks(text, items, window=20):
-    """Item ids that overlap at any alignment with a shared seed."""
+    """Item ids that overlap at any alignment with a shared seed; short items that stand whole."""
     masks, out, t = ("1110101", "1101011", "10110011"), set(), tokens(text)
     for k, item in items:
         w = [x for x in tokens(item) if x]
-        if len(w) < 8 or len(t) < 8:
+        if len(w) < 8:
+            if w and any(t[i : i + len(w)] == w for i in range(len(t) - len(w) + 1)):
+                out.add(k)
             continue
         for at in range(-len(w) + 1, len(t)):
             eq = [0 <= at + i < len(t) and t[at + i] == x for i, x in enumerate(w)]
