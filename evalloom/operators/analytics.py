@@ -170,3 +170,22 @@ def candidate_counts(df: DataFrame, batch: str, kind: str, flags: dict[str, Colu
     """Counts of each flag by batch and by batch and kind (kind null in the totals), in one pass."""
     aggs = [F.count(F.lit(1)).alias("n"), *(F.count_if(c).alias(n) for n, c in flags.items())]
     return df.groupingSets([[df[batch]], [df[batch], df[kind]]], df[batch], df[kind]).agg(*aggs, F.grouping(kind).cast("int").alias("is_total"))
+
+
+def org_counts(orgs: DataFrame, docs: DataFrame, members: DataFrame, messages: DataFrame, usage: DataFrame) -> DataFrame:
+    """Every organisation with its documents, members, conversations and cost; each is counted before the join, evaluation traffic left out."""
+    n = lambda df, what, name: df.groupBy("org_id").agg(what.alias(name))
+    parts = [
+        n(docs, F.count(F.lit(1)), "documents"), n(members, F.count(F.lit(1)), "members"), n(messages.filter(~F.col("is_eval")), F.countDistinct("conv_id"), "conversations"),
+        n(usage.filter(F.col("eval_run_id").isNull()), F.sum("cost_usd").cast("double"), "cost"),
+    ]
+    for p in parts:
+        orgs = orgs.join(p, "org_id", "left")
+    return orgs.fillna(0, ["documents", "members", "conversations", "cost"])
+
+
+def personal_tokens(usage: DataFrame, messages: DataFrame) -> DataFrame:
+    """(user_id, tokens, calls, bookmarks) of users with calls or messages, evaluation traffic left out."""
+    spent = usage.filter(F.col("eval_run_id").isNull()).groupBy("user_id").agg(F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"), F.count(F.lit(1)).alias("calls"))
+    marks = messages.filter(~F.col("is_eval")).groupBy("user_id").agg(F.count("bookmarked_at").alias("bookmarks"))
+    return spent.join(marks, "user_id", "full_outer").select("user_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tokens", "calls", "bookmarks")])

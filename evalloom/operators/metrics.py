@@ -128,3 +128,8 @@ def sample_quality(samples: DataFrame, case: str) -> DataFrame:
 def category(value: Column, k: int) -> Column:
     """0 to k - 1 by rounding half up."""
     return F.least(F.greatest(F.floor(value * (k - 1) + 0.5), F.lit(0)), F.lit(k - 1)).cast("int")
+
+
+def passed(value: Column, status: Column, threshold: Column, direction: Column) -> Column:
+    """Whether a metric that is ok reaches its threshold from the better side, equal included; null for na, errors, refusals and without a value or threshold."""
+    return F.when(status == "ok", F.when(direction == "higher", value >= threshold).when(direction == "lower", value <= threshold))
