@@ -7,6 +7,7 @@ in pandas. Tokens are counted as words and signs.
 
 from __future__ import annotations
 
+import functools
 import re
 
 import pandas as pd
@@ -25,7 +26,9 @@ def token_count(text: Column) -> Column:
     return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?U)([\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x1c-\x1f])"), F.lit(1)))
 
 
+@functools.lru_cache(maxsize=2000)
 def count_tokens(text: str) -> int:
+    """Splitting, packing and merging ask for the same pieces in turn."""
     return len(re.findall(r"\w+|[^\w\s]", text))
 
 
