@@ -190,17 +190,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, k:
             # only lists whose classes are in several components still matter; a long one is dealt in blocks
             named = lists.join(label, lists["node"] == label["_node"], "left").select("node", "n", "weight", "value", F.coalesce("_root", "node").alias("root"))
             several = named.groupBy("value").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES).cast("int").alias("blocks")).filter("_lo <> _hi").select("value", "blocks")
-            open_lists = checkpointed(named.join(several, "value"))
+            # what is joined with a list's rows is written first: such joins are split where a value is hot
+            open_lists = checkpointed(named.join(checkpointed(several), "value"))
             if open_lists.isEmpty():
                 break
         if turn < 2:
             # every class meets the most typical one; in the second turn, the most typical of those outside the first one's component
-            heads = open_lists.groupBy("value").agg(F.max(F.struct("weight", "node", "n")).alias("c"))
+            best = F.max(F.struct("weight", "node", "n", *["root"] * bool(turn))).alias("c")
+            heads = checkpointed(open_lists.groupBy("value").agg(best))
             if turn:
-                other = open_lists.join(heads.select("value", F.col("c.node").alias("_first")), "value")
-                head_root = open_lists.select("value", F.col("node").alias("_first"), F.col("root").alias("_first_root")).distinct()
-                other = other.join(head_root, ["value", "_first"]).filter(F.col("root") != F.col("_first_root"))
-                heads = other.groupBy("value").agg(F.max(F.struct("weight", "node", "n")).alias("c"))
+                other = open_lists.join(heads, "value").filter(F.col("root") != F.col("c.root")).select("value", "weight", "node", "n", "root")
+                heads = checkpointed(checkpointed(other).groupBy("value").agg(best))
             met = open_lists.join(heads.select("value", F.col("c.node").alias("b"), F.col("c.n").alias("nb")), "value").withColumnsRenamed({"node": "a", "n": "na"})
             pairs = met.filter((F.col("a") != F.col("b")) & close("na", "nb"))
         else:
