@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from evalloom.llm.common import python_ready
 
 SPACE = "▁"
-#: Memory for the words that a Python worker remembers; then it begins anew.
-CACHE_BYTES = 32_000_000
+#: Memory for the words that a Python worker has met since it last began anew; those of the time before are kept as long.
+CACHE_BYTES = 16_000_000
 #: Memory that an entry takes beside its word and its ids.
 ENTRY_BYTES = 180
 #: Text that is encoded at once; batches beyond are cut.
@@ -102,6 +102,7 @@ class Codec:
         self.likely = np.zeros(1 << 20, bool)  # by the first bits of a key
         self.likely[(self.keys >> np.uint64(44)).astype(np.int64)] = True
         self.cache: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.held = 0
 
     @staticmethod
@@ -276,6 +277,13 @@ class Codec:
             self._chars = [len(t) for t in text]
         return [self._chars[i] if i >= 0 else 1 for i in ids.tolist()]
 
+    def forget(self) -> None:
+        self.before, self.cache, self.held = {}, {}, 0
+
+    def _keep(self, word: str, ids: bytes) -> None:
+        self.cache[word] = ids
+        self.held += ENTRY_BYTES + len(word) + len(ids)
+
     def _learn(self, words: list[str]) -> None:
         """Put words into the cache; a word stands without its first white-space sign."""
         lead = SPACE if self.by_word and self.prefix else ""
@@ -290,8 +298,7 @@ class Codec:
                 if not length and not lead:
                     continue
                 for w, f, ids in zip(part, full, self._encode_equal(full), strict=True):
-                    self.cache[w] = got = self._finish(f, ids)
-                    self.held += ENTRY_BYTES + 4 * len(w) + len(got)
+                    self._keep(w, self._finish(f, ids))
 
     def _words(self, text: str) -> list[str]:
         if not text:
@@ -307,11 +314,12 @@ class Codec:
         """Ids of each text as little-endian 32-bit integers; null and empty texts have none."""
         split = [self._words(t or "") for t in texts]
         if self.held > CACHE_BYTES:
-            self.cache.clear()
-            self.held = 0
-        cache = self.cache
+            self.before, self.cache, self.held = self.cache, {}, 0
+        cache, before = self.cache, self.before
         new = {w for words in split for w in words if w not in cache}
-        if new:
+        for w in new & before.keys():
+            self._keep(w, before[w])
+        if new := new - before.keys():
             self._learn(sorted(new))
         get = cache.__getitem__
         return [b"".join(map(get, words)) for words in split]
@@ -356,13 +364,16 @@ def encoded(docs: DataFrame, model_file: str, with_text: bool = False) -> DataFr
 
     def run(batches):
         tool = codec(model_file)
-        for batch in batches:
-            rows = max(1, int(batch.num_rows * min(1.0, BATCH_BYTES / max(1, batch.nbytes))))
-            for k in range(0, batch.num_rows, rows):
-                part = batch.slice(k, rows)
-                ids = tool.encode(part.column("text").to_pylist())
-                arrays = [part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(tool.decode(ids), pa.string())]
-                yield pa.RecordBatch.from_arrays(arrays + [part.column("text")] * with_text, names=names)
+        try:
+            for batch in batches:
+                rows = max(1, int(batch.num_rows * min(1.0, BATCH_BYTES / max(1, batch.nbytes))))
+                for k in range(0, batch.num_rows, rows):
+                    part = batch.slice(k, rows)
+                    ids = tool.encode(part.column("text").to_pylist())
+                    arrays = [part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(tool.decode(ids), pa.string())]
+                    yield pa.RecordBatch.from_arrays(arrays + [part.column("text")] * with_text, names=names)
+        finally:
+            tool.forget()  # the worker goes on with other tasks, which need the memory
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, decoded string" + ", text string" * with_text)
