@@ -106,4 +106,18 @@ def op1(masks=decontamination.MASKS, window=decontamination.WINDOW) -> str:
     FROM good QUALIFY row_number() OVER (PARTITION BY doc_id, x, item_id ORDER BY n_equal DESC, off) = 1"""
 
 
-ORACLES = {"op1_decontamination": op1(), "op2_quality_rules": OP2, "op3_feistel_sharding": op3(), "op5_line_dedup": OP5}
+OP11 = """
+    WITH v AS (
+        SELECT row_number() OVER () AS r, vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label,
+            list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+        FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (
+        SELECT a.r AS a, a.vec_id AS anchor_id, b.r AS b, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score
+        FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.r <> b.r AND len(a.e) = len(b.e)),
+    positives AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, other_id) <= 5)
+    SELECT p.anchor_id, p.other_id AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.other_id)::INT AS rank,
+        n.other_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+    FROM positives p JOIN scored n ON n.a = p.a AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+    QUALIFY rank <= 5"""
+
+ORACLES = {"op1_decontamination": op1(), "op2_quality_rules": OP2, "op3_feistel_sharding": op3(), "op5_line_dedup": OP5, "op11_hard_negatives": OP11}

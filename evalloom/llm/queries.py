@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm import bradley_terry, decontamination, licenses, line_dedup, near_dup, pieces, quality_rules, sharding, suffix_dedup, token_files
+from evalloom.llm import bradley_terry, decontamination, hard_negatives, licenses, line_dedup, near_dup, pieces, quality_rules, sharding, suffix_dedup, token_files
 from evalloom.llm.common import documents
 
 
@@ -58,4 +58,10 @@ def op10_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bradley_terry.scored(docs, bradley_terry.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_feistel_sharding, op4_sentencepiece, op5_line_dedup, op6_token_files, op7_suffix_dedup, op8_license_scan, op9_bottom_k_near_dup, op10_bradley_terry)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(rows.withColumn("label", label), F.col("vec_id") % 100 == 0, positives=5, negatives=5, low=80, high=100)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_feistel_sharding, op4_sentencepiece, op5_line_dedup, op6_token_files, op7_suffix_dedup, op8_license_scan, op9_bottom_k_near_dup, op10_bradley_terry, op11_hard_negatives)}
