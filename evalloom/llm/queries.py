@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm import bradley_terry, decontamination, hard_negatives, licenses, line_dedup, near_dup, pieces, quality_rules, sharding, suffix_dedup, token_files
+from evalloom.llm import alignment, bradley_terry, decontamination, hard_negatives, licenses, line_dedup, main_text, near_dup, pieces, quality_rules, sharding, suffix_dedup, token_files
 from evalloom.llm.common import documents
 
 
@@ -64,4 +64,15 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mined(rows.withColumn("label", label), F.col("vec_id") % 100 == 0, positives=5, negatives=5, low=80, high=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_feistel_sharding, op4_sentencepiece, op5_line_dedup, op6_token_files, op7_suffix_dedup, op8_license_scan, op9_bottom_k_near_dup, op10_bradley_terry, op11_hard_negatives)}
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = alignment.groups(documents(spark, sf_dir), *alignment.tokenizer_paths())
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return alignment.scored(rows.withColumn("groups_sha256", digest).drop("groups"))
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = main_text.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return rows.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_feistel_sharding, op4_sentencepiece, op5_line_dedup, op6_token_files, op7_suffix_dedup, op8_license_scan, op9_bottom_k_near_dup, op10_bradley_terry, op11_hard_negatives, op12_token_alignment, op13_main_text)}
