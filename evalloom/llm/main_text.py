@@ -57,16 +57,16 @@ NEVER = _set("head script style noscript noframes noembed template title xmp ifr
 ROLES = _set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar tablist status")
 #: Names in class and id of what stands beside an article.
 BESIDE = _set(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense adbox adslot adunit banner breadcrumb breadcrumbs byline colophon combx comment comments commentlist commentary consent cookie cookies cookiebar copyright disqus "
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adbox adslot adunit banner breadcrumb breadcrumbs colophon combx comment comments commentlist consent cookie cookies cookiebar copyright disqus "
     "dropdown footer footnav gdpr hidden legal login masthead menu menus modal nav navbar navigation navi newsletter noprint notice notices notification notifications outbrain overlay pager pagination paywall popover popup print privacy promo promos promoted promotion "
-    "recommended recommendations related remark replies reply respond rss search share shares sharing shoutbox sidebar sidebars sidenav signin signup skip skyscraper social sponsor sponsored sponsors subscribe subscription supplemental taboola tagcloud tags toast toolbar topbar topnav trending widget widgets"
+    "recommended recommendations related replies reply respond rss search share shares sharing shoutbox sidebar sidebars sidenav signin signup skip skyscraper social sponsor sponsored sponsors subscribe subscription supplemental taboola tagcloud tags toast toolbar topbar topnav trending widget widgets"
 )
 #: Words before a name that say it is not there, or of what the element is beside it.
 WITHOUT = _set("has with no without hide show is can enable disable")
 #: Names of what holds an article.
 HOLDS = _set("article articlebody post entry content main story body page wrapper container")
 #: Names that stay beside an article's own, as "post-comments"; the others are overruled by it, as "content-header" is.
-COMMENTS = _set("comment comments commentlist disqus respond replies reply sidebar sidebars related share sharing social newsletter footer nav navigation navbar menu ad ads advert adverts advertisement promo widget widgets tags byline pagination pager subscribe cookie notice")
+COMMENTS = _set("comment comments commentlist disqus respond replies reply sidebar sidebars related share sharing social newsletter footer nav navigation navbar menu ad ads advert adverts advertisement promo widget widgets tags pagination pager subscribe cookie notice")
 #: Least share of the best score, and least length of a sibling's text, for it to stay; most links it may have.
 SIBLING_SHARE, SIBLING_CHARS, SIBLING_LINKS = 0.2, 80, 0.25
 #: A list with this share of links is a menu wherever it stands.
@@ -196,7 +196,7 @@ class _Page:
             if name not in INLINE:
                 cut()
 
-    def _beside(self, node: int, in_article: bool, named: bool) -> bool:
+    def _beside(self, node: int, named: bool) -> bool:
         """Whether a node and all below it are set aside by what they are, or, if ``named``, are called."""
         tag = self.tag[node]
         if tag in NEVER:
@@ -234,7 +234,7 @@ class _Page:
         children: list[list[int]] = [[] for _ in range(n)]
         holds = [False] * n
         for k in range(n - 1, 0, -1):
-            holds[k] |= tag[k] in ("article", "main") and not self._beside(k, False, named)
+            holds[k] |= tag[k] in ("article", "main") and not self._beside(k, named) or (tag[k] == "p" and not named)
             holds[parent[k]] |= holds[k]
         for k in range(n):
             up = parent[k]
@@ -244,8 +244,8 @@ class _Page:
             article[k] |= tag[k] in ("article", "main")
             link[k] |= tag[k] == "a"
             if not gone[k]:
-                # what holds the article is no form, header or sidebar beside it
-                if self._beside(k, article[k], named) or tag[k] in ("form", "fieldset"):
+                # what holds the article (in the second turn: paragraphs) is no form, header or sidebar beside it
+                if self._beside(k, named) or tag[k] in ("form", "fieldset"):
                     gone[k] = not holds[k] or tag[k] in NEVER
                 elif tag[k] == "header" and not holds[k]:
                     gone[k] = not article[k]
@@ -296,10 +296,14 @@ class _Page:
             best = parent[best]
         keep = [False] * n
         keep[best] = True
+        if tag[best] == "article":
+            for k in children[parent[best]]:  # a title before the article
+                keep[k] |= k < best and tag[k] == "h1" and chars[k] > 0
         if best and tag[best] not in ("article", "main", "body"):
             for k in children[parent[best]]:
+                same = tag[k] == tag[best] and self.attributes[k] == self.attributes[best]
                 if chars[k] and links[k] / chars[k] <= SIBLING_LINKS and tag[k] not in INLINE:
-                    keep[k] |= tag[k] in HEADINGS or score[k] >= SIBLING_SHARE * score[best] or chars[k] >= SIBLING_CHARS or (tag[k] in PARAGRAPHS and links[k] == 0)
+                    keep[k] |= same or tag[k] in HEADINGS or score[k] >= SIBLING_SHARE * score[best] or chars[k] >= SIBLING_CHARS or (tag[k] in PARAGRAPHS and links[k] == 0)
             loose = parent[best]  # text that stands between the siblings
         else:
             loose = -1
@@ -320,7 +324,8 @@ def extracted(pages: DataFrame) -> DataFrame:
     Character references are decoded, white space inside a block becomes one
     space and goes at its ends; a line break is white space. Null and empty
     pages, and pages of menus and forms alone, have the empty text. Where names
-    would set everything aside they are ignored. Rows are neither merged nor
+    and forms would set everything aside, names are ignored and forms that hold
+    paragraphs stay. Rows are neither merged nor
     reordered; other columns stay, but for one called text; an empty table
     gives no rows.
     """
