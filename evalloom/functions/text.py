@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import re
 import unicodedata
 
@@ -50,18 +49,39 @@ def kept(token: Column) -> Column:
     return ~token.isin(STOPWORDS) & ((F.length(token) > 1) | token.rlike("^[0-9]$"))
 
 
-_stem = functools.lru_cache(maxsize=50_000)(stemmer.stem)
+#: Words that a Python worker remembers at most, twice over.
+WORDS_KEPT = 200_000
+
+
+class _Words(dict):
+    """The tokens of each word met lately: looked up by word, made where they are missing."""
+
+    def __init__(self):
+        super().__init__()
+        self.before: dict[str, tuple[str, ...]] = {}
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        if len(self) >= WORDS_KEPT:
+            self.before = dict(self)
+            self.clear()
+        found = self.before.get(word)
+        if found is None:
+            parts = re.split(r"[.\-/]", word)
+            found = tuple(stemmer.stem(p) if p.isalpha() else p for p in parts if p not in _STOP and (len(p) > 1 or p.isdigit()))
+            found = (word, *found) if len(parts) > 1 else found
+        self[word] = found
+        return found
+
+
+_words = _Words()
+_APOSTROPHE, _COMPOUND = re.compile(APOSTROPHES), re.compile(COMPOUND)
 
 
 def normal_tokens(text: str | None) -> list[str]:
     """What :func:`search_tokens` gives for one text."""
-    out: list[str] = []
-    for word in re.findall(COMPOUND, re.sub(APOSTROPHES, "", unicodedata.normalize("NFKC", text or "").lower())):
-        parts = re.split(r"[.\-/]", word)
-        if len(parts) > 1:
-            out.append(word)
-        out += [_stem(p) if p.isalpha() else p for p in parts if p not in _STOP and (len(p) > 1 or p.isdigit())]
-    return out
+    flat = text or ""
+    flat = (flat if flat.isascii() else unicodedata.normalize("NFKC", flat)).lower()
+    return [t for w in _COMPOUND.findall(_APOSTROPHE.sub("", flat)) for t in _words[w]]
 
 
 @F.pandas_udf(ArrayType(StringType()))

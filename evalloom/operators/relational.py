@@ -77,17 +77,6 @@ def as_of(df: DataFrame, keys: list[str], order: list[str], value: Column, into:
     return df.withColumn(into, F.last(value, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def merge_upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new``, and of ``old`` where new has no such key."""
-    return new.unionByName(old.join(new.select(*keys).distinct(), keys, "left_anti"))
-
-
-def insert_missing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``old`` with one row of each key of ``new`` that it lacks."""
-    fresh = new.join(old.select(*keys).distinct(), keys, "left_anti").dropDuplicates(keys)
-    return old.unionByName(fresh)
-
-
 def claim_order(jobs: DataFrame, now: str) -> DataFrame:
     """Jobs that may be claimed: queued and due, or running with a lock older than five minutes; by priority, then age."""
     at = F.lit(now).cast("timestamp_ntz")

@@ -9,11 +9,13 @@ from pyspark.sql.window import Window
 
 from evalloom.functions import text as T
 from evalloom.operators import analytics as A
+from evalloom.operators import block_index as BI
 from evalloom.operators import datasets as D
 from evalloom.operators import evaluation as E
 from evalloom.operators import retrieval as R
 from evalloom.operators import seeds
 from evalloom.plans.registry import query
+from evalloom.plans.retrieval import _indexed
 from evalloom.sources.session import python_ready
 from evalloom.sources.standins import duck, table
 
@@ -167,8 +169,8 @@ def numbered_sources(spark, d):
 @query("ret01_bm25_search_tokens")
 def search_tokens(spark, d):
     """BM25 over the index's own tokens: normalised, stemmed, compounds in parts; tests hold it to plain Python."""
-    docs = table(spark, d, "documents")
-    return R.bm25(R.query_terms(table(spark, d, "benchmark"), "item_id", "text"), docs, "item_id", "doc_id", "text")
+    index = _indexed(spark, table(spark, d, "documents"), T.search_tokens)
+    return BI.search(index, R.query_terms(table(spark, d, "benchmark"), "item_id", "text"), "item_id", "doc_id")
 
 
 @query("ret14_filters_of_routes", "SELECT o_orderkey AS k, 'a' AS filter FROM orders WHERE o_custkey % 3 = 0 UNION ALL SELECT o_orderkey, 'b' FROM orders WHERE o_custkey % 3 = 0 UNION ALL SELECT o_orderkey, 'documents 1,2' FROM orders WHERE o_custkey % 3 = 1 UNION ALL SELECT o_orderkey, 'free' FROM orders WHERE o_custkey % 3 = 2")

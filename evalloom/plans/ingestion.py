@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evalloom.functions import text as T
+from evalloom.operators import block_index as BI
 from evalloom.operators import layout as L
 from evalloom.plans.registry import query
 from evalloom.sources import corpus as S
-from evalloom.sources import files
+from evalloom.sources import snapshots
 from evalloom.sources.standins import duck, table
 from evalloom.streaming import feeds, sessions
 
@@ -141,30 +142,44 @@ _REPLACED = "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN substr(text, 1, 100)
 
 
 def _index(spark, d):
-    """Postings of all documents; then every tenth replaced by its first 100 characters and every tenth emptied."""
+    """An index of all documents; then every tenth replaced by its first 100 characters, and of every tenth no chunk is left."""
     docs, path = table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("chunk"), "text"), _place(spark)
-    S.write_postings(docs, path, "doc_id", "chunk", "text", T.simple_tokens, 8)
-    edited = F.when(F.col("doc_id") % 10 == 0, F.substring("text", 1, 100)).otherwise("")
-    S.write_postings(docs.filter("doc_id % 10 in (0, 5)").withColumn("text", edited), path, "doc_id", "chunk", "text", T.simple_tokens, 8)
+    BI.write(docs, path, "doc_id", "chunk", "text", T.simple_tokens, buckets=8)
+    edited = docs.filter("doc_id % 10 = 0").withColumn("text", F.substring("text", 1, 100))
+    BI.write(edited, path, "doc_id", "chunk", "text", T.simple_tokens, asked=docs.filter("doc_id % 10 in (0, 5)"))
     return path
 
 
-@query("snk02_postings", f"WITH e AS (SELECT doc_id, unnest({_TOK}) AS term, len({_TOK}) AS l FROM ({_REPLACED})) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf, max(l)::BIGINT AS longest FROM e GROUP BY 1")
+@query("snk02_postings", f"WITH t AS (SELECT doc_id, {_TOK} AS t FROM ({_REPLACED})), e AS (SELECT doc_id, len(t) AS l, unnest(t) AS term FROM t), c AS (SELECT doc_id, term, l, count(*) AS tf FROM e GROUP BY ALL) SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf, max(l)::BIGINT AS longest FROM c GROUP BY 1")
 def index(spark, d):
-    return spark.read.parquet(_index(spark, d)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"), F.max("length").alias("longest"))
+    found = snapshots.read(spark, _index(spark, d))
+    rows = BI.postings_of(found).join(BI.documents_of(found).select("segment", "number", "length"), ["segment", "number"])
+    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"), F.max("length").alias("longest"))
 
 
 @query("snk03_replaced_documents", f"SELECT count(*) AS n, avg(len(t)) AS avg_length FROM (SELECT {_TOK} AS t FROM ({_REPLACED})) WHERE len(t) > 0", ("avg_length",))
 def replaced(spark, d):
-    return S.index_stats(spark, _index(spark, d), "chunk")
+    docs = BI.documents_of(snapshots.read(spark, _index(spark, d))).filter("length > 0")
+    return docs.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"))
+
+
+@query("snk03_versions", f"SELECT 1 AS version, count(*) AS n, sum(len(t))::BIGINT AS tokens FROM (SELECT {_TOK} AS t FROM (SELECT text AS x FROM documents)) UNION ALL SELECT 2, count(*), sum(len(t))::BIGINT FROM (SELECT {_TOK} AS t FROM ({_REPLACED}))")
+def index_versions(spark, d):
+    """Both versions of a replaced index can be read, each as it was published."""
+    path = _index(spark, d)
+    of = lambda v: BI.documents_of(snapshots.read(spark, path, v)).agg(F.lit(v).alias("version"), F.count(F.lit(1)).alias("n"), F.sum("length").alias("tokens"))
+    return of(1).unionByName(of(2))
 
 
 @query("snk04_replaced_aggregates", duck("run_scores") + " SELECT run, type, CASE WHEN run = 'B' THEN sum(hit) ELSE count(*) END::DOUBLE AS value FROM run_scores WHERE NOT (run = 'B' AND type = 'F') GROUP BY 1, 2")
 def aggregates(spark, d):
+    """Aggregates of runs, those of run B put in again; a run that is gone loses its own."""
     s, path = table(spark, d, "run_scores"), _place(spark)
-    files.replace_keys(spark, s.groupBy("run", "type").agg(F.count(F.lit(1)).cast("double").alias("value")), path, "run")
-    files.replace_keys(spark, s.filter("run = 'B' and type <> 'F'").groupBy("run", "type").agg(F.sum("hit").alias("value")), path, "run")
-    return spark.read.parquet(path).select("run", "type", "value")
+    first = s.groupBy("run", "type").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    snapshots.replace(first.unionByName(first.withColumn("run", F.lit("gone"))), path, ["run"])
+    again = s.filter("run = 'B' and type <> 'F'").groupBy("run", "type").agg(F.sum("hit").alias("value"))
+    snapshots.replace(again, path, ["run"], asked=spark.createDataFrame([("B",), ("gone",)], "run string"))
+    return snapshots.read(spark, path).select("run", "type", "value")
 
 
 # --- queues and streams

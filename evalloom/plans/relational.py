@@ -7,6 +7,8 @@ from pyspark.sql.window import Window
 
 from evalloom.operators import relational as R
 from evalloom.plans.registry import query
+from evalloom.sources import snapshots
+from evalloom.sources.session import shared_place
 from evalloom.sources.standins import duck, table
 
 
@@ -291,14 +293,20 @@ SELECT * FROM n UNION ALL SELECT * FROM o WHERE user_id NOT IN (SELECT user_id F
 def upsert(spark, d):
     e = table(spark, d, "events")
     count = lambda cond: e.filter(cond).groupBy("user_id").agg(F.count(F.lit(1)).alias("used"))
-    return R.merge_upsert(count("ts < timestamp_ntz'2024-01-15'"), count("ts >= timestamp_ntz'2024-01-15'"), ["user_id"])
+    path = shared_place(spark)
+    snapshots.upsert(count("ts < timestamp_ntz'2024-01-15'"), path, ["user_id"])
+    snapshots.upsert(count("ts >= timestamp_ntz'2024-01-15'"), path, ["user_id"])
+    return snapshots.read(spark, path)
 
 
 @query("snk06_insert_missing", """SELECT user_id FROM events WHERE event_type = 'click' GROUP BY 1 UNION SELECT user_id FROM events WHERE event_type = 'view'""")
 def insert_missing(spark, d):
     e = table(spark, d, "events")
     of = lambda kind: e.filter(F.col("event_type") == kind).select("user_id").distinct()
-    return R.insert_missing(of("click"), of("view"), ["user_id"])
+    path = shared_place(spark)
+    snapshots.insert_missing(of("click"), path, ["user_id"])
+    snapshots.insert_missing(of("view"), path, ["user_id"])
+    return snapshots.read(spark, path)
 
 
 @query("snk07_pivot_export", """SELECT l_orderkey, coalesce(CAST(max(CASE WHEN l_linenumber = 1 THEN l_quantity END) AS VARCHAR), '') AS "1", coalesce(CAST(max(CASE WHEN l_linenumber = 2 THEN l_quantity END) AS VARCHAR), '') AS "2" FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1""")

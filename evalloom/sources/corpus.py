@@ -1,13 +1,10 @@
-"""Stored objects, small JSON books, and the index of chunks: postings, statistics and their replacement by key."""
+"""Stored objects, small JSON books, pages of chunks and batches of rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.operators.retrieval import postings
-from evalloom.functions.text import search_tokens
-
 
 def stored_objects(spark: SparkSession, folder: str) -> DataFrame:
     """(org_id, document_id, digest, size) of the files <folder>/<org>/<document>.<ending>; one file for each document."""
@@ -48,51 +45,3 @@ def chunk_pages(chunks: DataFrame, key: str, by: str, size: int = 500) -> DataFr
 def append_batches(rows: DataFrame, path: str, most: int = 200_000) -> None:
     """Append rows in files of at most ``most`` rows, so that no writer holds a large batch."""
     rows.write.mode("append").option("maxRecordsPerFile", most).parquet(path)
-
-
-def write_postings(chunks: DataFrame, path: str, document: str, key: str, text: str, tokens=search_tokens, buckets: int = 64) -> None:
-    """Write postings (term, key, tf, length) of documents, in place of those that the documents had.
-
-    Files are partitioned by a bucket of the document, so that a replacement
-    rewrites the buckets of its documents only, and sorted by term, so that a
-    search for terms skips row groups by their statistics.
-    """
-    rows = postings(chunks, key, text, tokens, (document,)).withColumn("bucket", F.pmod(F.xxhash64(document), F.lit(buckets)).cast("int"))
-    replace_documents(rows, path, document, "bucket", "term", _asked(chunks, document, buckets))
-
-
-def _asked(chunks: DataFrame, document: str, buckets: int) -> DataFrame:
-    return chunks.select(document).distinct().withColumn("bucket", F.pmod(F.xxhash64(document), F.lit(buckets)).cast("int"))
-
-
-def replace_documents(rows: DataFrame, path: str, document: str, bucket: str, order: str, asked: DataFrame | None = None) -> None:
-    """Replace all rows of the documents that ``rows`` (or ``asked``: document, bucket) has; others stay.
-
-    Rows of other documents in the same buckets are read first and written along
-    by dynamic partition overwrite. The new state is written beside the table and
-    then put in its place, because a job must not read the files it overwrites.
-    """
-    spark = rows.sparkSession
-    asked = rows.select(document, bucket).distinct() if asked is None else asked
-    new = rows
-    if _exists(spark, path):
-        old = spark.read.schema(rows.schema).parquet(path)
-        stay = old.join(F.broadcast(asked.select(bucket).distinct()), bucket, "left_semi").join(asked.select(document), document, "left_anti")
-        new = rows.unionByName(stay)
-    beside = f"{path}-next"
-    new.repartition(bucket).sortWithinPartitions(bucket, order).write.mode("overwrite").partitionBy(bucket).parquet(beside)
-    fresh = spark.read.schema(rows.schema).parquet(beside)
-    fresh.sortWithinPartitions(bucket, order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(bucket).parquet(path)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-
-
-def index_stats(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """One row: n chunks and their average length of a written index, each chunk once."""
-    each = spark.read.parquet(path).groupBy(key).agg(F.max("length").alias("_l"))
-    return each.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("_l"), F.lit(0.0)).alias("avg_length"))
-
-

@@ -69,11 +69,6 @@ def uploads(spark: SparkSession, folder: str, magic: bytes, most: int) -> DataFr
     return files.select("path", F.sha2("content", 256).alias("digest"), "length", ok.alias("accepted"))
 
 
-def replace_keys(spark: SparkSession, rows: DataFrame, path: str, key: str) -> None:
-    """Replace the partitions of the keys that ``rows`` has and leave the others: dynamic partition overwrite."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
-
-
 def canonical_lines(df: DataFrame, order: str) -> DataFrame:
     """One JSON object for each row, keys sorted, in order of a column; nulls are left out."""
     names = sorted(c for c in df.columns if c != order)

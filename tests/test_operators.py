@@ -160,10 +160,6 @@ def test_files(spark, tmp_path):
     assert fm[0]["header"] == {"code": "X-1", "title": "A: b"} and fm[0]["body"] == "Body" and fm[1]["header"] == {} and fm[1]["body"] == "No head"
     ev = files.server_events(spark.createDataFrame([(1, "event: meta\ndata: {}\n\n: note\n\ndata: a\ndata: b\n\n")], "k int, s string"), "k", "s").orderBy("seq").collect()
     assert [(r["event"], r["data"]) for r in ev] == [("meta", "{}"), ("message", "a\nb")]
-    out = str(tmp_path / "t")
-    files.replace_keys(spark, spark.createDataFrame([(1, "a"), (2, "b")], "v int, k string"), out, "k")
-    files.replace_keys(spark, spark.createDataFrame([(3, "b")], "v int, k string"), out, "k")
-    assert sorted(map(tuple, spark.read.parquet(out).collect())) == [(1, "a"), (3, "b")]
     (tmp_path / "x.pdf").write_bytes(b"%PDF-1.7")
     (tmp_path / "y.pdf").write_bytes(b"none")
     got = {r["path"][-5:]: r["accepted"] for r in files.uploads(spark, str(tmp_path / "*.pdf"), b"%PDF", 100).collect()}

@@ -52,34 +52,52 @@ def test_every_question_has_sources(spark, name):
     assert got == set(brute_bm25())
 
 
-def brute_lists(every=20):
-    vectors = rows("SELECT vec_id, embedding, label FROM {embeddings} ORDER BY 1")
-    unit = {i: [x / math.sqrt(sum(y * y for y in v)) for x in v] for i, v, _ in vectors}
-    label = {i: n for i, _, n in vectors}
+def brute_lists():
+    unit = {i: [x / math.sqrt(sum(y * y for y in v)) for x in v] for i, v in rows("SELECT vec_id, embedding FROM {embeddings}")}
     out = {}
-    for q in (i for i in unit if i % every == 0):
-        out["vector", q] = sorted(unit, key=lambda i: (-round(sum(a * b for a, b in zip(unit[q], unit[i], strict=True)), 12), i))[:30]
-        out["bm25", q] = sorted((i for i in unit if label[i] == label[q]), key=lambda i: (-(i * 7919 % 1009), i))[:30]
+    for q, found in brute_bm25().items():
+        out["bm25", q] = [i for i, _ in found]
+    for (q,) in rows("SELECT item_id FROM {benchmark}"):
+        if q in unit:
+            out["vector", q] = sorted(unit, key=lambda i: (-round(sum(a * b for a, b in zip(unit[q], unit[i], strict=True)), 12), i))[:30]
     return out
 
 
-def test_every_stated_vector_has_lists(spark):
-    lists = brute_lists()
+def fused_of(lists, methods):
     fused = {}
     for (method, q), ids in lists.items():
         for n, i in enumerate(ids, 1):
-            fused[q, i] = fused.get((q, i), 0) + {"bm25": 0.6, "vector": 1.0}[method] / (60 + n)
+            if method in methods:
+                fused[q, i] = fused.get((q, i), 0) + {"bm25": 0.6, "vector": 1.0}[method] / (60 + n)
+    return fused
+
+
+def test_every_question_has_its_lists(spark):
+    lists = brute_lists()
+    fused = fused_of(lists, ("bm25", "vector"))
     got = {(r["q"], r["vec_id"]): r["score"] for r in QUERIES["ret05_rrf_fusion_all"](spark, SF).collect()}
     assert set(got) == set(fused) and all(got[k] == pytest.approx(fused[k], abs=2e-9) for k in got)
-    modes = {(r["method"], r["q"]): (r["n"], r["best"]) for r in QUERIES["ret16_mode_switch_all"](spark, SF).collect()}
-    assert modes == {k: (len(v), 1) for k, v in lists.items()}
-    dense = {q: ids for (method, q), ids in lists.items() if method == "vector"}
-    hits = {(q, i, False) for q, ids in dense.items() for i in ids if i % 7 == 0}
-    few = {(q, i, True) for q, ids in dense.items() for i in ids if sum(j % 7 == 0 for j in ids) < 3}
-    assert {tuple(r) for r in QUERIES["ret04_sparse_fallback_all"](spark, SF).select("q", "vec_id", "fallback").collect()} == hits | few
     docs = {i for (i,) in rows("SELECT doc_id FROM {documents}")}
     boosted = {(r["q"], r["vec_id"]) for r in QUERIES["ret06_jurisdiction_boost_all"](spark, SF).collect()}
     assert boosted == {(q, i) for q, i in fused if i in docs}
+    modes = {(r["mode"], r["q"], r["rank"]): r["vec_id"] for r in QUERIES["ret16_mode_switch_all"](spark, SF).collect()}
+    want = {}
+    for mode, methods in (("hybrid", ("bm25", "vector")), ("bm25", ("bm25",)), ("vector", ("vector",))):
+        each = {}
+        for (q, i), x in fused_of(lists, methods).items():
+            each.setdefault(q, []).append((-round(x, 12), i))
+        want |= {(mode, q, n): i for q, found in each.items() for n, (_, i) in enumerate(sorted(found)[:8], 1)}
+    assert modes == want
+
+
+def test_sparse_lists_fall_back(spark):
+    whole = {q: [i for i, _ in found] for q, found in brute_bm25().items()}
+    of = {i for (i,) in rows("SELECT doc_id FROM {documents} WHERE source = 'src3' AND lang = 'fr'")}
+    scores = {q: [i for i, _ in found] for q, found in brute_bm25(lambda s: s == "src3").items()}
+    got = {tuple(r) for r in QUERIES["ret04_sparse_fallback_all"](spark, SF).select("q", "vec_id", "fallback").collect()}
+    hits = {q: [i for i in found if i in of] for q, found in scores.items()}
+    assert {x for x in got if x[2]} == {(q, i, True) for q, found in whole.items() if len(hits.get(q, [])) < 3 for i in found}
+    assert {x for x in got if not x[2]} == {(q, i, False) for q, found in hits.items() for i in found}
 
 
 def test_copy_overlap_reads_long_documents(spark):
