@@ -1,24 +1,28 @@
 """HTML and text into blocks, sections and chunks.
 
-Sections follow from window functions over blocks; packing depends on what was
-packed before, so each document's blocks (bounded by the document) are folded
-in pandas. Tokens are counted as words and signs.
+Packing depends on what was packed before, so blocks are folded in order, a
+section at a time, in Arrow batches. Tokens are counted as words and signs.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evalloom.functions.text import SENTENCE
+from evalloom.operators.evaluation import heading_parts
 from evalloom.sources.session import python_ready
 
 TARGET, MOST, OVERLAP, LEAST = 600, 800, 90, 40
+TEXTS = ("paragraph", "list", "overlap")
+_TOKEN = re.compile(r"\w+|[^\w\s]")
 
 
 def token_count(text: Column) -> Column:
@@ -29,7 +33,7 @@ def token_count(text: Column) -> Column:
 @functools.lru_cache(maxsize=2000)
 def count_tokens(text: str) -> int:
     """Splitting, packing and merging ask for the same pieces in turn."""
-    return len(re.findall(r"\w+|[^\w\s]", text))
+    return sum(1 for _ in _TOKEN.finditer(text))
 
 
 def html_blocks(pages: DataFrame, key: str, html: str) -> DataFrame:
@@ -61,122 +65,310 @@ def outline(blocks: DataFrame, key: str) -> DataFrame:
     return rows.select(*blocks.columns, F.col("_top.text").alias("part"), F.when(live, F.col("_sub.text")).alias("section"))
 
 
-def pack(pieces: list[str], target: int = TARGET, most: int = MOST) -> list[list[str]]:
-    """Greedy packing: a chunk closes when it has reached the target or the next piece would take it past the most."""
-    out: list[list[str]] = []
-    held: list[str] = []
-    size = 0
-    for p in pieces:
-        n = count_tokens(p)
-        if held and (size >= target or size + n > most):
-            out.append(held)
-            held, size = [], 0
-        held.append(p)
-        size += n
-    if held:
-        out.append(held)
-    return out
+# --- chunks: one pass over blocks in order
 
 
-def split_piece(text: str, most: int = MOST) -> list[str]:
-    """A piece that is too long in sentences, and sentences that are too long in runs of words."""
-    if count_tokens(text) <= most:
-        return [text]
-    out: list[str] = []
-    held, size = "", 0
-    for s in re.split(SENTENCE, text):
-        n = count_tokens(s)
+class Unit(NamedTuple):
+    """A block or a part of one, with its tokens and one for what joins it to the next."""
+
+    kind: str
+    text: str
+    page: int
+    path: tuple[str, ...]
+    size: int
+
+
+class Draft(NamedTuple):
+    text: str
+    path: tuple[str, ...]
+    pages: tuple[int, int]
+    size: int
+    sums: tuple[int, int, int]  # of tables, of lists, of all
+    titles: str
+
+
+def unit(kind: str, text: str, page: int, path: tuple[str, ...]) -> Unit:
+    return Unit(kind, text, page, path, count_tokens(text) + 1)
+
+
+def every_tokens(text: str, most: int) -> list[str]:
+    """A text in pieces of so many tokens, whatever stands there."""
+    starts = [m.start() for m in _TOKEN.finditer(text)]
+    edges = [0, *starts[most::most], len(text)]
+    return [text[x:y] for x, y in zip(edges, edges[1:], strict=False)]
+
+
+def split_unit(u: Unit, most: int) -> Iterator[Unit]:
+    """A list at its items and a paragraph at its sentences, each part as long as it may be; what is too long by itself is cut by tokens."""
+    if u.size <= most:
+        yield u
+        return
+    between, parts = ("\n", u.text.split("\n")) if u.kind == "list" else (" ", re.split(SENTENCE, u.text))
+    made: list[str] = []
+    run, length = None, 0
+    for part in parts:
+        n = count_tokens(part)  # tokens do not reach over white space, so lengths add up
+        if n > most or (run is not None and length + n > most):
+            if run is not None:
+                made.append(run)
+            run, length = None, 0
         if n > most:
-            words = s.split()
-            parts = [" ".join(words[i : i + most // 2]) for i in range(0, len(words), most // 2)]
+            made += every_tokens(part, most)
         else:
-            parts = [s]
-        for p in parts:
-            m = count_tokens(p)
-            if held and size + m > most:
-                out.append(held)
-                held, size = "", 0
-            held, size = f"{held} {p}".strip(), size + m
-    return [*out, held] if held else out
-
-
-def overlap_tail(text: str, tokens: int = OVERLAP) -> str:
-    """The last whole sentences of at most so many tokens, or the last words of one long sentence."""
-    out, size = "", 0
-    for s in reversed(re.split(SENTENCE, text)):
-        n = count_tokens(s)
-        if size + n > tokens:
+            run, length = part if run is None else f"{run}{between}{part}", length + n
+    if run is not None:
+        made.append(run)
+    for text in made:
+        yield unit(u.kind, text, u.page, u.path)
+
+
+def tail_of(units: list[Unit], tokens: int = OVERLAP) -> Unit | None:
+    """What the next chunk repeats of the last text: its last sentences, between 0.6 and 1.4 times ``tokens``, or the last tokens of a long one; nothing if that is all of it."""
+    texts = [u for u in units if u.kind in TEXTS]
+    if not texts:
+        return None
+    last = texts[-1]
+    sentences = re.split(SENTENCE, last.text.replace("\n", " "))
+    first, length = len(sentences), 0
+    while first and length < 0.6 * tokens:
+        n = count_tokens(sentences[first - 1])
+        if length + n > 1.4 * tokens:
             break
-        out, size = f"{s} {out}".strip(), size + n
-    return out or " ".join(text.split()[-tokens:])
+        first, length = first - 1, length + n
+    if first < len(sentences):
+        text = " ".join(sentences[first:])
+    else:
+        starts = [m.start() for m in _TOKEN.finditer(last.text)]
+        text = last.text[starts[-tokens] if len(starts) >= tokens else 0 :]
+        text = text.partition(" ")[2] if " " in text else text
+    return None if text == last.text else unit("overlap", f"… {text}", last.page, last.path)
 
 
-def table_chunks(rows: list[str], most: int = MOST) -> list[str]:
-    """A table in chunks of whole rows, the header row repeated in each."""
-    if not rows:
-        return []
-    head, room = rows[0], most - count_tokens(rows[0])
-    out: list[str] = []
-    held: list[str] = []
-    size = 0
-    for r in rows[1:]:
-        n = count_tokens(r)
-        if held and size + n > room:
-            out.append("\n".join([head, *held]))
-            held, size = [], 0
-        held.append(r)
-        size += n
-    return [*out, "\n".join([head, *held])] if held or not out else out
-
-
-def merge_remnants(chunks: list[str], least: int = LEAST, most: int = MOST) -> list[str]:
-    """A chunk below the least joins the one before it if both fit."""
+def has_body(units: list[Unit]) -> bool:
+    return any(u.kind not in ("heading", "overlap") for u in units)
+
+
+def packed(units: Iterable[Unit]) -> Iterator[tuple[list[Unit], str | None]]:
+    """A section's units in chunks, tables alone with the headings before them (or the section's last title).
+
+    A chunk closes at the target, if it has half of it or would pass the most;
+    headings at its end go on to the next one, which begins with its tail unless
+    that leaves no room.
+    """
+    held: list[Unit] = []
+
+    def closed(carry: bool) -> list[Unit] | None:
+        nonlocal held
+        end = len(held)
+        while end and held[end - 1].kind == "heading":
+            end -= 1
+        front, heads = held[:end], held[end:]
+        if not has_body(front):
+            return None
+        tail = tail_of(front) if carry else None
+        held = [tail, *heads] if tail else heads
+        return front
+
+    for u in units:
+        if u.kind == "table":
+            if front := closed(False):
+                yield front, None
+            heads = [h.text for h in held if h.kind == "heading"]
+            yield [u], "\n".join(heads) if heads else (u.path[-1] if u.path else "")
+            held = []
+            continue
+        for part in split_unit(u, MOST - OVERLAP - 20):
+            size = sum(h.size for h in held)
+            if held and size + part.size > TARGET and has_body(held) and (2 * size >= TARGET or size + part.size > MOST):
+                if front := closed(True):
+                    yield front, None
+                if sum(h.size for h in held) + part.size > MOST:
+                    held = [h for h in held if h.kind != "overlap"]
+            held.append(part)
+    if has_body(held):
+        yield held, None
+
+
+def table_texts(text: str, prefix: str) -> list[str]:
+    """A table under its prefix, whole or by rows with its first two lines in each part; a row that is too long by itself is cut by tokens."""
+    head = f"{prefix}\n\n" if prefix else ""
+    if count_tokens(head + text) <= MOST:
+        return [head + text]
+    lines = text.split("\n")
+    top = head + "\n".join(lines[:2])
+    base = count_tokens(top) + 1
     out: list[str] = []
-    for c in chunks:
-        if out and count_tokens(c) < least and count_tokens(out[-1]) + count_tokens(c) <= most:
-            out[-1] += "\n\n" + c
+    part, size = [], base
+
+    def end() -> None:
+        nonlocal part, size
+        if part:
+            out.append("\n".join([top, *part]))
+        part, size = [], base
+
+    for row in lines[2:]:
+        n = count_tokens(row) + 1
+        if size + n > MOST:
+            end()
+        if base + n > MOST:
+            out += [f"{top}\n{piece}" for piece in every_tokens(row, max(1, MOST - base))]
+        else:
+            part, size = [*part, row], size + n
+    end()
+    return out
+
+
+def shared_path(paths: Iterable[tuple[str, ...]]) -> tuple[str, ...]:
+    out = []
+    for names in zip(*paths, strict=False):
+        if len(set(names)) > 1:
+            break
+        out.append(names[0])
+    return tuple(out)
+
+
+def drafted(units: Iterable[Unit]) -> Iterator[Draft]:
+    for own, prefix in packed(units):
+        path, pages = shared_path(u.path for u in own), (min(u.page for u in own), max(u.page for u in own))
+        body = [u for u in own if u.kind in ("paragraph", "list", "table")]
+        sums = tuple(sum(u.size for u in body if kind is None or u.kind == kind) for kind in ("table", "list", None))
+        for text in table_texts(own[0].text, prefix) if prefix is not None else ["\n\n".join(u.text for u in own)]:
+            yield Draft(text, path, pages, count_tokens(text) + 1, sums, " ".join(path))
+
+
+def merged(drafts: Iterable[Draft]) -> list[Draft]:
+    """A draft below the least joins the one before it, or, as the first of its section, the next one, if both fit. It keeps the longer one's kind."""
+    out: list[Draft] = []
+    waits = False
+
+    def both(a: Draft, b: Draft, kind: Draft) -> Draft:
+        return Draft(f"{a.text}\n\n{b.text}", shared_path((a.path, b.path)), (min(a.pages[0], b.pages[0]), max(a.pages[1], b.pages[1])), a.size + b.size, kind.sums, kind.titles)
+
+    for d in drafts:
+        if waits and out[-1].size + d.size <= MOST:
+            d = both(out.pop(), d, d)
+        small = d.size < LEAST
+        if small and out and out[-1].size + d.size <= MOST:
+            out[-1] = both(out[-1], d, out[-1])
+            waits = False
         else:
-            out.append(c)
+            out.append(d)
+            waits = small and len(out) == 1
     return out
 
 
-def chunks(blocks: DataFrame, key: str) -> DataFrame:
-    """(key, chunk_index, section, content_type, tokens, text) of outlined blocks.
+_NUMBER = re.compile(r"\d+(?:\.\d+)*|[A-Z]")
+
+
+class Sections:
+    """Blocks of documents one after the other; a section's units come out when the next one begins.
 
-    A section's text is split, packed and given the tail of the chunk before it
-    after "…"; tables are split by rows; remnants are merged.
+    A section is the nearest numbered heading with the headings of level 1 and 2
+    above; headings of level 3 stay inside. One of headings alone is left out.
+    Table blocks of one line that follow each other are the rows of one table.
     """
-    python_ready(blocks.sparkSession)
-    kind = blocks.schema[key].dataType.simpleString()
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        rows, at = [], pdf[key].iloc[0]
-        group, sections = None, []
-        for r in pdf.itertuples():
-            name = " › ".join(x for x in (r.part, r.section) if isinstance(x, str))
-            here = (name, r.kind == "table")
-            if here != group:
-                sections.append((name, r.kind == "table", [], {}))
-                group = here
-            if r.kind != "heading":
-                sections[-1][2].append(r.text)
-                sections[-1][3][r.kind] = sections[-1][3].get(r.kind, 0) + count_tokens(r.text)
-        for name, is_table, texts, sizes in sections:
-            if is_table:
-                parts = table_chunks(texts)
-            else:
-                parts = ["\n\n".join(p) for p in pack([q for t in texts for q in split_piece(t)])]
-                parts = merge_remnants(parts)
-                parts = [p if i == 0 else f"…{overlap_tail(parts[i - 1])}\n\n{p}" for i, p in enumerate(parts)]
-            rows += [(at, name, sizes.get("table", 0), sizes.get("list", 0), sum(sizes.values()), count_tokens(p), p) for p in parts if p]
-        out = pd.DataFrame(rows, columns=[key, "section", "_tables", "_lists", "_total", "tokens", "text"])
-        out.insert(1, "chunk_index", range(len(out)))
-        return out.astype({"chunk_index": "int32", "tokens": "int64", "_tables": "int64", "_lists": "int64", "_total": "int64"})
-
-    rows = blocks.groupBy(key).applyInPandas(build, f"{key} {kind}, chunk_index int, section string, _tables long, _lists long, _total long, tokens long, text string")
-    what = content_type(F.col("_tables"), F.col("_lists"), F.col("_total"), F.col("section"))
-    return rows.select(key, "chunk_index", "section", what.alias("content_type"), "tokens", "text")
+    def __init__(self, titles: bool):
+        self.titles = titles
+        self.begin(None)
+
+    def begin(self, key) -> None:
+        self.key, self.stack, self.section, self.name = key, [], None, (None, None)
+        self.units: list[Unit | tuple] = []
+        self.opening, self.title = self.titles, set()
+
+    def end(self) -> tuple[tuple[str | None, str | None], list[Unit]] | None:
+        units, self.units = [u if isinstance(u, Unit) else unit("table", "\n".join(u[0]), *u[1:]) for u in self.units], []
+        return (self.name, units) if any(u.kind != "heading" for u in units) else None
+
+    def add(self, kind: str, level: int | None, text: str, page: int, number: str | None, title: str | None):
+        """The section that ends before this block, if one does."""
+        self.opening = self.opening and kind == "heading" and level == 1 and page == 1
+        if self.opening:
+            self.title.add(text)
+        if kind == "heading":
+            if page == 1 and text in self.title:
+                return None  # the document's title stands for itself
+            depth = level or 3
+            self.stack = [h for h in self.stack if h[0] < depth] + [(depth, text, number, title)]
+        name = next(((n, t) for _, _, n, t in reversed(self.stack) if n and _NUMBER.fullmatch(n)), (None, self.stack[-1][3] if self.stack else None))
+        section = (name[0], tuple(h[1] for h in self.stack if h[0] <= 2))
+        done = None
+        if section != self.section:
+            done, self.section, self.name = self.end(), section, name
+        path = tuple(h[1] for h in self.stack)
+        if kind != "table" or "\n" in text:
+            self.units.append(unit(kind, text, page, path))
+        elif self.units and not isinstance(self.units[-1], Unit):
+            self.units[-1][0].append(text)
+        else:
+            self.units.append(([text], page, path))
+        return done
+
+
+def chunks(blocks: DataFrame, key: str, in_order: bool = False, titles: bool = False) -> DataFrame:
+    """Chunks of documents' blocks: (key, chunk_index, section, section_number, section_title, page_start, page_end, content_type, tokens, text).
+
+    ``blocks``: key, pos, kind (heading, paragraph, list, table), level, text and,
+    if there are pages, page. They are folded as they come, so a task holds one
+    section. ``in_order`` says that a document's blocks already follow each other
+    by pos within a partition, as those that were cut from one row do; else one
+    shuffle by key sorts them. With ``titles`` the level-1 headings that begin
+    page 1 are the title and no section. Documents without text have no chunk;
+    rows of one key are one document, but where pos begins anew another one.
+    """
+    spark = blocks.sparkSession
+    python_ready(spark, 1000)
+    kind = blocks.schema[key].dataType.simpleString()
+    head = heading_parts(F.col("text"))
+    page = F.coalesce("page", F.lit(1)).cast("int") if "page" in blocks.columns else F.lit(1)
+    is_head = F.col("kind") == "heading"
+    rows = blocks.filter(F.col("text").isNotNull()).select(key, F.col("pos").cast("long").alias("pos"), "kind", F.col("level").cast("int").alias("level"), "text", page.alias("page"), F.when(is_head, head["number"]).alias("number"), F.when(is_head, head["title"]).alias("title"))
+    if not in_order:
+        rows = rows.repartition(key).sortWithinPartitions(key, "pos")
+    names = ["key", "chunk_index", "_path", "section_number", "section_title", "page_start", "page_end", "_tables", "_lists", "_total", "_titles", "tokens", "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold, index, out = Sections(titles), 0, [[] for _ in names]
+        last = None
+
+        def put(done) -> None:
+            nonlocal index
+            if done is None:
+                return
+            (number, title), units = done
+            for d in merged(drafted(units)):
+                for column, value in zip(out, (fold.key, index, list(d.path), number, title, *d.pages, *d.sums, d.titles, count_tokens(d.text), d.text), strict=True):
+                    column.append(value)
+                index += 1
+
+        def batch_of(schema: pa.DataType) -> pa.RecordBatch:
+            types = [schema, pa.int32(), pa.list_(pa.string()), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
+            for c in out:
+                c.clear()
+            return made
+
+        key_type = None
+        for batch in batches:
+            key_type = batch.schema.field(0).type
+            for k, pos, what, level, text, at, number, title in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if last is None or last[0] != k or pos <= last[1]:
+                    put(fold.end())
+                    fold.begin(k)
+                    index = 0
+                last = (k, pos)
+                put(fold.add(what, level, text, at, number, title))
+            if out[0]:
+                yield batch_of(key_type)
+        put(fold.end())
+        if out[0]:
+            yield batch_of(key_type)
+
+    schema = f"key {kind}, chunk_index int, _path array<string>, section_number string, section_title string, page_start int, page_end int, _tables long, _lists long, _total long, _titles string, tokens long, text string"
+    made = rows.mapInArrow(run, schema)
+    what = content_type(F.col("_tables"), F.col("_lists"), F.col("_total"), F.col("_titles"))
+    return made.select(F.col("key").alias(key), "chunk_index", F.array_join("_path", " › ").alias("section"), "section_number", "section_title", "page_start", "page_end", what.alias("content_type"), "tokens", "text")
 
 
 # Titles that tell what a section is.

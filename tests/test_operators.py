@@ -122,21 +122,6 @@ def test_ndcg_counts_a_unit_once(spark):
     assert M.ndcg(c, "c", "u", e).first()["ndcg"] == pytest.approx((1 + 1 / math.log2(5)) / (1 + 1 / math.log2(3)))
 
 
-def test_chunking():
-    assert [len(p) for p in D.pack(["w " * 500, "w " * 200, "w " * 300, "w " * 300])] == [2, 2]
-    assert all(D.count_tokens(p) <= 100 for p in D.split_piece("One two three. " * 100, 100))
-    assert D.overlap_tail("First one here. Second one. Third one.", 6) == "Second one. Third one."
-    assert D.table_chunks(["h", *["a b c"] * 5], 8) == ["h\na b c\na b c", "h\na b c\na b c", "h\na b c"]
-    assert D.merge_remnants(["w " * 50, "tiny"]) == ["w " * 50 + "\n\ntiny"]
-
-
-def test_chunks_carry_sections(spark):
-    html = "<h1>Part</h1><h2>Leave</h2><p>One. Two.</p><ul><li>x</li></ul><h2>Pay</h2><table><tr><td>a</td><td>b</td></tr><tr><td>1</td></tr></table>"
-    blocks = D.html_blocks(spark.createDataFrame([(1, html), (2, None)], "k int, html string"), "k", "html")
-    got = D.chunks(D.outline(blocks, "k"), "k").orderBy("chunk_index").collect()
-    assert [(r["section"], r["content_type"]) for r in got] == [("Part › Leave", "prose"), ("Part › Pay", "table")]
-
-
 def test_paging_and_cursor(spark):
     df = spark.createDataFrame([(i, i // 2) for i in range(10)], "id int, at int")
     first = R.keyset_page(df, "at", "id", 3).collect()

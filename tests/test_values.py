@@ -57,23 +57,6 @@ def test_html_blocks(spark):
     assert set(got) == want and len(got) == len(want)
 
 
-def test_chunks_hold_the_text_of_their_blocks(spark):
-    got = QUERIES["doc14_chunks"](spark, SF).collect()
-    assert all(r["tokens"] == D.count_tokens(r["text"]) for r in got)
-    by_doc = defaultdict(list)
-    for r in sorted(got, key=lambda r: (r["doc_id"], r["chunk_index"])):
-        by_doc[r["doc_id"]].append(r)
-    for i, t in rows("SELECT doc_id, text FROM {documents}"):
-        body = [x for x in (t or "").split("\n") if x.strip() and not (len(x) <= 30 and re.match(r"[^\W\d_]", x) and x[0].isupper())]
-        own = []
-        for r in by_doc[i]:
-            tail = f"…{D.overlap_tail(own[-1])}\n\n" if own else ""  # of the chunk before, within a section
-            own.append(r["text"][len(tail) :] if tail and r["text"].startswith(tail) else r["text"])
-            assert not own[-1].startswith("…")
-        assert " ".join(" ".join(own).split()) == " ".join(" ".join(body).split())
-        assert [r["chunk_index"] for r in by_doc[i]] == list(range(len(own)))
-
-
 def test_hashed_embeddings(spark):
     for r in QUERIES["doc18_hashed_embeddings"](spark, SF).collect():
         (text,) = rows(f"SELECT text FROM {{benchmark}} WHERE item_id = {r['item_id']}")[0]
