@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evalloom.sources.session import python_ready
+from evalloom.operators.ranks import average_ranks
+from evalloom.sources.session import joined_by, python_ready, written
 
 Z = 1.959963984540054
 BOOTSTRAP, PAIRED_BOOTSTRAP, PERMUTATIONS, EXACT_MAX = 2000, 5000, 10_000, 16
@@ -183,14 +184,19 @@ def kappa(df: DataFrame, a: str, b: str, k: int, quadratic: bool = False, by: li
 
 
 def spearman(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
-    """Pearson correlation of average ranks within each group; null for a constant rater."""
-    def ranks(c: str) -> Column:
-        w = Window.partitionBy(*by)
-        return F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, c)) - 1) / 2
-
-    r = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, ranks(a).alias("_x"), ranks(b).alias("_y"))
-    varied = (F.stddev_pop("_x") > 0) & (F.stddev_pop("_y") > 0)
-    return r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(varied, F.corr("_x", "_y")).alias("rho"))
+    """Pearson correlation of average ranks within each group; null for a constant rater.
+
+    Rows are counted by their pair of values first, and ranks come from counts
+    of values, so no task has a group: see :mod:`evalloom.operators.ranks`.
+    """
+    rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    pairs = written(rows.groupBy(*by, F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.count(F.lit(1)).alias("n")))
+    sizes = pairs.groupBy(*by).agg(((F.sum("n") + 1) / 2).alias("_mid"))
+    ranks = {c: average_ranks(pairs, by, c).select(*by, c, F.col("rank").alias(f"{c}r")) for c in ("_a", "_b")}
+    both = joined_by(joined_by(joined_by(pairs, ranks["_a"], [*by, "_a"]), ranks["_b"], [*by, "_b"]), sizes, by)
+    x, y, n = F.col("_ar") - F.col("_mid"), F.col("_br") - F.col("_mid"), F.col("n")  # ranks about their mean
+    sums = both.groupBy(*by).agg(F.sum(n).alias("_n"), F.sum(n * x * y).alias("_xy"), F.sum(n * x * x).alias("_xx"), F.sum(n * y * y).alias("_yy"))
+    return sums.select(*by, F.col("_n").alias("n"), F.when((F.col("_xx") > 0) & (F.col("_yy") > 0), F.col("_xy") / F.sqrt(F.col("_xx") * F.col("_yy"))).alias("rho"))
 
 
 def agreement(df: DataFrame, judge: str, human: str, by: list[str]) -> DataFrame:

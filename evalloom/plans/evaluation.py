@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from evalloom.functions import text as T
 from evalloom.operators import evaluation as E
 from evalloom.operators import relational as R
+from evalloom.operators.ranks import exact_percentiles
 from evalloom.plans.registry import query
 from evalloom.sources.standins import duck, table
 
@@ -182,7 +183,7 @@ def jaccard(spark, d):
 
 @query("mth03_percentiles", "SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY 1")
 def percentiles(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.percentile("value", 0.5).alias("p50"), F.percentile("value", 0.95).alias("p95"))
+    return exact_percentiles(table(spark, d, "events"), ["event_type"], {"p50": (F.col("value"), 0.5), "p95": (F.col("value"), 0.95)})
 
 
 @query("doc16_synced_columns", "SELECT l_orderkey, l_linenumber, l_partkey, o_orderpriority FROM lineitem JOIN orders ON o_orderkey = l_orderkey")

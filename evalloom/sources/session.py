@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import pathlib
 import re
 import tempfile
@@ -9,7 +10,8 @@ import uuid
 import zipfile
 
 import evalloom
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -42,3 +44,20 @@ def shared_place(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir has to name a folder that the cluster shares")
         base = tempfile.mkdtemp(prefix="evalloom-")
     return f"{base}/table-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The frame as a table in the shared folder: what is read twice is computed once, and a lost executor repeats its own part only."""
+    path = shared_place(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def joined_by(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which nulls are values like others, the left side's keys kept; without keys the right side is one row."""
+    if not keys:
+        return left.crossJoin(F.broadcast(right))
+    names = [f"_right{i}" for i in range(len(keys))]
+    other = right.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], *[c for c in right.columns if c not in keys])
+    same = functools.reduce(lambda x, y: x & y, [left[k].eqNullSafe(other[n]) for k, n in zip(keys, names, strict=True)])
+    return left.join(other, same, how).drop(*names)
