@@ -1,25 +1,22 @@
 """Intervals, paired tests, agreement, aggregates by slice, sampling and allocation.
 
-Closed forms are Column expressions; resampling runs as grouped pandas
-aggregates over values sorted by key first.
+Closed forms are Column expressions; resampling stands in
+:mod:`evalloom.operators.resampling`, ranks in :mod:`evalloom.operators.ranks`.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evalloom.operators.ranks import average_ranks
-from evalloom.sources.session import joined_by, python_ready, written
+from evalloom.operators.resampling import PAIRED_BOOTSTRAP, bootstrap_means, flip_tests
+from evalloom.sources.session import joined_by, written
 
 Z = 1.959963984540054
-BOOTSTRAP, PAIRED_BOOTSTRAP, PERMUTATIONS, EXACT_MAX = 2000, 5000, 10_000, 16
 UNIT_EPSILON = RELATIVE_EPSILON = 0.1
 
 
@@ -34,53 +31,6 @@ def wilson(passed: Column, n: Column) -> tuple[Column, Column]:
     return F.when(~none, low), F.when(~none, high)
 
 
-def seed_of(*parts: str) -> int:
-    """First eight bytes of the sha256 of the parts joined by the unit separator."""
-    return int.from_bytes(hashlib.sha256("\x1f".join(parts).encode()).digest()[:8], "big")
-
-
-def bootstrap_interval(values: np.ndarray, seed: int, rounds: int = BOOTSTRAP) -> tuple[float, float]:
-    """Percentile bootstrap of the mean; one value or equal values give themselves."""
-    if len(values) == 0:
-        return float("nan"), float("nan")
-    if len(values) == 1 or np.all(values == values[0]):
-        return float(values[0]), float(values[0])
-    rng = np.random.default_rng(seed)
-    means = np.concatenate([values[rng.integers(0, len(values), (min(200, rounds - k), len(values)))].mean(axis=1) for k in range(0, rounds, 200)])
-    low, high = np.percentile(means, [2.5, 97.5])
-    return float(low), float(high)
-
-
-def sign_flip(differences: np.ndarray, seed: int) -> float:
-    """Two-sided sign-flip p: exact for up to 16 differences that are not zero, else Monte Carlo with the +1 rule."""
-    d = differences[differences != 0]
-    if len(d) == 0:
-        return 1.0
-    seen, tolerance = abs(d.sum()), 1e-9 * max(1.0, np.abs(d).sum())
-    if len(d) <= EXACT_MAX:
-        signs = 1 - 2 * ((np.arange(1 << len(d))[:, None] >> np.arange(len(d))) & 1)
-        return float((np.abs(signs @ d) >= seen - tolerance).mean())
-    rng, hits = np.random.default_rng(seed), 0
-    for k in range(0, PERMUTATIONS, 500):
-        signs = rng.integers(0, 2, (min(500, PERMUTATIONS - k), len(d))) * 2 - 1
-        hits += int((np.abs(signs @ d) >= seen - tolerance).sum())
-    return (hits + 1) / (PERMUTATIONS + 1)
-
-
-def bootstrap_by(df: DataFrame, groups: list[str], key: str, value: str, salt: str) -> DataFrame:
-    """Mean and bootstrap interval of each group; one group's values are one pandas frame."""
-    python_ready(df.sparkSession)
-
-    def run(name, pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values(key)[value].dropna().to_numpy(float)
-        low, high = bootstrap_interval(v, seed_of(salt, *map(str, name)))
-        return pd.DataFrame([[*name, len(v), v.mean() if len(v) else None, low, high]])
-
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = ", ".join([*(f"{g} {kinds[g]}" for g in groups), "n long", "mean double", "low double", "high double"])
-    return df.select(*groups, key, value).groupBy(*groups).applyInPandas(run, schema)
-
-
 def mcnemar(a_only: Column, b_only: Column) -> Column:
     """Exact two-sided McNemar p from the discordant counts, however many; 0 only where p is below the smallest double."""
     m, k = a_only + b_only, F.least(a_only, b_only).cast("int")
@@ -131,18 +81,11 @@ def paired_binary(pairs: DataFrame, a: str, b: str, by: list[str] | None = None)
     return out.withColumns({"delta": (F.col("b_only") - F.col("a_only")) / F.col("n"), "p": mcnemar(F.col("a_only"), F.col("b_only")), "low": low, "high": high})
 
 
-def paired_continuous(pairs: DataFrame, key: str, a: str, b: str, by: list[str], salt: str = "paired") -> DataFrame:
-    """Mean difference with bootstrap interval and sign-flip p of each group."""
-    python_ready(pairs.sparkSession)
-
-    def run(name, pdf: pd.DataFrame) -> pd.DataFrame:
-        d = (pdf.sort_values(key)[b] - pdf.sort_values(key)[a]).dropna().to_numpy(float)
-        low, high = bootstrap_interval(d, seed_of(salt, *map(str, name)), PAIRED_BOOTSTRAP)
-        return pd.DataFrame([[*name, len(d), d.mean() if len(d) else None, low, high, sign_flip(d, seed_of(salt, "flip", *map(str, name)))]])
-
-    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    schema = ", ".join([*(f"{g} {kinds[g]}" for g in by), "n long", "delta double", "low double", "high double", "p double"])
-    return pairs.select(*by, key, a, b).groupBy(*by).applyInPandas(run, schema)
+def paired_continuous(pairs: DataFrame, a: str, b: str, by: list[str], salt: str = "paired") -> DataFrame:
+    """(by, n, delta, low, high, p): mean difference b - a with bootstrap interval and sign-flip p of each group; pairs with a null do not count."""
+    rows = pairs.select(*by, (F.col(b) - F.col(a)).alias("_d"))
+    means = bootstrap_means(rows, by, "_d", salt, PAIRED_BOOTSTRAP).withColumnRenamed("mean", "delta")
+    return joined_by(means, flip_tests(rows, by, "_d", salt), by)
 
 
 def slices(case: dict[str, Column]) -> Column:

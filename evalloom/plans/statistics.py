@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evalloom.functions import text as T
 from evalloom.operators import statistics as S
+from evalloom.operators.resampling import bootstrap_means
 from evalloom.plans.registry import query
 from evalloom.sources.standins import duck, table
 
@@ -47,7 +48,7 @@ def slice_aggregates(spark, d):
 
 @query("sta04_bootstrap")
 def bootstrap(spark, d):
-    return S.bootstrap_by(table(spark, d, "run_scores"), ["run", "type"], "case_key", "faithfulness", "boot")
+    return bootstrap_means(table(spark, d, "run_scores"), ["run", "type"], "faithfulness", "boot")
 
 
 @query("sta07_mcnemar_counts", _PAIRS + """ SELECT flag, count(*) AS n, count(*) FILTER (WHERE hit_a >= 0.5 AND hit_b < 0.5) AS a_only, count(*) FILTER (WHERE hit_b >= 0.5 AND hit_a < 0.5) AS b_only FROM pairs GROUP BY flag""")
@@ -77,7 +78,7 @@ def agresti(spark, d):
 
 @query("sta05_paired_continuous")
 def continuous(spark, d):
-    return S.paired_continuous(_pairs(spark, d), "case_key", "faithfulness_a", "faithfulness_b", ["flag"])
+    return S.paired_continuous(_pairs(spark, d), "faithfulness_a", "faithfulness_b", ["flag"])
 
 
 @query("sta09_holm", """WITH t AS (SELECT n_nationkey AS k, n_regionkey AS fam, CASE WHEN n_nationkey % 6 = 0 THEN NULL ELSE (n_nationkey * 37 % 100) / 1000.0::DOUBLE END AS p FROM nation),

@@ -41,15 +41,6 @@ def test_holm(spark):
     assert [r["p_holm"] and round(r["p_holm"], 9) for r in rows] == [0.03, 0.06, 0.06, 0.02, None]
 
 
-def test_sign_flip_and_bootstrap():
-    assert S.sign_flip(np.array([1.0, 2, 3, 4, 5]), 1) == 2 / 32
-    assert S.sign_flip(np.array([0.0, 0]), 1) == 1
-    assert S.bootstrap_interval(np.array([2.0, 2, 2]), 1) == (2, 2)
-    low, high = S.bootstrap_interval(np.arange(100.0), 7)
-    assert low < 49.5 < high and (low, high) == S.bootstrap_interval(np.arange(100.0), 7)
-    assert 0 < S.sign_flip(np.linspace(-1, 2, 40), 3) < 0.1
-
-
 def test_percentile(spark):
     df = spark.createDataFrame([(x,) for x in (100, 200, 300, 400)], "x int")
     assert tuple(df.agg(F.percentile("x", 0.5), F.percentile("x", 0.95)).first()) == (250, 385)

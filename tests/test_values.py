@@ -201,36 +201,3 @@ def test_seed_samples(spark):
         a, b = (chunks[k] for k in r["chunk_ids"])
         assert a["supplement"] and b["supplement"] and a["jurisdiction"] < b["jurisdiction"] and a["department"] == b["department"]
     assert [r["hint"] for r in by["unanswerable"]][:2] == [r["hint"] for r in by["unanswerable"]][3:5] and {r["hint"] for r in by["out_of_scope"]} == set(P.THEMES)
-
-
-def test_bootstraps(spark):
-    """Intervals and p of each group by the same seeds over values in key order."""
-    import numpy as np
-
-    from evalloom.operators import statistics as S
-    from evalloom.sources.standins import duck
-
-    scores = duckdb.connect()
-    scores.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{SF}/lineitem.parquet'")
-    values = defaultdict(list)
-    for run, kind, x in scores.execute(duck("run_scores") + " SELECT run, type, faithfulness FROM run_scores ORDER BY case_key").fetchall():
-        values[run, kind].append(x)
-    for r in QUERIES["sta04_bootstrap"](spark, SF).collect():
-        v = np.array(values[r["run"], r["type"]])
-        rng = np.random.default_rng(int.from_bytes(hashlib.sha256("\x1f".join(("boot", r["run"], r["type"])).encode()).digest()[:8], "big"))
-        means = [v[rng.integers(0, len(v), (200, len(v)))].mean(axis=1) for _ in range(10)]
-        assert r["n"] == len(v) and [r["mean"], r["low"], r["high"]] == pytest.approx([v.mean(), *np.percentile(np.concatenate(means), [2.5, 97.5])])
-    got = QUERIES["sta05_paired_continuous"](spark, SF).collect()
-    pairs = duckdb.connect()
-    pairs.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{SF}/lineitem.parquet'")
-    rows_ = pairs.execute(duck("run_scores") + " SELECT a.flag, b.faithfulness - a.faithfulness FROM run_scores a JOIN run_scores b USING (case_key) WHERE a.run = 'A' AND b.run = 'B' AND a.status = 'done' AND b.status = 'done'").fetchall()
-    by = defaultdict(list)
-    for flag, x in rows_:
-        by[flag].append(x)
-    assert {r["flag"]: r["n"] for r in got} == {k: len(v) for k, v in by.items()}
-    assert all(r["delta"] == pytest.approx(np.mean(by[r["flag"]])) and r["low"] <= r["delta"] <= r["high"] and 0 < r["p"] <= 1 for r in got)
-    # exact sign flips, by every sign
-    d = np.array([0.5, -0.2, 0.3, 0.0, 0.9, 0.1])
-    live = d[d != 0]
-    sums = [abs(sum(s * x for s, x in zip(np.array([1 if k >> i & 1 else -1 for i in range(len(live))]), live, strict=True))) for k in range(1 << len(live))]
-    assert S.sign_flip(d, 1) == pytest.approx(np.mean([s >= abs(live.sum()) - 1e-9 for s in sums]))
