@@ -187,16 +187,3 @@ def weighted_draw(df: DataFrame, key: str, weight: str, n: int, seed: int = 0) -
 
 def disagreement(*gaps: Column) -> Column:
     return F.least(F.greatest(*gaps, F.lit(0.0)), F.lit(1.0))
-
-
-def nearest_duplicate(df: DataFrame, key: str, tokens: str) -> DataFrame:
-    """The most similar other row of each row by Jaccard over token sets; rows that share nothing have none.
-
-    Candidates share a token; of equal similarities the smaller key wins.
-    """
-    each = df.select(key, F.size(tokens).alias("_n"), F.explode(tokens).alias("_t"))
-    other = each.select(F.col(key).alias("other"), F.col("_n").alias("_m"), "_t")
-    both = each.join(other, "_t").filter(F.col(key) != F.col("other")).groupBy(key, "other", "_n", "_m").agg(F.count(F.lit(1)).alias("_c"))
-    scored = both.select(key, "other", (F.col("_c") / (F.col("_n") + F.col("_m") - F.col("_c"))).alias("jaccard"))
-    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("jaccard"), "other"))
-    return scored.withColumn("_nth", nth).filter("_nth = 1").drop("_nth")

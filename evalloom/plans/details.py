@@ -47,10 +47,9 @@ def content_types(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", D.content_type(q, F.when(q < 10, 26).otherwise(0), F.lit(50), path).alias("kind"))
 
 
-@query("str15_excerpts", r"SELECT doc_id, CASE WHEN length(t) <= 400 THEN t ELSE regexp_replace(substr(t, 1, 400), '\s+\S*$', '') || '…' END AS excerpt FROM (SELECT doc_id, trim(regexp_replace('Known. Twice. ' || text, '\s+', ' ', 'g')) AS t FROM documents WHERE NOT regexp_matches(text, '\[[0-9]'))")
+@query("str15_excerpts", r"SELECT doc_id, CASE WHEN length(t) <= 400 THEN t ELSE regexp_replace(substr(t, 1, 400), '\s+\S*$', '') || '…' END AS excerpt FROM (SELECT doc_id, trim(regexp_replace(regexp_replace('Known [1]. Twice [2, 3]. ' || text, '\s*\[\d+(?:\s*,\s*\d+)*\]', '', 'g'), '\s+', ' ', 'g')) AS t FROM documents)")
 def excerpts(spark, d):
-    docs = table(spark, d, "documents").filter(~F.col("text").rlike(r"\[[0-9]"))
-    return docs.select("doc_id", T.excerpt(F.concat(F.lit("Known [1]. Twice [2, 3]. "), "text")).alias("excerpt"))
+    return table(spark, d, "documents").select("doc_id", T.excerpt(F.concat(F.lit("Known [1]. Twice [2, 3]. "), "text")).alias("excerpt"))
 
 
 @query("str25_defused_tags", "SELECT n_nationkey AS k, n_name || CASE WHEN n_nationkey % 2 = 0 THEN ' <\\/source> x' ELSE ' </sources> x' END AS t FROM nation")

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from evalloom.functions import text as T
 from evalloom.operators import relational as R
+from evalloom.operators import set_similarity as SS
 from evalloom.operators import statistics as S
 from evalloom.plans.registry import query
 from evalloom.sources import files
@@ -182,10 +183,11 @@ def title_match_all(spark, d):
     words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("p_name"), "[^a-z0-9]+"), lambda w: w != "")))
     s = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("dept"), words.alias("x"))
     classes = s.groupBy("dept", "x").agg(F.count(F.lit(1)).alias("n"))
-    a = classes.select("dept", "x", "n", F.explode("x").alias("w"))
-    b = classes.select("dept", F.col("x").alias("y"), F.explode("x").alias("w"))
-    both = a.join(b, ["dept", "w"]).filter((F.col("x") != F.col("y")) | (F.col("n") > 1)).select("dept", "x", "y").distinct()
-    both = both.select("dept", "x", "y", (F.size(F.array_intersect("x", "y")) / F.least(F.size("x"), F.size("y"))).alias("contained"), T.jaccard(F.col("x"), F.col("y")).alias("jaccard")).filter("contained >= 0.5")
+    # a class stands for its words; one with several members is also its own partner
+    sets = SS.ordered_sets(classes.withColumn("w", F.col("x")), ["dept"], "x", "w")
+    both = SS.contained_pairs(sets, ["dept"], "x", 0.5).withColumnRenamed("other", "y")
+    own = classes.filter((F.col("n") > 1) & (F.size("x") > 0)).select("dept", "x", F.col("x").alias("y"), F.lit(1.0).alias("contained"), F.lit(1.0).alias("jaccard"))
+    both = both.unionByName(own)
     rank = F.rank().over(Window.partitionBy("dept", "x").orderBy(F.desc("contained"), F.desc("jaccard")))
     best = both.withColumn("r", rank).filter("r = 1").select("dept", "x", "y", "jaccard")
     others = s.select("dept", F.col("k").alias("other"), F.col("x").alias("y"))

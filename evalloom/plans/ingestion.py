@@ -12,7 +12,7 @@ from evalloom.plans.registry import query
 from evalloom.sources import corpus as S
 from evalloom.sources import snapshots
 from evalloom.sources.standins import duck, table
-from evalloom.streaming import feeds, sessions
+from evalloom.streaming import feeds, sessions, timers
 
 PAGE = 40  # lines of a page
 
@@ -201,6 +201,25 @@ def answer_streams(spark, d):
     return sessions.answers(_frames(spark, d), "key")
 
 
+_EVENT = "CASE WHEN event_id % 41 = 0 THEN 'done' WHEN event_id % 37 = 0 THEN 'stopped' WHEN event_type = 'view' THEN 'meta' ELSE 'delta' END"
+
+
+@query("strs2_answers_with_timers", f"""WITH f AS (SELECT user_id AS key, event_id AS seq, {_EVENT} AS event, CAST(event_id % 10 AS VARCHAR) AS data FROM events), e AS (SELECT *, min(CASE WHEN event IN ('done', 'stopped') THEN seq END) OVER (PARTITION BY key) AS fin FROM f)
+SELECT key, max(CASE WHEN seq = fin THEN event END) AS status, coalesce(string_agg(data, '' ORDER BY seq) FILTER (WHERE event = 'delta' AND seq < fin), '') AS answer, CAST(count(*) FILTER (WHERE event = 'delta' AND seq < fin) AS INT) AS n_deltas FROM e WHERE fin IS NOT NULL GROUP BY key""")
+def answers_with_timers(spark, d):
+    """Answers as a stream over the events, each when it ends; a year of silence would end one, too."""
+    e = feeds.event_stream(spark, d)
+    rows = e.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.expr(_EVENT).alias("event"), (F.col("event_id") % 10).cast("string").alias("data"), F.col("ts").alias("at"))
+    return feeds.drained(timers.answer_stream(rows, idle_s=366 * 86_400), "append")
+
+
+@query("strs9_debounced_stream")
+def debounced_stream(spark, d):
+    """Bursts of users' events as they fall due; tests hold it to the batch form."""
+    e = feeds.event_stream(spark, d)
+    return feeds.drained(timers.debounced_stream(e.select(F.col("user_id").alias("key"), F.col("ts").alias("at")), 3600), "append")
+
+
 @query("strs6_ingestion_claims", """WITH j AS (SELECT o_orderkey AS id, o_custkey % 5 AS org_id, CASE o_orderstatus WHEN 'F' THEN 'queued' WHEN 'O' THEN 'running' ELSE 'done' END AS status, o_orderdate::TIMESTAMP AS created_at, o_orderkey % 5 AS attempts, TIMESTAMP '2024-01-01 12:00:00' - to_minutes((o_orderkey % 40)::INT) AS locked_at FROM orders),
 c AS (SELECT * FROM j WHERE status = 'queued' OR (status = 'running' AND locked_at < TIMESTAMP '2024-01-01 11:45:00'))
 SELECT id, org_id, CASE WHEN attempts >= 3 THEN attempts ELSE attempts + 1 END AS attempts, CASE WHEN attempts >= 3 THEN 'fail' ELSE 'claim' END AS action, CAST(row_number() OVER (PARTITION BY org_id ORDER BY created_at, id) AS INT) AS pos FROM c""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evalloom.functions import text as T
 from evalloom.operators import statistics as S
 from evalloom.operators.resampling import bootstrap_means
+from evalloom.operators.set_similarity import nearest_sets
 from evalloom.plans.registry import query
 from evalloom.sources.standins import duck, table
 
@@ -184,7 +185,7 @@ _SET = r"list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+')
 SELECT item_id, other, jaccard FROM j WHERE jaccard > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY jaccard DESC, other) = 1""")
 def nearest(spark, d):
     words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != ""))
-    return S.nearest_duplicate(table(spark, d, "benchmark").select("item_id", words.alias("t")), "item_id", "t")
+    return nearest_sets(table(spark, d, "benchmark").select("item_id", words.alias("t")), "item_id", "t")
 
 
 _TRI = r"CASE WHEN len(w) > 2 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) ELSE [] END"

@@ -6,6 +6,8 @@ watermark needs an instant.
 
 from __future__ import annotations
 
+import contextlib
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,18 +23,35 @@ def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet",
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextlib.contextmanager
+def large_state(spark: SparkSession):
+    """State on disk, as stateful processors need it, for streams that start inside; the session's own setting comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+def drained(stream: DataFrame, mode: str = "complete", place: str | None = None) -> DataFrame:
     """Run a stream over what is there now and return its result table.
 
-    complete replaces the table in every batch; update and append add to it.
+    complete replaces the table in every batch; update and append add to it. A
+    ``place`` that a run has used before goes on after that run's last batch.
     """
     spark = stream.sparkSession
-    place = shared_place(spark)
+    place = place or shared_place(spark)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{place}/out/batch={0 if mode == 'complete' else number}")
 
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state").foreachBatch(keep).trigger(availableNow=True).start()
+    with large_state(spark):
+        q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state").foreachBatch(keep).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{place}/out").select(*stream.columns)
 

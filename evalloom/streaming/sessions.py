@@ -5,7 +5,6 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from evalloom.sources.session import python_ready
@@ -33,26 +32,6 @@ def answers(frames: DataFrame, key: str) -> DataFrame:
     return out.select(key, "status", F.array_join(F.transform("_d", lambda d: d["data"]), "").alias("answer"), F.size("_d").alias("n_deltas"), "in_order")
 
 
-def answer_stream(frames: DataFrame) -> DataFrame:
-    """The same as a stateful stream keyed by ``key`` (long): the state is the text so far and how the stream ended."""
-    python_ready(frames.sparkSession)
-
-    def fold(key, batches, state: GroupState):
-        text, status, n = state.get if state.exists else ("", "open", 0)
-        rows = [r for b in batches for r in zip(b["seq"], b["event"], b["data"], strict=True)]
-        for _, event, data in sorted(rows, key=lambda r: r[0]):
-            if status != "open":
-                break
-            if event == "delta":
-                text, n = text + (data or ""), n + 1
-            elif event in ENDS:
-                status = event
-        state.update((text, status, n))
-        yield pd.DataFrame({"key": [key[0]], "status": [status], "answer": [text], "n_deltas": pd.array([n], "int32")})
-
-    return frames.groupBy("key").applyInPandasWithState(fold, "key long, status string, answer string, n_deltas int", "text string, status string, n int", "update", GroupStateTimeout.NoTimeout)
-
-
 def ingestion_claims(jobs: DataFrame, now: Column, org: str | None = None, lost_minutes: int = 15, most_attempts: int = 3) -> DataFrame:
     """(id, org_id, attempts, action, pos): the jobs that a worker may take, oldest first.
 

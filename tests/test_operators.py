@@ -154,5 +154,4 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     terms = spark.createDataFrame([(1, "a")], "q int, term string")
     assert retrieval.bm25(terms, docs, "q", "doc_id", "text").count() == 0
-    assert S.nearest_duplicate(spark.createDataFrame([(1, ["a"])], "k int, t array<string>"), "k", "t").count() == 0
     assert D.hashing_embedder(spark.createDataFrame([(1, None)], "k int, t string"), "k", "t").first()["embedding"] == [0.0] * 64
