@@ -10,6 +10,8 @@ at least ``min_share`` must agree.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,12 @@ def tokens(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def short_masks(n: int, min_share: float = MIN_SHARE) -> tuple[str, ...]:
+    """Masks for an item of ``n`` tokens that find it with any of the substitutions that ``min_share`` allows: all places of so many zeros."""
+    changed = n - -(-n * round(min_share * 1000) // 1000)
+    return tuple("".join("0" if i in zeros else "1" for i in range(n)) for zeros in combinations(range(n), changed))
+
+
 def _seed_rows(df: DataFrame, keep: list[str], masks: tuple[str, ...]) -> DataFrame:
     """One row for each mask and position: the columns ``keep``, pos and seed; ``df`` has the token hashes in ``_t``."""
     def of(mask: str, spots: list[int]):
@@ -46,8 +54,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
     apart), item_id, at (token position in the document where the item would
     begin, may be negative), n_compared (tokens of the window) and n_equal (the
     most equal tokens of any window). Items shorter than the longest mask are
-    searched by the hash of all their tokens, so they are found where they stand
-    whole. Null texts and items without tokens have no overlap; equal items are
+    searched by masks of their own length, which find them with any substitutions
+    that the share allows (one of 5 to 7 tokens; fewer tokens stand whole), as
+    long as all their places lie within the text. Null texts and items without tokens have no overlap; equal items are
     searched once and all reported; a repeated row is reported once.
     """
     longest = max(map(len, masks))
@@ -58,7 +67,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
     items = items.withColumn("_item", F.get("item_ids", F.lit(0))).filter(F.size("_t") > 0)
     seeds = _seed_rows(items.filter(F.size("_t") >= longest), ["_item"], masks)
     # at most as many lengths as the longest mask has places; none if no item is so short
-    short = tuple("1" * r["n"] for r in items.filter(F.size("_t") < longest).select(F.size("_t").alias("n")).distinct().orderBy("n").collect())
+    short = tuple(m for r in items.filter(F.size("_t") < longest).select(F.size("_t").alias("n")).distinct().orderBy("n").collect() for m in short_masks(r["n"], min_share))
     for mask in short:
         seeds = seeds.unionByName(_seed_rows(items.filter(F.size("_t") == len(mask)), ["_item"], (mask,)))
     seeds = seeds.withColumnRenamed("pos", "_ipos").distinct()

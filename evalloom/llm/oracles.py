@@ -88,8 +88,8 @@ def op1(masks=decontamination.MASKS, window=decontamination.WINDOW) -> str:
         f"FROM (SELECT *, unnest(range(1, len(t) - {len(mask)} + 2)) AS i FROM $from WHERE len(t) >= $least)"
         for k, mask in enumerate(masks)
     )
-    # items shorter than the longest mask: all their tokens are one seed
-    seeds += f" UNION ALL SELECT $id, $key, i, -n AS mask, list_aggregate(t[i:i + n - 1], 'string_agg', chr(1)) AS seed FROM (SELECT *, unnest(range(1, len(t) - n + 2)) AS i FROM $from, (SELECT DISTINCT len(t) AS n FROM items WHERE len(t) < {longest} AND len(t) > 0) WHERE len(t) >= n AND $short)"
+    # items shorter than the longest mask: all their tokens, from five on all but one, are a seed
+    seeds += f" UNION ALL SELECT $id, $key, i, -(10 * n + z) AS mask, list_aggregate(list_transform(t[i:i + n - 1], lambda w, k: CASE WHEN k = z THEN '' ELSE w END), 'string_agg', chr(1)) AS seed FROM (SELECT *, unnest(range(1, len(t) - n + 2)) AS i FROM $from, (SELECT n, unnest(CASE WHEN n >= 5 THEN range(1, n + 1) ELSE [0] END) AS z FROM (SELECT DISTINCT len(t) AS n FROM items WHERE len(t) < {longest} AND len(t) > 0)) WHERE len(t) >= n AND $short)"
     of = lambda table, ident, key: seeds.replace("$least", "1" if table == "docs" else str(longest)).replace("$short", "true" if table == "docs" else "len(t) = n").replace("$id", ident).replace("$key", key).replace("$from", table)
     return f"""
     WITH items AS (SELECT item_id, list_filter({tokens}, lambda w: w <> '') AS t FROM benchmark WHERE item_id IS NOT NULL),

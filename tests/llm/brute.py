@@ -84,12 +84,12 @@ def tokens(text):
 
 
 def leaks(text, items, window=20):
-    """Item ids that overlap at any alignment with a shared seed; short items that stand whole."""
+    """Item ids that overlap at any alignment with a shared seed; short items at any place that holds four fifths of them."""
     masks, out, t = ("1110101", "1101011", "10110011"), set(), tokens(text)
     for k, item in items:
         w = [x for x in tokens(item) if x]
         if len(w) < 8:
-            if w and any(t[i : i + len(w)] == w for i in range(len(t) - len(w) + 1)):
+            if w and any(10 * sum(x == y for x, y in zip(t[i : i + len(w)], w, strict=True)) >= 8 * len(w) for i in range(len(t) - len(w) + 1)):
                 out.add(k)
             continue
         for at in range(-len(w) + 1, len(t)):

@@ -82,6 +82,24 @@ def test_short_items_are_found_whole(spark, empty):
     assert decontamination.overlaps(empty, items).count() == 0
 
 
+@pytest.mark.parametrize("n", range(1, 8))
+def test_short_items_are_found_with_substitutions(spark, n):
+    """Every place of every number of substituted tokens: found exactly where four fifths are left."""
+    from itertools import combinations
+
+    words = [f"word{i}" for i in range(n)]
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    texts, want = [], set()
+    for changed in range(n + 1):
+        for bad in combinations(range(n), changed):
+            if 10 * (n - changed) >= 8 * n:
+                want.add((len(texts), n - changed))
+            texts.append("before them " + " ".join("other" if i in bad else w for i, w in enumerate(words)) + " after")
+    docs = table(spark, list(enumerate(texts)))
+    got = {(r["doc_id"], r["n_equal"]) for r in decontamination.overlaps(docs, items).collect()}
+    assert got == want and len(want) == (n + 1 if n >= 5 else 1)
+
+
 @pytest.mark.parametrize("n, changed, least", [(20, 4, 1.0), (20, 3, 1.0), (15, 3, 0.99), (12, 2, 1.0), (10, 2, 0.95), (8, 1, 0.99)])
 def test_seeds_survive_substitutions(n, changed, least):
     """The share of all placements of so many substituted tokens that leave some mask whole: what the seeds can find at all."""
