@@ -98,9 +98,11 @@ def case_pass(spark, d):
     return E.case_pass_rows(table(spark, d, "run_scores").withColumn("passed", F.col("hit") >= 0.5), "run")
 
 
-@query("mth06_cost_estimate", "SELECT 100 AS cases, 0.72::DOUBLE AS usd")
+@query("mth06_cost_estimate", "SELECT conv_id, count(*) AS turns, round(count(*) * 0.0012 + count(*) * count(*) FILTER (WHERE role = 'assistant') * 0.003, 6)::DOUBLE AS usd FROM conversations GROUP BY 1")
 def estimate(spark, d):
-    return spark.createDataFrame([(100, E.run_cost_estimate(100, 2.0))], "cases int, usd double")
+    """Each conversation as a run: its turns are the cases, its answers the checks of each."""
+    turns, answers = F.count(F.lit(1)), F.count_if(F.col("role") == "assistant")
+    return table(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("turns"), E.cost_of(turns, answers).alias("usd"))
 
 
 @query("agg16_request_detail", duck("usage") + " SELECT request_id, count(*) AS calls, CAST(sum(cost_usd) AS DOUBLE) AS cost, max(latency_ms) AS slowest FROM usage GROUP BY 1")

@@ -209,10 +209,12 @@ def modes_all(spark, d):
     return modes(spark, d)
 
 
-@query("ret10_source_limits", "SELECT * FROM (VALUES (1, 8, 6000), (2, 8, 6000), (6, 12, 9000), (10, 16, 12000)) t(parts, top_k, budget)")
+@query("ret10_source_limits", "WITH p AS (SELECT conv_id, count(*) FILTER (WHERE role = 'user') AS parts FROM conversations GROUP BY 1) SELECT conv_id, parts, CASE WHEN parts <= 1 THEN 8 ELSE least(greatest(8, 2 * parts), 16) END::INT AS top_k, CASE WHEN parts <= 1 THEN 6000 ELSE least(greatest(6000, 1500 * parts), 12000) END::INT AS budget FROM p")
 def limits(spark, d):
-    rows = [(p, *R.source_limits(p)) for p in (1, 2, 6, 10)]
-    return spark.createDataFrame(rows, "parts int, top_k int, budget int")
+    """A conversation's questions as the parts of one."""
+    parts = table(spark, d, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("parts"))
+    k, b = R.limits_of(F.col("parts"))
+    return parts.select("conv_id", "parts", k.cast("int").alias("top_k"), b.cast("int").alias("budget"))
 
 
 @query("ret08_select_sources")

@@ -63,12 +63,13 @@ def mcnemar_p(spark, d):
     return S.paired_binary(_pairs(spark, d), "hit_a", "hit_b", ["flag"]).select("flag", "n", "a_only", "b_only", "p")
 
 
-@query("sta07_mcnemar_exact", """WITH t AS (SELECT * FROM (VALUES (2, 10), (1, 8), (0, 6), (5, 5), (0, 0), (3, 1)) v(a, b)),
-e AS (SELECT a, b, unnest(range(0, least(a, b) + 1)) AS i FROM t)
-SELECT a, b, CASE WHEN a + b = 0 THEN 1.0 ELSE least(1.0, 2 * sum(factorial(a + b) / (factorial(i::INT) * factorial((a + b - i)::INT)) / pow(2, a + b))) END AS p FROM e GROUP BY a, b""")
+@query("sta07_mcnemar_exact", """WITH t AS (SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F' AND o_orderkey % 2 = 0) AS a, count(*) FILTER (WHERE o_orderstatus = 'O') AS b FROM orders GROUP BY 1), e AS (SELECT *, unnest(range(0, least(a, b) + 1)) AS i FROM t)
+SELECT o_custkey, a, b, round(CASE WHEN a + b = 0 THEN 1.0 ELSE least(1.0, 2 * sum(exp(lgamma(a + b + 1) - lgamma(i + 1) - lgamma(a + b - i + 1) - (a + b) * ln(2)))) END, 9) AS p FROM e GROUP BY o_custkey, a, b""")
 def mcnemar_exact(spark, d):
-    t = spark.createDataFrame([(2, 10), (1, 8), (0, 6), (5, 5), (0, 0), (3, 1)], "a int, b int")
-    return t.select("a", "b", S.mcnemar(F.col("a"), F.col("b")).alias("p"))
+    """Orders of one status against another's, for each customer."""
+    a, b = F.count_if((F.col("o_orderstatus") == "F") & (F.col("o_orderkey") % 2 == 0)), F.count_if(F.col("o_orderstatus") == "O")
+    t = table(spark, d, "orders").groupBy("o_custkey").agg(a.alias("a"), b.alias("b"))
+    return t.select("o_custkey", "a", "b", F.round(S.mcnemar(F.col("a"), F.col("b")), 9).alias("p"))
 
 
 @query("sta08_agresti_min", _PAIRS + """, c AS (SELECT flag, count(*) + 2 AS n, (count(*) FILTER (WHERE hit_a >= 0.5 AND hit_b < 0.5) + 0.5::DOUBLE) AS a, (count(*) FILTER (WHERE hit_b >= 0.5 AND hit_a < 0.5) + 0.5::DOUBLE) AS b FROM pairs GROUP BY flag)

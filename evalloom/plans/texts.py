@@ -112,10 +112,13 @@ def country(spark, d):
     return table(spark, d, "documents").select("doc_id", T.names_country(F.col("text"), "Than").alias("named"))
 
 
-@query("arr01_common_prefix", "SELECT k, array_to_string(p, '/') AS p FROM (VALUES (1, ['a', 'b']), (2, ['a']), (3, []::VARCHAR[])) t(k, p)")
+@query("arr01_common_prefix", """WITH w AS (SELECT p_brand, string_split(p_type || '/' || replace(p_name, ' ', '/'), '/') AS w FROM part), n AS (SELECT p_brand, unnest(range(1, min(len(w)) + 1)) AS i FROM w GROUP BY 1),
+s AS (SELECT p_brand, i, count(DISTINCT array_to_string(w[1:i], '/')) AS d, min(array_to_string(w[1:i], '/')) AS p FROM n JOIN w USING (p_brand) GROUP BY 1, 2) SELECT p_brand, coalesce(arg_max(p, i) FILTER (WHERE d = 1), '') AS p FROM s GROUP BY 1""")
 def prefix(spark, d):
-    rows = [(1, [["a", "b", "c"], ["a", "b", "d"], ["a", "b"]]), (2, [["a", "b"], ["a", "c", "b"]]), (3, [["x"], ["y"]])]
-    return spark.createDataFrame(rows, "k int, paths array<array<string>>").select("k", F.array_join(T.common_prefix(F.col("paths")), "/").alias("p"))
+    """What the paths of all parts of a brand begin with."""
+    path = F.split(F.concat_ws("/", "p_type", F.replace("p_name", F.lit(" "), F.lit("/"))), "/")
+    rows = table(spark, d, "part").groupBy("p_brand").agg(F.collect_set(path).alias("paths"))  # the kinds and names of a brand are few
+    return rows.select("p_brand", F.array_join(T.common_prefix(F.col("paths")), "/").alias("p"))
 
 
 _BOOK = [("model-0", "standard", 2.5, 0.25, 10.0), ("model-0", "flex", 1.25, 0.125, 5.0), ("model-1", "standard", 0.4, 0.1, 1.6)]

@@ -36,10 +36,21 @@ def test_layout(spark):
     assert L.lines(spark.createDataFrame([], SCHEMA), "doc").count() == 0
 
 
-def test_joined():
-    assert L.joined("well-", "known fact", set()) == "well-known fact"
-    assert L.joined("em-", "ployee here", {"employee"}) == "employee here"
-    assert L.joined("one", "two", set()) == "one two" and L.joined("-", "x", set()) == "- x"
+def test_joined(spark):
+    """Wrapped lines, hyphens that stay and that go, items, hanging lines, and a heading over pages."""
+    def block(*texts, page=1, x0=0.0, level=None, start=0):
+        return [(page, start + i, t, 12.0 * (start + i), 12.0 * (start + i) + 10, x0, x0 + 400.0, 10.0, False, 10.0, 400.0, level) for i, t in enumerate(texts)]
+
+    def text(rows):
+        df = spark.createDataFrame([(1, *r) for r in rows], "k int, page int, line int, text string, top double, bottom double, x0 double, x1 double, size double, bold boolean, body double, right_edge double, level int")
+        return [r["text"] for r in L.blocks(df, "k").orderBy("pos").collect()]
+
+    assert text(block("a well-", "known fact")) == ["a well-known fact"] and text(block("an em-", "ployee here", "and Employee there")) == ["an employee here and Employee there"]
+    assert text(block("one", "two")) == ["one two"] and text(block("a -", "x")) == ["a - x"] and text(block("em-", "Ployee employee")) == ["em-Ployee employee"]
+    assert text(block("• one") + block("goes on", x0=9.0, start=1) + block("• two", start=2) + block("text", start=3)) == ["• one goes on\n• two", "text"]
+    turn = lambda second, level: text(block("Part on Work and", level=1, page=1) + block(second, level=level, page=2) + block("Body", page=2, start=1))
+    assert turn("On-Call", 1) == ["Part on Work and On-Call", "Body"] and turn("2. Pay", 1) == ["Part on Work and", "2. Pay", "Body"] and turn("On-Call", 2) == ["Part on Work and", "On-Call", "Body"]
+    assert text(block("A title", level=2, page=1) + block("over three", level=2, page=2) + block("pages", level=2, page=3)) == ["A title over three pages"]
 
 
 def test_contents_and_outline(spark):
