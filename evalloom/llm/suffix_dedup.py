@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from evalloom.llm.common import checkpointed, python_ready, shuffle_partitions
 
@@ -374,7 +375,7 @@ def _apply(kind):
 
 
 def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(_row, spans) of the texts that have repeated bytes: [lo, hi) of covered bytes, unordered and overlapping.
+    """(_row, spans) of the texts that have repeated bytes: [lo, hi) of covered bytes, unordered and apart.
 
     ``_row`` is the hash of id and text. A repeated row repeats its whole text.
     ``length`` must be at least the 287 bytes that an anchor needs and at most 511 + 256.
@@ -416,7 +417,12 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     twice = border.groupBy("window").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("window")
     marked = hits.filter("window = -1").select("row", "at").unionByName(border.join(twice, "window", "left_semi").select("row", "at"))
     partly = marked.select(F.col("row").alias("_row"), F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
-    return whole.unionByName(partly).groupBy("_row").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    # spans that touch are one before they are collected: a text of one letter has a window at every byte
+    order = Window.partitionBy("_row").orderBy("lo", "hi")
+    reached = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = whole.unionByName(partly).withColumn("_new", (reached.isNull() | (F.col("lo") > reached)).cast("int"))
+    runs = apart.withColumn("_run", F.sum("_new").over(order)).groupBy("_row", "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return runs.groupBy("_row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
