@@ -16,6 +16,9 @@ similarity of the full sets verifies them, and components follow.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ from evalloom.llm.components import components
 K = 64
 #: Retained values by which classes of one list that nothing has joined yet are compared; sets up to this size are compared whole.
 WIDE = 256
-#: Classes of a residual list that one task compares with the list's others.
+#: Classes of a residual list that are compared with as many others of the list at once.
 BLOCK_CLASSES = 256
 #: Keys of documents to verify that are broadcast at most (16 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 4_000_000
@@ -142,6 +145,35 @@ def full_sets(docs: DataFrame, keys: DataFrame, words: int, most: int | None = N
     return rows.mapInArrow(run, "node long, digest binary, n long, shingles array<long>")
 
 
+def marks(docs: DataFrame, keys: DataFrame, words: int) -> DataFrame:
+    """node, marks and twice of the documents that ``keys`` names: what classes of one list are compared by.
+
+    Marks are the upper 32 of the 63 bits of the ``WIDE`` smallest shingles, in
+    their order and half their size. Unequal shingles may have one mark, so
+    marks in common are at least the shingles in common but for repeated marks,
+    of which ``twice`` tells the number.
+    """
+    cut = full_sets(docs, keys, words, WIDE).dropDuplicates(["node"])
+    # all but the sign bit of an int, and then the sign
+    mark = F.transform("shingles", lambda x: (F.shiftright(x, 31) - F.lit(1 << 31)).cast("int"))
+    # written, so that the two sides of a join read the same rows
+    return checkpointed(cut.select("node", mark.alias("marks")).withColumn("twice", F.size("marks") - F.size(F.array_distinct("marks"))))
+
+
+def met_in_cells(side: DataFrame, on: Callable[[Callable[[str], Column], Callable[[str], Column]], Column]) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes of one list for which ``on`` holds of the two rows of ``side`` (value, blocks, node, ...).
+
+    A list is dealt in blocks, and each two of them meet in a cell of their own.
+    Both sides of the join read the same rows, so one shuffle serves both.
+    """
+    own = F.pmod(F.xxhash64("node"), "blocks").cast("int")
+    cells = side.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select(F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), *[c for c in cells.columns if c not in ("other", "blocks")])
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    here = [a(c) == b(c) for c in ("value", "lo", "hi")] + [a("node") < b("node"), (a("lo") == a("hi")) | (a("own") != b("own")), on(a, b)]
+    return cells.alias("a").join(cells.alias("b"), reduce(and_, here)).select(a("node").alias("a"), b("node").alias("b"))
+
+
 def required(size: Column, threshold: float, k: int) -> Column:
     """Retained values that a class of so many has to share with a partner.
 
@@ -206,21 +238,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, k:
         else:
             rare = prefixes.select(F.col("node").alias("_p"), "rare")
             keys = classes.join(open_lists.select("node").distinct(), "node").select(F.col("rep.doc_id").alias("_id"), F.col("rep._row").alias("_key"), "node", "digest")
-            wide = full_sets(docs, checkpointed(keys), words, WIDE).dropDuplicates(["node"]).select(F.col("node").alias("_x"), F.col("shingles").alias("wide"))
-            side = open_lists.join(rare, F.col("node") == F.col("_p")).join(wide, F.col("node") == F.col("_x"))
-            fields = ("root", "node", "n", "rare", "wide")
-            left = side.select("value", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), *[F.col(c).alias(f"{c}_a") for c in fields])
-            right = side.select(F.col("value").alias("_v"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_b"), *[F.col(c).alias(f"{c}_b") for c in fields])
-            # a pair is met once, in the list of the first value that both prefixes have
-            once = F.get(F.array_intersect("rare_a", "rare_b"), F.lit(0)) == F.col("value")
-            # the smallest of the wider sketch are the sketch
-            few = F.size(F.array_intersect(F.slice("wide_a", 1, k), F.slice("wide_b", 1, k))) >= required(F.least("n_a", "n_b", F.lit(k)), threshold, k)
-            same = F.size(F.array_intersect("wide_a", "wide_b"))
-            # sets that are known whole are measured exactly, others by their wider sketches
-            whole = (F.col("n_a") <= WIDE) & (F.col("n_b") <= WIDE)
-            likely = F.when(whole, 100 * same >= share * (F.col("n_a") + F.col("n_b") - same)).otherwise(same >= required(F.least("n_a", "n_b", F.lit(WIDE)), threshold, WIDE))
-            on = (F.col("value") == F.col("_v")) & (F.col("block") == F.col("_b")) & (F.col("root_a") != F.col("root_b")) & (F.col("node_a") < F.col("node_b")) & close("n_a", "n_b") & once & few & likely
-            pairs = left.join(right, on).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+            side = open_lists.select("value", "root", "node", "n", "blocks").join(rare, F.col("node") == F.col("_p")).drop("_p").join(marks(docs, checkpointed(keys), words), "node")
+
+            def alike(a, b):
+                # a pair is met once, in the list of the first value that both prefixes have
+                once = F.get(F.array_intersect(a("rare"), b("rare")), F.lit(0)) == a("value")
+                twice = F.least(a("twice"), b("twice"))
+                # the smallest of the wider sketch are the sketch
+                few = F.size(F.array_intersect(F.slice(a("marks"), 1, k), F.slice(b("marks"), 1, k))) + twice >= required(F.least(a("n"), b("n"), F.lit(k)), threshold, k)
+                same = F.size(F.array_intersect(a("marks"), b("marks"))) + twice
+                # sets that are known whole are measured as such, others by their wider sketches
+                whole = (a("n") <= WIDE) & (b("n") <= WIDE)
+                likely = F.when(whole, 100 * same >= share * (a("n") + b("n") - same)).otherwise(same >= required(F.least(a("n"), b("n"), F.lit(WIDE)), threshold, WIDE))
+                return (a("root") != b("root")) & (100 * a("n") >= share * b("n")) & (100 * b("n") >= share * a("n")) & once & few & likely
+
+            pairs = met_in_cells(side, alike)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         fresh = verified(docs, classes, checkpointed(pairs), words, share, threshold, k)
         # what is linked already comes in as the stars that it makes
