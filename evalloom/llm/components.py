@@ -14,12 +14,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Large-star and small-star steps in turn: every node's larger neighbours,
     then its smaller ones, are linked with the smallest node it knows. Both are
     an aggregate with map-side combination and a join, and the number of rounds
-    grows with the logarithm of a component; links that are stars already need
-    none. Null, repeated and self links are ignored.
+    grows with the logarithm of a component. Null, repeated and self links are ignored.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u is not null and v is not null and u <> v").distinct()
     edges = checkpointed(edges)
-    while not _stars(edges):
+    while True:
         # both directions by an explode: a union of a checkpoint with itself loses track of the checkpoint's constraints
         both = _each(edges, ("u", "v"), ("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -27,7 +26,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = _each(large.join(least, "u"), ("v", "m"), ("u", "m"))
         edges = checkpointed(small.filter("u <> v").distinct())
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        if _stars(edges):
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def _each(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:

@@ -9,7 +9,7 @@ few enough that the required number would not fit without them (a prefix by
 document frequency). Values that no other class has generate nothing, however
 common the rest. Within a list every class meets the list's most typical
 class; classes of lists that still fall apart meet each other in the join
-condition. The estimate from the joint sketch filters pairs, the exact Jaccard
+condition, which bounds what they share by parities of their values. The estimate from the joint sketch filters pairs, the exact Jaccard
 similarity of the full sets verifies them, and components follow.
 """
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from functools import reduce
-from operator import and_
+from operator import add, and_
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,8 @@ from evalloom.llm.components import components
 K = 64
 #: Retained values by which classes of one list that nothing has joined yet are compared; sets up to this size are compared whole.
 WIDE = 256
+#: Longs of parities by which the values that two classes share are bounded.
+PARITIES = 12
 #: Classes of a residual list that are compared with as many others of the list at once.
 BLOCK_CLASSES = 256
 #: Keys of documents to verify that are broadcast at most (16 bytes each); more are joined by a shuffle.
@@ -156,8 +158,35 @@ def marks(docs: DataFrame, keys: DataFrame, words: int) -> DataFrame:
     cut = full_sets(docs, keys, words, WIDE).dropDuplicates(["node"])
     # all but the sign bit of an int, and then the sign
     mark = F.transform("shingles", lambda x: (F.shiftright(x, 31) - F.lit(1 << 31)).cast("int"))
-    # written, so that the two sides of a join read the same rows
-    return checkpointed(cut.select("node", mark.alias("marks")).withColumn("twice", F.size("marks") - F.size(F.array_distinct("marks"))))
+    return cut.select("node", mark.alias("marks")).withColumn("twice", F.size("marks") - F.size(F.array_distinct("marks")))
+
+
+def parities(marked: DataFrame) -> DataFrame:
+    """node, twice, distinct (marks) and ``PARITIES`` longs p0, p1, ... of the rows of :func:`marks`.
+
+    Each distinct mark flips one bit. Marks of both of two classes leave no
+    difference, so no more bits differ than marks stand in one class only.
+    """
+    size = 64 * PARITIES
+
+    def run(batches):
+        for batch in batches:
+            lists, n = batch.column("marks"), batch.num_rows
+            row = np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False))
+            own = np.unique(row << 32 | lists.flatten().to_numpy().view(np.uint32).astype(np.int64))
+            row, mark = own >> 32, own & 0xFFFFFFFF
+            bits = (np.bincount(row * size + mark % size, minlength=n * size) & 1).astype(np.uint8)
+            longs = np.packbits(bits).view(np.int64).reshape(n, PARITIES).T
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("twice"), pa.array(np.bincount(row, minlength=n), pa.int32()), *map(pa.array, longs)], names=names)
+
+    names = ["node", "twice", "distinct", *[f"p{i}" for i in range(PARITIES)]]
+    return marked.mapInArrow(run, "node long, twice int, distinct int" + "".join(f", p{i} long" for i in range(PARITIES)))
+
+
+def most_shared(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """Shingles among the ``WIDE`` smallest that two rows of :func:`parities` can have in common at most."""
+    apart = reduce(add, [F.bit_count(a(f"p{i}").bitwiseXOR(b(f"p{i}"))) for i in range(PARITIES)])
+    return F.shiftright(a("distinct") + b("distinct") - apart, 1) + F.least(a("twice"), b("twice"))
 
 
 def met_in_cells(side: DataFrame, on: Callable[[Callable[[str], Column], Callable[[str], Column]], Column]) -> DataFrame:
@@ -170,6 +199,8 @@ def met_in_cells(side: DataFrame, on: Callable[[Callable[[str], Column], Callabl
     cells = side.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select(F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), *[c for c in cells.columns if c not in ("other", "blocks")])
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    # without nulls the condition's code is short enough for the JVM to compile, which leaves methods of over 8000 bytes to its interpreter
+    cells = cells.filter(reduce(and_, [F.col(c).isNotNull() for c in cells.columns]))
     here = [a(c) == b(c) for c in ("value", "lo", "hi")] + [a("node") < b("node"), (a("lo") == a("hi")) | (a("own") != b("own")), on(a, b)]
     return cells.alias("a").join(cells.alias("b"), reduce(and_, here)).select(a("node").alias("a"), b("node").alias("b"))
 
@@ -212,49 +243,43 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, k:
     weight = F.aggregate("all", F.lit(0).cast("long"), lambda s, x: s + x["df"])
     prefixes = shared.withColumn("_more", F.size("all") - need + 1).filter("_more > 0").select("node", "n", weight.alias("weight"), F.slice("all", F.lit(1), F.col("_more")).alias("rare"))
     prefixes = checkpointed(prefixes.withColumn("rare", F.col("rare.value")))
-    lists = prefixes.select("node", "n", "weight", F.explode("rare").alias("value"))
-
     close = lambda a, b: (100 * F.col(a) >= share * F.col(b)) & (100 * F.col(b) >= share * F.col(a))
+    lists = prefixes.select("node", "n", "weight", F.explode("rare").alias("value"))
     label = None
     for turn in range(3):
-        open_lists = lists
+        best = F.max(F.struct("weight", "node", "n", *["root"] * bool(turn))).alias("c")
         if turn:
             # only lists whose classes are in several components still matter; a long one is dealt in blocks
-            named = lists.join(label, lists["node"] == label["_node"], "left").select("node", "n", "weight", "value", F.coalesce("_root", "node").alias("root"))
-            several = named.groupBy("value").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES).cast("int").alias("blocks")).filter("_lo <> _hi").select("value", "blocks")
+            named = prefixes.join(label, prefixes["node"] == label["_node"], "left").select("node", "n", "weight", F.explode("rare").alias("value"), F.coalesce("_root", "node").alias("root"))
+            several = named.groupBy("value").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES).cast("int").alias("blocks"), best)
+            several = several.filter("_lo <> _hi").select("value", *(["blocks"] if turn > 1 else [F.col("c.root").alias("first")]))
             # what is joined with a list's rows is written first: such joins are split where a value is hot
-            open_lists = checkpointed(named.join(checkpointed(several), "value"))
-            if open_lists.isEmpty():
+            lists = checkpointed(named.join(checkpointed(several), "value"))
+            if lists.isEmpty():
                 break
         if turn < 2:
             # every class meets the most typical one; in the second turn, the most typical of those outside the first one's component
-            best = F.max(F.struct("weight", "node", "n", *["root"] * bool(turn))).alias("c")
-            heads = checkpointed(open_lists.groupBy("value").agg(best))
-            if turn:
-                other = open_lists.join(heads, "value").filter(F.col("root") != F.col("c.root")).select("value", "weight", "node", "n", "root")
-                heads = checkpointed(checkpointed(other).groupBy("value").agg(best))
-            met = open_lists.join(heads.select("value", F.col("c.node").alias("b"), F.col("c.n").alias("nb")), "value").withColumnsRenamed({"node": "a", "n": "na"})
+            heads = checkpointed((lists.filter("root <> first") if turn else lists).groupBy("value").agg(best))
+            met = lists.join(heads.select("value", F.col("c.node").alias("b"), F.col("c.n").alias("nb")), "value").withColumnsRenamed({"node": "a", "n": "na"})
             pairs = met.filter((F.col("a") != F.col("b")) & close("na", "nb"))
         else:
-            rare = prefixes.select(F.col("node").alias("_p"), "rare")
-            keys = classes.join(open_lists.select("node").distinct(), "node").select(F.col("rep.doc_id").alias("_id"), F.col("rep._row").alias("_key"), "node", "digest")
-            side = open_lists.select("value", "root", "node", "n", "blocks").join(rare, F.col("node") == F.col("_p")).drop("_p").join(marks(docs, checkpointed(keys), words), "node")
+            nodes = lists.select("node").distinct()
+            # written, so that the two sides of a join read the same rows
+            wide = checkpointed(parities(marks(docs, checkpointed(keys_of(classes, nodes)), words)))
 
             def alike(a, b):
-                # a pair is met once, in the list of the first value that both prefixes have
-                once = F.get(F.array_intersect(a("rare"), b("rare")), F.lit(0)) == a("value")
-                twice = F.least(a("twice"), b("twice"))
-                # the smallest of the wider sketch are the sketch
-                few = F.size(F.array_intersect(F.slice(a("marks"), 1, k), F.slice(b("marks"), 1, k))) + twice >= required(F.least(a("n"), b("n"), F.lit(k)), threshold, k)
-                same = F.size(F.array_intersect(a("marks"), b("marks"))) + twice
+                same = most_shared(a, b)
                 # sets that are known whole are measured as such, others by their wider sketches
                 whole = (a("n") <= WIDE) & (b("n") <= WIDE)
                 likely = F.when(whole, 100 * same >= share * (a("n") + b("n") - same)).otherwise(same >= required(F.least(a("n"), b("n"), F.lit(WIDE)), threshold, WIDE))
-                return (a("root") != b("root")) & (100 * a("n") >= share * b("n")) & (100 * b("n") >= share * a("n")) & once & few & likely
+                # a pair is made once, in the list of the first value that both prefixes have
+                once = F.get(F.array_intersect(a("rare"), b("rare")), F.lit(0)) == a("value")
+                return (a("root") != b("root")) & (100 * a("n") >= share * b("n")) & (100 * b("n") >= share * a("n")) & likely & once
 
-            pairs = met_in_cells(side, alike)
+            side = lists.select("value", "root", "node", "n", "blocks").join(wide, "node")
+            pairs = met_in_cells(side.join(prefixes.select("node", "rare"), "node"), alike)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        fresh = verified(docs, classes, checkpointed(pairs), words, share, threshold, k)
+        fresh = verified(docs, classes, checkpointed(likely_pairs(pairs, classes, threshold, k)), words, share)
         # what is linked already comes in as the stars that it makes
         roots = components(fresh if label is None else fresh.unionByName(label.select(F.col("_node").alias("a"), F.col("_root").alias("b"))))
         label = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
@@ -267,19 +292,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, k:
     return out.select("doc_id", "_row", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, share: int, threshold: float, k: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose joint sketch is promising and whose full sets are similar enough."""
+def keys_of(classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The documents (_id, _key, node, digest) that stand for the classes named by ``nodes``."""
+    return classes.join(nodes, "node").select(F.col("rep.doc_id").alias("_id"), F.col("rep._row").alias("_key"), "node", "digest")
+
+
+def likely_pairs(pairs: DataFrame, classes: DataFrame, threshold: float, k: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose joint sketch is promising."""
     sketches = classes.select(F.col("node").alias("_n"), "n", "sketch")
     both = pairs.join(sketches.withColumnsRenamed({"_n": "a", "sketch": "sa", "n": "na"}), "a").join(sketches.withColumnsRenamed({"_n": "b", "sketch": "sb", "n": "nb"}), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     likely = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union)) >= required(F.least("na", "nb", F.lit(k)), threshold, k)
-    pairs = checkpointed(both.filter(likely).select("a", "b"))
+    return both.filter(likely).select("a", "b")
+
+
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, share: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose full sets are similar enough."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    keys = classes.join(nodes, "node").select(F.col("rep.doc_id").alias("_id"), F.col("rep._row").alias("_key"), "node", "digest")
-    sets = full_sets(docs, checkpointed(keys), words).dropDuplicates(["node", "digest"])
+    sets = full_sets(docs, checkpointed(keys_of(classes, nodes)), words).dropDuplicates(["node", "digest"])
     sets = checkpointed(sets)
     a = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("xa"))
     b = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("xb"))
     same = F.size(F.array_intersect("xa", "xb")).alias("same")
     held = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", same)
-    return checkpointed(held.filter(100 * F.col("same") >= share * (F.col("na") + F.col("nb") - F.col("same"))).select("a", "b"))
+    return held.filter(100 * F.col("same") >= share * (F.col("na") + F.col("nb") - F.col("same"))).select("a", "b")

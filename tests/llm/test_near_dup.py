@@ -37,6 +37,14 @@ def shuffled(spark):
     return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
 
 
+def stages(spark):
+    """Stages that the session has begun."""
+    bus = spark.sparkContext._jsc.sc()
+    bus.listenerBus().waitUntilEmpty()
+    jobs = bus.statusStore().jobsList(None)
+    return sum(jobs.apply(i).numCompletedStages() for i in range(jobs.size()))
+
+
 def test_open_lists_are_shuffled_once(spark):
     """Families of similar texts without links: what is shuffled is mostly sketches (9.7 and 11.9 MB in two runs when both sides of the join took them as longs, 5.5 MB now)."""
     rows = families(random.Random(11), 6, 40, 420, [10, 11, 12])
@@ -73,3 +81,58 @@ def test_marks(spark):
     sets = near_dup.shingle_sets([text.encode(), b"a b c d"], 3)
     for node, s in zip((1, 2), sets, strict=True):
         assert got[node]["marks"] == [(int(x) >> 31) - (1 << 31) for x in s[: near_dup.WIDE]] and got[node]["twice"] == 0
+
+
+def test_parities_bound_what_is_shared(spark):
+    """No two rows share more than their parities allow, and of unlike rows the bound stays far below their sizes."""
+    rnd = random.Random(13)
+    sets = {i: sorted(rnd.sample(range(1 << 62), 256 - i % 3)) for i in range(6)}
+    for i in range(6, 30):
+        sets[i] = sorted(rnd.sample(sets[i % 6], 250 - 8 * (i // 6)) + rnd.sample(range(1 << 62), 8 * (i // 6)))
+    sets[30] = [(7 << 31) + i for i in range(40)]  # many shingles of one mark
+    sets[31] = [(7 << 31) + i for i in range(20, 60)]
+    rows = spark.createDataFrame(list(sets.items()), "node long, shingles array<long>").withColumn("marks", F.transform("shingles", lambda x: (F.shiftright(x, 31) - F.lit(1 << 31)).cast("int")))
+    wide = near_dup.parities(rows.select("node", "marks", (F.size("marks") - F.size(F.array_distinct("marks"))).alias("twice")))
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    met = wide.alias("a").join(wide.alias("b"), a("node") < b("node")).select(a("node"), b("node"), near_dup.most_shared(a, b)).collect()
+    assert len(met) == 32 * 31 // 2
+    for x, y, most in met:
+        same = len(set(sets[x]) & set(sets[y]))
+        assert same <= most
+        if same == 0 and y < 30:
+            assert most < 125
+
+
+def test_join_of_open_lists_is_compiled(spark):
+    """The code that compares classes of a list stays below 8,000 bytes, over which the JVM interprets it; pairs are made once; few stages (111 before, 102 now)."""
+    import contextlib
+    import io
+    import re
+
+    rows = families(random.Random(14), 2, 12, 120, [4, 5])
+    seen, repeated, kept = [], [], near_dup.met_in_cells
+
+    def told(side, on):
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        with contextlib.redirect_stdout(io.StringIO()) as out:
+            (pairs := kept(side, on)).explain("codegen")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        rows = pairs.count()
+        repeated.append(rows - pairs.distinct().count())
+        seen.extend(map(int, re.findall(r"maxMethodCodeSize:(\d+)", out.getvalue())))
+        return pairs
+
+    near_dup.met_in_cells = told
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    before = stages(spark)
+    try:
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(spark.createDataFrame(rows, SCHEMA), 3, 0.85).collect()}
+        took = stages(spark) - before
+    finally:
+        near_dup.met_in_cells = kept
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got == brute.near(rows, 3, 85)
+    assert seen and max(seen) < 8000
+    assert repeated == [0]
+    assert took < 108
