@@ -55,13 +55,15 @@ HEADINGS = (
 )
 
 
-def heading_parts(line: Column) -> Column:
+def heading_parts(line: Column, digits: int = 3) -> Column:
     """Struct (kind, number, title) of a heading: "Part N" for parts, the letter of appendices; kind and number are null for other lines.
 
     A part or appendix without a title of its own has the whole line as its title.
+    Section numbers have at most ``digits`` digits between their points.
     """
     out = F.struct(F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("number"), line.alias("title"))
     for kind, pattern, number, title in reversed(HEADINGS):
+        pattern = pattern.replace(r"\d{1,3}", rf"\d{{1,{digits}}}") if kind == "numbered" else pattern
         n, t = F.regexp_extract(line, pattern, number), F.trim(F.regexp_extract(line, pattern, title))
         n = F.concat(F.lit("Part "), n) if kind == "part" else n
         out = F.when(line.rlike(pattern), F.struct(F.lit(kind).alias("kind"), n.alias("number"), F.when(t == "", line).otherwise(t).alias("title"))).otherwise(out)
