@@ -1,9 +1,13 @@
 """Queries on rows that only larger tables have."""
 
+import hashlib
+import random
+
 from compare import compare
 from pyspark.sql import functions as F
 
 from evalloom.plans import ORACLES, QUERIES
+from evalloom.sources import corpus as S
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,3 +19,23 @@ def test_outline_of_large_keys(spark, tmp_path):
     moved.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     name = "doc05_contents_and_outline"
     assert compare(QUERIES[name](spark, str(tmp_path)), ORACLES[name], str(tmp_path)) == ""
+
+
+def test_objects_over_the_limit_of_a_value(spark, tmp_path, monkeypatch):
+    """Files longer than what one value may hold, with and without a last line feed and a byte order mark."""
+    noise = random.Random(1)
+    files = {"a b%20c+d.bin": noise.randbytes(30_000), "é.txt": b"\xef\xbb\xbfone\r\n\n" * 900, "feeds": b"\n" * 5000, "mark": b"\xef\xbb\xbf" + b"x" * 4000, "long": b"y" * 20_000, "few.gz": b"\nno archive\n"}
+    (tmp_path / "org").mkdir()
+    for name, data in files.items():
+        (tmp_path / "org" / name).write_bytes(data)
+    monkeypatch.setattr(S, "WHOLE", 1000, raising=False)
+    monkeypatch.setattr(S, "PIECE", 700, raising=False)
+    settings = {"spark.sql.sources.binaryFile.maxLength": "2000", "spark.sql.files.maxPartitionBytes": "1500", "spark.sql.files.openCostInBytes": "100"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        got = {(r["org_id"], r["document_id"]): (r["digest"], r["size"]) for r in S.stored_objects(spark, str(tmp_path)).collect()}
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert got == {("org", n.rsplit(".", 1)[0]): (hashlib.sha256(x).hexdigest(), len(x)) for n, x in files.items()}
