@@ -6,7 +6,9 @@ import random
 from compare import compare
 from pyspark.sql import functions as F
 
+from evalloom.operators import layout as L
 from evalloom.plans import ORACLES, QUERIES
+from evalloom.plans import ingestion as I
 from evalloom.sources import corpus as S
 
 SF = "/root/testdata/sf0.001"
@@ -39,3 +41,23 @@ def test_objects_over_the_limit_of_a_value(spark, tmp_path, monkeypatch):
         for k in settings:
             spark.conf.unset(k)
     assert got == {("org", n.rsplit(".", 1)[0]): (hashlib.sha256(x).hexdigest(), len(x)) for n, x in files.items()}
+
+
+def test_lines_are_made_once(spark):
+    """Texts laid out inside a batch give the lines of the words as rows, and levels read finished lines however often they need them."""
+    odd = [(1, None), (2, ""), (3, " \t\n  "), (4, "one\r\ntwo three .\n\n" * 50 + "x" * 40), (None, "no id here"), (6, "long " * 30_000)]
+    extra = spark.createDataFrame(odd, "doc_id long, text string")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(extra.withColumn("doc_id", F.col("doc_id") + 10_000_000))
+
+    def shown(df):
+        return sorted(map(repr, df.collect()))
+
+    own, table = L.lines_of(docs, "doc_id", "text", I._laid_out), I.table
+    I.table = lambda spark, d, name: docs
+    try:
+        words = I._words(spark, SF)
+    finally:
+        I.table = table
+    want = shown(L.lines(words, "doc_id", in_order=True))
+    assert shown(own) == want == shown(L.lines(words.repartition(7), "doc_id")) and len(want) > 1000
+    assert "MapInArrow" not in L.levels(own, "doc_id")._jdf.queryExecution().executedPlan().toString()
