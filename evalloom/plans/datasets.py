@@ -156,7 +156,9 @@ def run_lists(spark, d):
 def numbered_sources(spark, d):
     """The whole way of a question: lists by parts, filters and methods, fused, boosted, and chosen greedily within its limits as numbered sources."""
     docs = table(spark, d, "docs")
-    fused = R.rrf(run_lists(spark, d), "query", "key").withColumnRenamed("key", "doc_id").join(docs.select("doc_id", "jurisdiction", "doc_type", "n_chars", "text"), "doc_id")
+    fused = R.rrf(run_lists(spark, d), "query", "key").withColumnRenamed("key", "doc_id")
+    hits = F.broadcast(fused) if fused.count() <= 500_000 else fused  # a question has some dozen rows; texts are not exchanged for them
+    fused = hits.join(docs.select("doc_id", "jurisdiction", "doc_type", "n_chars", "text"), "doc_id")
     factor = R.jurisdiction_factor(F.lit(None).cast("string"), F.upper("jurisdiction"), F.col("doc_type"))
     best = R.ranked(fused.withColumn("score", F.col("score") * factor), "query", F.desc(F.round("score", 12)), "doc_id", 30)
     rows = best.select(
