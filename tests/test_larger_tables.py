@@ -7,11 +7,13 @@ from compare import compare
 from pyspark.sql import functions as F
 
 from evalloom.functions import text as T
+from evalloom.operators import block_index as BI
 from evalloom.operators import layout as L
 from evalloom.operators import retrieval as R
 from evalloom.plans import ORACLES, QUERIES
 from evalloom.plans import ingestion as I
 from evalloom.sources import corpus as S
+from evalloom.sources import snapshots
 
 SF = "/root/testdata/sf0.001"
 
@@ -93,3 +95,17 @@ def test_run_lists_in_blocks(spark, monkeypatch):
     assert find() == whole and find(tokens=T.simple_tokens) == simple and any("fallback=True" in r for r in whole)
     rows = R.run_lists(q.filter("query = 2 and part = 0"), c, mode="vector", k=100).orderBy("rank").collect()
     assert len(rows) == sum(v is not None for *_, v in chunks) and rows[-1]["key"] == 4
+
+
+def test_totals_of_segments(spark, tmp_path, monkeypatch):
+    """Terms are counted segment by segment, also after documents were replaced and emptied, without exchanging postings."""
+    monkeypatch.setattr(BI, "SEGMENT_DOCS", 7)
+    rows = [(i, i, "alpha " * (i % 4) + ("beta gamma" if i % 3 else "")) for i in range(60)]
+    docs, path = spark.createDataFrame(rows, "doc long, key long, text string"), f"{tmp_path}/index"
+    BI.write(docs, path, "doc", "key", "text", T.simple_tokens, buckets=2)
+    BI.write(docs.filter("doc % 10 = 0").withColumn("text", F.lit("delta delta")), path, "doc", "key", "text", T.simple_tokens, asked=docs.filter("doc % 5 = 0"))
+    texts = {i: "delta delta" if i % 10 == 0 else t for i, _, t in rows if i % 10 != 5}
+    want = {w: (sum(w in t for t in texts.values()), sum(t.split().count(w) for t in texts.values()), max(len(t.split()) for t in texts.values() if w in t)) for w in ("alpha", "beta", "gamma", "delta")}
+    found = BI.term_totals(snapshots.read(spark, path))
+    assert {r["term"]: (r["df"], r["tf"], r["longest"]) for r in found.collect()} == want
+    assert BI.documents_of(snapshots.read(spark, path)).count() == len(texts)
